@@ -1,6 +1,6 @@
 """Co-occurrence of cited source types and mentioned brands."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolens.fixed import DEFAULT_DOMAIN_WEIGHT, DOMAIN_WEIGHTS
@@ -72,10 +72,11 @@ def brand_totals(mentions: DataFrame) -> DataFrame:
 def brand_features(mentions: DataFrame, targets: list[str]) -> DataFrame:
     """Brand totals against each target's total; a target without mentions gives NULL gaps."""
     totals = brand_totals(mentions)
-    own = F.max(F.when(F.col("brand") == F.col("target"), F.col("total_mentions")))
-    wanted = totals.withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
-    reference = wanted.groupBy("target").agg(own.alias("target_mentions"))
-    return (wanted.join(reference, "target")
+    # Counting the targets alone is a filtered scan; their totals needn't be taken from all brands' totals.
+    own = (mentions.filter(F.col("brand").isin(targets)).groupBy(F.col("brand").alias("target"))
+           .agg(F.count(F.lit(1)).alias("target_mentions")))
+    return (totals.withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
+            .join(own, "target", "left")
             .select("target", "brand", "total_mentions", "avg_position", "prompts_mentioned",
                     (F.col("total_mentions") - F.col("target_mentions")).alias("gap_vs_target"))
             .orderBy("target", F.desc("total_mentions"), "brand"))
@@ -85,12 +86,13 @@ def training_matrix(citations: DataFrame, mentions: DataFrame) -> DataFrame:
     """Model features, one row per (domain_type, brand); the type mean includes the brand itself."""
     pairs = cooccurrence(citations, mentions).select(
         "domain_type", "brand", F.col("runs").alias("cooccurrence"), "avg_position_with_source")
-    means = pairs.groupBy("domain_type").agg(F.avg("cooccurrence").alias("competitor_avg_cooccurrence"))
+    # A window reads the co-occurrences once; at this point a type has one row per brand.
+    mean = F.avg("cooccurrence").over(Window.partitionBy("domain_type"))
     totals = brand_totals(mentions).select("brand", "total_mentions", F.col("avg_position").alias("brand_avg_position"),
                                            F.col("prompts_mentioned").alias("brand_prompt_count"))
     position = F.col("avg_position_with_source")
     return (pairs.join(shared_domains(citations, mentions), ["domain_type", "brand"], "left")
-            .join(means, "domain_type", "left").join(totals, "brand", "left")
+            .withColumn("competitor_avg_cooccurrence", mean).join(totals, "brand", "left")
             .select("domain_type", "brand", "cooccurrence", "avg_position_with_source",
                     F.coalesce("unique_domains", F.lit(0)).alias("unique_domains"),
                     "competitor_avg_cooccurrence", "total_mentions", "brand_avg_position", "brand_prompt_count",

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolens.functions.numbers import fixed, score_band
+from echolens.session import ensure_checkpoints
 from echolens.operators.scoring import action_text, opportunity_scores
 
 FEATURES = ["cooccurrence", "avg_position_with_source", "unique_domains", "competitor_avg_cooccurrence", "total_mentions",
             "brand_avg_position", "brand_prompt_count", "domain_authority_weight", "position_score", "domain_type_enc"]
 TARGET = "opportunity_gap"
+_ROWS_PER_PARTITION = 100_000
 
 
 class Trained(NamedTuple):
@@ -36,11 +38,15 @@ def split(matrix: DataFrame, seed: int = 42, test_percent: int = 20) -> tuple[Da
 
 def train_model(matrix: DataFrame, trees: int = 200, seed: int = 42) -> Trained:
     """Fit on 80 % of the rows and report MAE and R² on the rest. Raises if there are no rows."""
+    ensure_checkpoints(matrix.sparkSession)  # else the lineage of the residuals grows with every tree
     rows = _filled(matrix).persist()
     try:
-        if rows.isEmpty():
+        count = rows.count()
+        if count == 0:
             raise ValueError("no co-occurrence data to train on")
-        train, test = split(rows, seed)
+        # Every tree level is a job over all partitions: a small matrix is cheapest in few of them.
+        train, test = split(rows.repartition(1 + count // _ROWS_PER_PARTITION, "domain_type", "brand"), seed)
+        train = train.persist()
         stages = [
             StringIndexer(inputCol="domain_type", outputCol="domain_type_enc", stringOrderType="alphabetAsc", handleInvalid="keep"),
             VectorAssembler(inputCols=FEATURES, outputCol="features"),

@@ -36,6 +36,7 @@ def opportunity_scores(features: DataFrame, targets: DataFrame, competitors: lis
     base 40·weight, plus up to 30 for a gap to the competitors that have data for the type, up to 20 for citation
     volume and up to 10 for an early position; without own data the volume part is 0 and the position
     part 5. If ``features`` is empty all scores fall back to 100·weight with bands at 70 and 40.
+    ``features`` is read three times, so pass a stored frame.
     """
     known = features.agg(F.count(F.lit(1)).alias("n")).scalar()
     own = features.select(F.col("brand").alias("target"), "domain_type", F.col("cooccurrence_count").alias("own"),

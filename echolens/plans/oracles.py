@@ -342,17 +342,17 @@ def oracle_sql() -> dict[str, str]:
  count(*) FILTER (brand_injected) AS new_injection, {pct('count(*) FILTER (brand_injected)', 'count(*)', 0)} AS new_injection_pct FROM injected""",
         "ingest_runs": with_(TEXT, HITS) + "SELECT run_id, prompt_id, provider, brand, position FROM hits",
         "daily_metrics_stream": star + """SELECT brand, CAST(created_at AS DATE) AS date, avg(position) AS avg_position, count(*) AS mention_count,
- round(avg(CASE sentiment WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0 ELSE 0.0 END), 6) AS sentiment_score FROM brand_mentions GROUP BY 1, 2""",
+ round(avg(CASE sentiment WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0 ELSE 0.0 END), 6) + 0.0::DOUBLE AS sentiment_score FROM brand_mentions GROUP BY 1, 2""",
     }
     for name, brands in (("visibility_summary", None), ("visibility_summary_brands", r.COMPETITORS)):
         where = f"WHERE brand IN ({listed(brands)})" if brands else ""
         sql[name] = star + f"""SELECT brand, {_RATES}, {pct("count(*)", "(SELECT count(DISTINCT (run_id, prompt_id, provider)) FROM llm_responses)")} AS visibility_pct
  FROM brand_mentions {where} GROUP BY 1"""
-    daily = """, daily AS (SELECT brand, CAST(created_at AS DATE) AS date, avg(CASE sentiment WHEN 'positive' THEN 1.0::DOUBLE WHEN 'negative' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END) AS s,
+    daily = """, daily AS (SELECT brand, CAST(created_at AS DATE) AS date, avg(CASE sentiment WHEN 'positive' THEN 1.0::DOUBLE WHEN 'negative' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END) + 0.0::DOUBLE AS s,
  count(*) AS mentions FROM brand_mentions GROUP BY 1, 2)
- SELECT brand, date, round(s, 6) AS sentiment_score, mentions, round(avg(s) OVER (PARTITION BY brand ORDER BY """
-    sql["sentiment_trend"] = star + daily + "date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS rolling_sentiment FROM daily"
-    sql["sentiment_trend_calendar"] = star + daily + "date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 6) AS rolling_sentiment FROM daily"
+ SELECT brand, date, round(s, 6) + 0.0::DOUBLE AS sentiment_score, mentions, round(avg(s) OVER (PARTITION BY brand ORDER BY """
+    sql["sentiment_trend"] = star + daily + "date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) + 0.0::DOUBLE AS rolling_sentiment FROM daily"
+    sql["sentiment_trend_calendar"] = star + daily + "date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 6) + 0.0::DOUBLE AS rolling_sentiment FROM daily"
     plan = sql["request_plan"]
     sql["request_plan"] = f"""SELECT batch, concat('base-t', CAST(trial AS VARCHAR)) AS run_id, prompt_id, prompt_text, provider FROM ({plan})
  CROSS JOIN (SELECT unnest([0, 1, 2]) AS trial) CROSS JOIN (SELECT unnest([{listed(PROVIDERS)}]) AS provider)"""

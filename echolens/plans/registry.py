@@ -10,7 +10,7 @@ from echolens.operators import (alerts, analysis, answers, boards, citations, en
                                 model, requests, scoring, sentiment, voting)
 from echolens.plans import adapters as a
 from echolens.schemas import SLOT, TABLES
-from echolens.session import scratch
+from echolens.session import scratch, stored
 from echolens.sources import raw_runs, tables
 from echolens.streaming import jobs
 
@@ -439,9 +439,13 @@ def _all_targets(spark, sf):
     return seen.unionByName(a.star_prompts(spark, sf).select(F.lit("Nobody").alias("target")).distinct())
 
 
+def _stored_features(spark, sf):
+    return stored(source_features(spark, sf), "features")
+
+
 @query
 def opportunity_scores(spark, sf):
-    return scoring.opportunity_scores(source_features(spark, sf), _all_targets(spark, sf), COMPETITORS).drop("weight_rank")
+    return scoring.opportunity_scores(_stored_features(spark, sf), _all_targets(spark, sf), COMPETITORS).drop("weight_rank")
 
 
 @query
@@ -452,7 +456,7 @@ def fallback_scores(spark, sf):
 @query
 def reason_action_text(spark, sf):
     """Reason and action of every rule score against all competitors at once and against none."""
-    alone = scoring.opportunity_scores(source_features(spark, sf), _all_targets(spark, sf), [])
+    alone = scoring.opportunity_scores(_stored_features(spark, sf), _all_targets(spark, sf), [])
     return alone.select("target", "domain_type", "priority", "reason", "action")
 
 
@@ -461,39 +465,33 @@ def training_matrix(spark, sf):
     return features.training_matrix(a.star_citations(spark, sf), a.star_mentions(spark, sf))
 
 
-#: Trees of the registered model queries; the library's default is 200.
-QUERY_TREES = 20
-_models: dict[tuple[str, str], model.Trained] = {}
+_trained: dict[tuple[str, str], tuple[model.Trained, str]] = {}
 
 
-def _stored_matrix(spark, sf):
-    path = scratch(spark, "matrix")
-    training_matrix(spark, sf).write.parquet(path)
-    return spark.read.parquet(path)
+def _model(spark, sf) -> tuple[model.Trained, str]:
+    """The model of a data set, trained once per application and saved with its matrix."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _trained:
+        path, matrix = scratch(spark, "model"), stored(training_matrix(spark, sf), "matrix")
+        trained = model.train_model(matrix)
+        model.save_model(trained.model, matrix, path)
+        _trained[key] = trained, path
+    return _trained[key]
 
 
 @query
 def train_model(spark, sf):
-    return model.model_quality(spark, model.train_model(_stored_matrix(spark, sf), QUERY_TREES))
+    return model.model_quality(spark, _model(spark, sf)[0])
 
 
 @query
 def feature_importance(spark, sf):
-    return model.feature_importance(spark, model.train_model(_stored_matrix(spark, sf), QUERY_TREES).model)
-
-
-@query
-def save_and_load_model(spark, sf):
-    path, matrix = scratch(spark, "model"), _stored_matrix(spark, sf)
-    model.save_model(model.train_model(matrix, QUERY_TREES).model, matrix, path)
-    loaded, stored = model.load_model(spark, path)
-    return model.predict_opportunities(loaded, stored)
+    return model.feature_importance(spark, _model(spark, sf)[0].model)
 
 
 @query
 def predict_opportunities(spark, sf):
-    matrix = _stored_matrix(spark, sf)
-    return model.predict_opportunities(model.train_model(matrix, QUERY_TREES).model, matrix)
+    return model.predict_opportunities(*model.load_model(spark, _model(spark, sf)[1]))
 
 
 @query
@@ -505,14 +503,12 @@ def scale_per_brand(spark, sf):
 
 @query
 def recommend(spark, sf):
-    matrix = _stored_matrix(spark, sf)
-    predicted = model.predict_opportunities(model.train_model(matrix, QUERY_TREES).model, matrix)
-    return model.recommend(_all_targets(spark, sf), source_features(spark, sf), COMPETITORS, predicted)
+    return model.recommend(_all_targets(spark, sf), _stored_features(spark, sf), COMPETITORS, predict_opportunities(spark, sf))
 
 
 @query
 def recommend_by_rules(spark, sf):
-    ranked = model.recommend(_all_targets(spark, sf), source_features(spark, sf), COMPETITORS)
+    ranked = model.recommend(_all_targets(spark, sf), _stored_features(spark, sf), COMPETITORS)
     return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 

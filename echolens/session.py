@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators are designed for. A cluster submits its own master, memory and parallelism.
 DEFAULTS = {
@@ -42,6 +42,19 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Give iterative algorithms a checkpoint folder unless the cluster has named one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/checkpoints")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several later steps read and return it read back, with its lineage cut."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new, never reused path under the shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

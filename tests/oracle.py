@@ -58,7 +58,7 @@ def compare(spark, con, sf_dir: str, name: str, query, sql: str | None) -> tuple
         return False, f"columns {sorted(df.columns)} != {sorted(names)}; {note}"
     left, right = canonical(df.columns, got), canonical(names, want)
     if left != right:
-        only = [x for x in left if x not in set(right)][:3], [x for x in right if x not in set(left)][:3]
+        only = sorted(set(left) - set(right))[:3], sorted(set(right) - set(left))[:3]
         return False, f"{note}\n   spark only {only[0]}\n   sql only   {only[1]}"
     return True, note
 
