@@ -3,6 +3,8 @@
 Offsets and lengths are in characters (code points), never UTF-16 units or bytes.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,19 +27,23 @@ def strip_spaces(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Case-insensitive form: equal for any two strings the term pattern treats as equal."""
-    return F.upper(F.translate(text, _FOLD_FROM, _FOLD_TO))
+    # Translating is slow, and very few texts hold one of the letters: none that are plain ASCII.
+    plain = F.octet_length(text) == F.char_length(text)
+    special = reduce(Column.__or__, [F.contains(text, F.lit(letter)) for letter in _FOLD_FROM])
+    return F.upper(F.when(plain | ~special, text).otherwise(F.translate(text, _FOLD_FROM, _FOLD_TO)))
 
 
 def term_pattern(term: Column) -> Column:
     """Whole-word, case-insensitive pattern of a literal term.
 
     The word class is spelled out because the engine's own boundary depends on the JDK. A term that starts
-    or ends with a non-word character needs a word character next to it there, as a boundary does.
+    or ends with a non-word character needs a word character next to it there, as a boundary does. The
+    literal comes first, so most positions of a text fail on one character.
     """
     body = F.regexp_replace(term, r"([^\p{L}\p{N}_\s])", r"\\$1")
-    left = F.when(term.rlike(f"^{WORD}"), f"(?<!{WORD})").otherwise(f"(?<={WORD})")
+    left = F.concat(F.when(term.rlike(f"^{WORD}"), "(?<!").otherwise("(?<="), F.lit(WORD), body, F.lit(")"))
     right = F.when(term.rlike(f"{WORD}\\z"), f"(?!{WORD})").otherwise(f"(?={WORD})")
-    return F.concat(F.lit("(?iu)"), left, body, right)
+    return F.concat(F.lit("(?iu)"), body, left, right)
 
 
 def snippet(text: Column, offset: Column, length: Column, around: int = 100) -> Column:

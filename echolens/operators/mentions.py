@@ -31,30 +31,36 @@ def prompt_terms(prompts: DataFrame) -> DataFrame:
             .select("prompt_id", prepared.alias("terms")))
 
 
-def detect_brands(responses: DataFrame, prompts: DataFrame) -> DataFrame:
-    """One row per brand found in an answer: position from 1 by first appearance (ties in list order), offset, snippet.
+def with_found_brands(responses: DataFrame, prompts: DataFrame, how: str = "left") -> DataFrame:
+    """Add ``found``: the brands in an answer as (brand, position, char_offset, snippet) by first appearance.
 
-    Searched are the target brands of the answer's prompt; answers of unknown prompts have no mentions. Cheap
-    prefilters drop the brands that can't occur before a pattern is run over the whole text. They are
-    columns of their own because an expression inside a lambda would run once per brand. The join
-    carries texts only if the prompts don't fit a broadcast, which is left to the planner's size check.
+    Positions count from 1, ties keep list order. Searched are the target brands of the answer's prompt; with a ``left``
+    join answers of unknown prompts keep a NULL. Cheap prefilters drop the brands that can't occur before a
+    pattern is run over the whole text. They are columns of their own because an expression inside a
+    lambda would run once per brand. The join carries texts only if the prompts don't fit a broadcast,
+    which is left to the planner's size check.
     """
-    keep = [c for c in responses.columns if c not in ("response_text", "prompt_text", "error", "model", "latency_ms")]
     text, terms = F.col("response_text"), F.col("terms")
     words = F.array_distinct(F.regexp_extract_all("folded_text", F.lit(f"{WORD}+"), F.lit(0)))
     heads = F.when(F.size(terms) > SUBSTRING_LIST, F.array_intersect(F.transform(terms, lambda t: t["head"]), words))
     likely = F.filter(terms, lambda t: F.when(F.col("heads").isNull(), F.contains("folded_text", t["folded"]))
                       .otherwise(t["head"].isNull() | F.array_contains("heads", t["head"])))
     parts = F.transform(likely, lambda t: F.struct(t.alias("term"), F.split(text, t["pattern"], 2).alias("parts")))
-    found = F.transform(F.filter(parts, lambda s: F.size(s["parts"]) == 2), lambda s: F.struct(
+    hits = F.transform(F.filter(parts, lambda s: F.size(s["parts"]) == 2), lambda s: F.struct(
         F.char_length(s["parts"][0]).alias("char_offset"), s["term"]["idx"].alias("idx"),
         s["term"]["brand"].alias("brand"), s["term"]["length"].alias("length")))
-    hits = F.transform(F.array_sort(found), lambda m, i: F.struct(
+    found = F.transform(F.array_sort(hits), lambda m, i: F.struct(
         m["brand"].alias("brand"), (i + 1).alias("position"), m["char_offset"].alias("char_offset"),
         snippet(text, m["char_offset"], m["length"]).alias("snippet")))
-    return (responses.join(prompt_terms(prompts), "prompt_id")
+    return (responses.join(prompt_terms(prompts), "prompt_id", how)
             .withColumn("folded_text", fold(text)).withColumn("heads", heads)
-            .select(*keep, F.inline(hits)))
+            .withColumn("found", found).drop("terms", "folded_text", "heads"))
+
+
+def detect_brands(responses: DataFrame, prompts: DataFrame) -> DataFrame:
+    """One row per brand found in an answer; answers of unknown prompts have none."""
+    keep = [c for c in responses.columns if c not in ("response_text", "prompt_text", "error", "model", "latency_ms")]
+    return with_found_brands(responses, prompts, "inner").select(*keep, F.inline("found"))
 
 
 def match_target_brands(responses: DataFrame, prompts: DataFrame) -> DataFrame:

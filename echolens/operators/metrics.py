@@ -141,18 +141,16 @@ def competitor_gap(mentions: DataFrame, targets: list[str] | str, prompts: DataF
         block = targets[at:at + _TARGETS_PER_PASS]
         held = F.bit_or(_bit_of(block)).over(Window.partitionBy(*SLOT))
         seen = pairs.withColumn("held", F.coalesce(held, F.lit(0).cast("long")))
-        cells = []
-        for i, target in enumerate(block):
-            absent = F.col("held").bitwiseAND(F.lit(1 << i)) == 0
-            cells.append(F.struct(*[F.sum(F.when(absent, F.col(c))).alias(c) for c in ("n", "p", "np")],
-                                  F.lit(target).alias("target")))
-        wide = seen.groupBy(*keys).agg(F.array(*cells).alias("cells"))
-        passes.append(wide.select(*keys, F.inline("cells")))
+        bits = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(1 << i).cast("long").alias("bit"))
+                         for i, t in enumerate(block)])
+        passes.append(seen.select(*keys, "n", "p", "np", "held", F.inline(bits))
+                      .filter((F.col("held").bitwiseAND(F.col("bit")) == 0) & (F.col("brand") != F.col("target")))
+                      .groupBy(*keys, "target").agg(*[F.sum(c).alias(c) for c in ("n", "p", "np")]))
     gaps = passes[0]
     for more in passes[1:]:
         gaps = gaps.unionByName(more)
     lead = [k for k in keys if k != "brand"]
-    return (gaps.filter((F.col("n") > 0) & (F.col("brand") != F.col("target")))
+    return (gaps
             .select(*lead, "target", "brand", F.col("n").alias("appears_when_target_absent"),
                     F.try_divide(F.col("p"), F.col("np")).alias("avg_position"))
             .orderBy(*lead, "target", F.desc("appears_when_target_absent"), "brand"))

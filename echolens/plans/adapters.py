@@ -40,7 +40,9 @@ _ADAPTERS: list = []
 def prepare(spark: SparkSession, sf_dir: str) -> None:
     """Write all derived tables once, as a user's stored tables would be."""
     for build in _ADAPTERS:
-        _prepared[spark.sparkContext.applicationId, sf_dir, build.__name__] = stored(build(spark, sf_dir), build.__name__)
+        # The raw files may be single-block; a stored table has a file per writer.
+        rows = build(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+        _prepared[spark.sparkContext.applicationId, sf_dir, build.__name__] = stored(rows, build.__name__)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
