@@ -1,0 +1,159 @@
+import json
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from echolens.operators import boards, features, metrics
+from echolens.sources.demo import demo_facts
+
+MENTION = "run_id string, prompt_id string, provider string, brand string, position int, sentiment string, created_at timestamp"
+ANSWER = "run_id string, prompt_id string, provider string, created_at timestamp"
+PROMPT = "prompt_id string, prompt_text string, category string, target_brands string"
+DAY = datetime(2026, 4, 1)
+
+
+def facts(seed=1, slots=300):
+    rng = random.Random(seed)
+    answers, mentions = [], []
+    for i in range(slots):
+        key = (f"r{i % 7}", f"p{i // 21}", ["openai", "anthropic", "gemini"][i % 3])
+        at = DAY + timedelta(days=rng.randint(0, 20))
+        answers.append((*key, at))
+        for pos, brand in enumerate(rng.sample(list("ABCDEF"), rng.randint(0, 4)), 1):
+            row = (*key, brand, rng.choice([pos, pos, None]), rng.choice(["positive", "neutral", "negative", None]), at)
+            mentions += [row] * rng.choice([1, 1, 2])
+    return answers, mentions
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    answers, mentions = facts()
+    prompts = [(f"p{i}", f"text {i}", "crm" if i % 2 else "ai_writing", json.dumps(["A", "B"])) for i in range(15)]
+    prompts.append(("p99", "broken", "crm", "[oops"))
+    return (spark.createDataFrame(mentions, MENTION).cache(), spark.createDataFrame(answers, ANSWER).cache(), spark.createDataFrame(prompts, PROMPT).cache())
+
+
+def test_visibility_is_a_share_of_all_slots(spark):
+    answers = spark.createDataFrame([("r", f"p{i}", "x", DAY) for i in range(100)] * 2, ANSWER)
+    said = spark.createDataFrame([("r", f"p{i}", "x", "Asana", 1, "positive", DAY) for i in range(10)]
+                                 + [("r", f"p{i}", "x", "Jira", 2, "neutral", DAY) for i in range(5)], MENTION)
+    rows = metrics.visibility_summary(said, answers).collect()
+    assert [(r.brand, r.mentions, r.visibility_pct, r.pos_rate) for r in rows] == [("Asana", 10, 10.0, 100.0), ("Jira", 5, 5.0, 0.0)]
+    assert [r.visibility_pct for r in metrics.visibility_summary(said, answers, ["Jira"]).collect()] == [5.0]
+    assert [r.visibility_pct for r in metrics.visibility_summary(said, answers.limit(0)).collect()] == [1000.0, 500.0]
+    assert metrics.visibility_summary(said.limit(0), answers).collect() == []
+
+
+def test_empty_brand_list_gives_an_empty_typed_frame(data):
+    empty = metrics.visibility_by_category(*data, category="crm", brands=[])
+    assert empty.columns == ["category", "brand", "mentions", "avg_position", "pos_rate", "neg_rate", "visibility_pct"]
+    assert empty.collect() == []
+
+
+def test_gap_of_all_targets_equals_the_anti_join_of_each(data):
+    mentions, _, prompts = data
+    slot = ["run_id", "prompt_id", "provider"]
+    for scope in (None, prompts):
+        got = {(r["category"] if scope is not None else None, r.target, r.brand): (r.appears_when_target_absent, r.avg_position)
+               for r in metrics.competitor_gap(mentions, list("ABCDEFG"), scope).collect()}
+        want, rows = {}, mentions if scope is None else mentions.join(prompts.select("prompt_id", "category"), "prompt_id")
+        for target in "ABCDEFG":
+            has = mentions.filter(F.col("brand") == target).select(*slot).distinct()
+            keys = ["brand"] if scope is None else ["category", "brand"]
+            for r in (rows.filter(F.col("brand") != target).join(has, slot, "left_anti").groupBy(*keys)
+                      .agg(F.count("*").alias("n"), F.avg("position").alias("p")).collect()):
+                want[r["category"] if scope is not None else None, target, r.brand] = (r.n, r.p)
+        assert got == want
+
+
+def test_gap_takes_more_targets_than_one_mask_holds(data):
+    many = [f"T{i}" for i in range(70)] + ["A", "B"]
+    rows = metrics.competitor_gap(data[0], many)
+    assert rows.select("target").distinct().count() == 72
+    one = {(r.brand, r.appears_when_target_absent) for r in metrics.competitor_gap(data[0], "B").collect()}
+    assert {(r.brand, r.appears_when_target_absent) for r in rows.filter("target = 'B'").collect()} == one
+
+
+def test_rolling_sentiment_spans_present_days_or_calendar_days(spark):
+    days = [0, 1, 10]
+    rows = spark.createDataFrame([("r", "p", "x", "A", 1, s, DAY + timedelta(days=d)) for d, s in zip(days, ["positive", None, "negative"])], MENTION)
+    assert [r.rolling_sentiment for r in metrics.sentiment_trend(rows, "A").collect()] == [1.0, 0.5, 0.0]
+    assert [r.rolling_sentiment for r in metrics.sentiment_trend(rows, "A", calendar=True).collect()] == [1.0, 0.5, -1.0]
+    assert [r.rolling_sentiment for r in metrics.sentiment_trend(rows, "A", window=1).collect()] == [1.0, 0.0, -1.0]
+
+
+def test_category_stats_of_a_category_without_facts(spark, data):
+    extra = spark.createDataFrame([("q", "t", "empty", "[]")], PROMPT)
+    row = metrics.category_stats(data[0], data[1], data[2].unionByName(extra), "empty").first()
+    assert (row.mentions, row.responses, row.brands, row.d0, row.d1, row.date_range) == (0, 0, 0, "—", "—", "—")
+
+
+def test_disagreement_has_all_known_providers(data):
+    only = data[0].filter("provider <> 'gemini'")
+    rows = metrics.llm_disagreement(only, data[1], data[2], "crm").collect()
+    assert rows and all(r.gemini == 0.0 for r in rows)
+    means = [r.openai + r.anthropic for r in rows]
+    assert means == sorted(means, reverse=True)
+    # Mentions of a provider without stored answers count over one slot.
+    alone = metrics.llm_disagreement(data[0], data[1].filter("provider <> 'openai'"), data[2], "crm").first()
+    assert alone.openai % 100 == 0 and alone.openai > 0
+
+
+def test_brand_lists_skip_bad_json(data):
+    assert {r.category: r.brands for r in metrics.brands_by_category(data[2]).collect()} == {"crm": ["A", "B"], "ai_writing": ["A", "B"]}
+
+
+def test_sample_prompts_are_limited_per_category(data):
+    rows = metrics.prompts_by_category(data[2], 3).collect()
+    assert [(r.category, r["rank"]) for r in rows] == [(c, i) for c in ("ai_writing", "crm") for i in (1, 2, 3)]
+
+
+def test_kpi_row_without_data(spark, data):
+    wanted = spark.createDataFrame([("crm", "A"), ("crm", "Nobody")], "category string, brand string")
+    rows = {r.brand: r for r in boards.kpi_row(metrics.visibility_by_category(*data), wanted).collect()}
+    assert rows["Nobody"].visibility == "No data" and rows["A"].visibility.endswith("%")
+
+
+def test_prompt_coverage_falls_back_to_seeds(spark, data):
+    seeds = data[2]
+    assert boards.prompt_coverage(seeds, seeds).first().total_prompts == 16
+    rows = boards.prompt_coverage(seeds.limit(0), seeds).collect()
+    assert [(r.label, r.n, r.total_prompts) for r in rows] == [("AI Writing", 8, 16), ("CRM", 8, 16)]
+    other = spark.createDataFrame([("q", "t", "new_area", "[]")], PROMPT)
+    assert boards.prompt_coverage(other).first().label == "New Area"
+
+
+def test_cooccurrence_equals_the_plain_join(spark, data):
+    mentions = data[0]
+    rng = random.Random(5)
+    cites = spark.createDataFrame([(f"r{rng.randint(0, 9)}", f"p{rng.randint(0, 14)}", rng.choice(["openai", "gemini", None]),
+                                    rng.choice(["a.com", "b.com", None]), rng.choice(["video", "other", None])) for _ in range(400)],
+                                  "run_id string, prompt_id string, provider string, domain string, domain_type string")
+    plain = (cites.filter("domain_type IS NOT NULL").alias("c").join(mentions.alias("b"), ["prompt_id", "provider"])
+             .groupBy("domain_type", "brand").agg(
+                 F.count_distinct("prompt_id", "provider").alias("keys"), F.count_distinct("b.run_id", "prompt_id", "provider").alias("runs"),
+                 F.avg("b.position").alias("pos"), F.count_distinct("c.domain").alias("domains")))
+    want = {(r.domain_type, r.brand): (r["keys"], r.runs, pytest.approx(r.pos), r.domains) for r in plain.collect()}
+    base = {(r.domain_type, r.brand): r for r in features.source_features(cites, mentions).collect()}
+    matrix = {(r.domain_type, r.brand): r for r in features.training_matrix(cites, mentions).collect()}
+    assert set(base) == set(matrix) == set(want)
+    assert {k: (base[k].cooccurrence_count, matrix[k].cooccurrence, base[k].avg_position_with_source, matrix[k].unique_domains) for k in want} == want
+
+
+def test_unknown_target_has_no_gap(data):
+    rows = features.brand_features(data[0], ["A", "Nobody"]).collect()
+    assert all((r.gap_vs_target is None) == (r.target == "Nobody") for r in rows)
+    assert [r.gap_vs_target for r in rows if r.target == r.brand == "A"] == [0]
+
+
+def test_demo_facts(spark):
+    demo = demo_facts(spark)
+    assert demo["llm_responses"].count() == 40 * 4 * 3
+    per_slot = demo["brand_mentions"].groupBy("run_id", "prompt_id", "provider").agg(F.count("*").alias("n"), F.count_distinct("brand").alias("b"), F.max("position").alias("m"))
+    assert per_slot.filter("n < 2 OR n > 4 OR b <> n OR m <> n").isEmpty() and per_slot.count() == 480
+    moods = {r.sentiment: r["count"] for r in demo["brand_mentions"].groupBy("sentiment").count().collect()}
+    assert moods["positive"] > moods["neutral"] > moods["negative"]
+    again = demo_facts(spark)["brand_mentions"].repartition(3)
+    assert again.exceptAll(demo["brand_mentions"]).isEmpty()
