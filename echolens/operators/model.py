@@ -39,7 +39,7 @@ def split(matrix: DataFrame, seed: int = 42, test_percent: int = 20) -> tuple[Da
 def train_model(matrix: DataFrame, trees: int = 200, seed: int = 42) -> Trained:
     """Fit on 80 % of the rows and report MAE and R² on the rest. Raises if there are no rows."""
     ensure_checkpoints(matrix.sparkSession)  # else the lineage of the residuals grows with every tree
-    rows = _filled(matrix).persist()
+    rows, train = _filled(matrix).persist(), None
     try:
         count = rows.count()
         if count == 0:
@@ -59,6 +59,8 @@ def train_model(matrix: DataFrame, trees: int = 200, seed: int = 42) -> Trained:
         return Trained(model, score("mae"), score("r2"))
     finally:
         rows.unpersist()
+        if train is not None:
+            train.unpersist()
 
 
 def model_quality(spark: SparkSession, trained: Trained) -> DataFrame:

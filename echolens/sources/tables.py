@@ -1,7 +1,8 @@
 """The product tables as partitioned Parquet folders under one root.
 
 Mentions and citations are append-only and partitioned by month and load. Answers and prompts are upserted: they
-are partitioned by a hash bucket of their key, so an upsert rewrites only the buckets it touches.
+are partitioned by a hash bucket of their key: an upsert appends where its runs are new and rewrites
+only the buckets that already hold one of them.
 """
 
 import uuid
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from echolens.operators.answers import base_run
 from echolens.schemas import SLOT, TABLES
-from echolens.session import scratch
+from echolens.session import stored
 
 #: Upserted tables: key, column the bucket is taken from, number of buckets.
 _UPSERTED = {"llm_responses": (SLOT, "run_id", 64), "prompts": (["prompt_id"], "prompt_id", 8)}
@@ -75,26 +76,33 @@ def save_citations(df: DataFrame, root: str, load: str | None = None) -> None:
 
 
 def _merge_buckets(incoming: DataFrame, root: str, name: str, order: list[str]) -> None:
-    """Rewrite the touched buckets with old and new rows merged, the new ones winning."""
+    """Add rows; where one of their runs (or prompts) is stored already, the new row of a key replaces the old.
+
+    Buckets without such a meeting only receive an append. The others are rewritten, from storage because a table can't
+    be overwritten while it is being read.
+    """
     spark = incoming.sparkSession
     keys, source, buckets = _UPSERTED[name]
+    path = table_path(root, name)
     bucket = F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int").alias(_BUCKET)
-    # Kept on storage first: the incoming frame is read twice and may itself come from the table.
-    staged = scratch(spark, f"{name}-incoming")
-    incoming.select("*", bucket).write.parquet(staged)
-    incoming = spark.read.parquet(staged)
+    # Kept on storage first: the incoming frame is read several times and may itself come from the table.
+    incoming = stored(incoming.select("*", bucket), f"{name}-incoming")
     touched = [row[0] for row in incoming.select(_BUCKET).distinct().collect()]  # at most ``buckets`` values
     if not touched:
         return
-    stored = spark.read.schema(incoming.schema).parquet(table_path(root, name)).filter(F.col(_BUCKET).isin(touched))
-    both = (stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1))))
-    columns = incoming.columns
-    merged = latest_rows(both, [*keys, _BUCKET], ["_new", *order]).select(*columns)
-    # The table can't be overwritten while it is being read.
-    swap = scratch(spark, f"{name}-merged")
-    merged.write.parquet(swap)
-    (spark.read.schema(incoming.schema).parquet(swap).hint("rebalance", F.col(_BUCKET))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(table_path(root, name)))
+    known = spark.read.schema(incoming.schema).parquet(path).filter(F.col(_BUCKET).isin(touched))
+    meeting = incoming.join(known.select(source).distinct(), source, "left_semi").select(_BUCKET).distinct()
+    rewritten = [row[0] for row in meeting.collect()]
+    merged = None
+    if rewritten:
+        both = (known.filter(F.col(_BUCKET).isin(rewritten)).withColumn("_new", F.lit(0))
+                .unionByName(incoming.filter(F.col(_BUCKET).isin(rewritten)).withColumn("_new", F.lit(1))))
+        merged = stored(latest_rows(both, [*keys, _BUCKET], ["_new", *order]).select(*incoming.columns), f"{name}-merged")
+    added = latest_rows(incoming.filter(~F.col(_BUCKET).isin(rewritten)), [*keys, _BUCKET], order)
+    added.hint("rebalance", F.col(_BUCKET)).write.mode("append").partitionBy(_BUCKET).parquet(path)
+    if merged is not None:
+        (merged.hint("rebalance", F.col(_BUCKET)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(_BUCKET).parquet(path))
 
 
 def save_responses(df: DataFrame, root: str, mode: str = "upsert", order: list[str] | None = None) -> None:
@@ -109,9 +117,9 @@ def save_responses(df: DataFrame, root: str, mode: str = "upsert", order: list[s
          .write.mode("append").partitionBy(_BUCKET).parquet(table_path(root, "llm_responses")))
 
 
-def unseen_runs(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows whose run, with or without its trial suffix, hasn't been stored yet."""
-    known = stored.select(F.col("run_id").alias("known_run")).distinct()
+def unseen_runs(new: DataFrame, responses: DataFrame) -> DataFrame:
+    """Rows whose run, with or without its trial suffix, isn't in the stored ``responses``."""
+    known = responses.select(F.col("run_id").alias("known_run")).distinct()
     return (new.join(known, new["run_id"] == F.col("known_run"), "left_anti")
             .join(known, base_run(new["run_id"]) == F.col("known_run"), "left_anti"))
 
@@ -123,16 +131,13 @@ def upsert_prompts(df: DataFrame, root: str, at: Column | None = None) -> None:
     _merge_buckets(rows, root, "prompts", ["created_at", "prompt_text", "category", "target_brands"])
 
 
-def missing_prompts(df: DataFrame, stored: DataFrame) -> DataFrame:
-    return df.join(stored.select("prompt_id"), "prompt_id", "left_anti")
+def missing_prompts(df: DataFrame, existing: DataFrame) -> DataFrame:
+    return df.join(existing.select("prompt_id"), "prompt_id", "left_anti")
 
 
 def seed_prompts(df: DataFrame, root: str, at: Column | None = None) -> int:
     """Insert the prompts that aren't stored yet and say how many that were."""
-    spark = df.sparkSession
-    staged = scratch(spark, "seeds")
-    missing_prompts(conform(df, "prompts"), read_table(spark, root, "prompts")).write.parquet(staged)
-    new = spark.read.parquet(staged)
+    new = stored(missing_prompts(conform(df, "prompts"), read_table(df.sparkSession, root, "prompts")), "seeds")
     upsert_prompts(new, root, at)
     return new.select("prompt_id").distinct().count()
 
@@ -154,23 +159,17 @@ def get_prompt(prompts: DataFrame, prompt_id: str) -> DataFrame:
 
 def create_prompts(df: DataFrame, root: str, at: Column | None = None) -> DataFrame:
     """Insert new prompts, giving an id where there is none, and return the rows refused because their id exists."""
-    spark = df.sparkSession
     fresh = F.concat(F.lit("custom_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8))
-    staged = scratch(spark, "new-prompts")
-    conform(df, "prompts").withColumn("prompt_id", F.coalesce("prompt_id", fresh)).write.parquet(staged)
-    rows, refused = spark.read.parquet(staged), scratch(spark, "refused-prompts")
-    rows.join(read_table(spark, root, "prompts").select("prompt_id"), "prompt_id", "left_semi").write.parquet(refused)
-    conflicts = spark.read.parquet(refused)
+    rows = stored(conform(df, "prompts").withColumn("prompt_id", F.coalesce("prompt_id", fresh)), "new-prompts")
+    existing = read_table(df.sparkSession, root, "prompts").select("prompt_id")
+    conflicts = stored(rows.join(existing, "prompt_id", "left_semi"), "refused-prompts")
     upsert_prompts(rows.join(conflicts.select("prompt_id"), "prompt_id", "left_anti"), root, at)
     return conflicts
 
 
 def delete_prompts(ids: DataFrame, root: str) -> int:
     """Delete prompts by id and say how many existed. The rows stay as marked ones that no reader sees."""
-    spark = ids.sparkSession
-    staged = scratch(spark, "deleted-prompts")
-    (read_table(spark, root, "prompts").join(ids.select("prompt_id").distinct(), "prompt_id", "left_semi")
-     .write.parquet(staged))
-    gone = spark.read.parquet(staged)
+    wanted = ids.select("prompt_id").distinct()
+    gone = stored(read_table(ids.sparkSession, root, "prompts").join(wanted, "prompt_id", "left_semi"), "deleted-prompts")
     _merge_buckets(gone.withColumn(_DELETED, F.lit(True)), root, "prompts", ["created_at"])
     return gone.count()

@@ -1,0 +1,230 @@
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from echolens.operators import fanout, requests
+from echolens.operators.numbering import number_rows
+from echolens.plans.batch import run_batch
+from echolens.schemas import TABLES
+from echolens.session import scratch
+from echolens.sources import raw_runs, tables
+from echolens.streaming import jobs
+
+ANSWER = "run_id string, prompt_id string, provider string, response_text string, latency_ms int, created_at timestamp"
+BRANDS = json.dumps(["Asana", "Jira", "Monday.com"])
+
+
+@pytest.fixture
+def root(spark):
+    path = scratch(spark, "tables")
+    tables.create_tables(spark, path)
+    return path
+
+
+def answer(run, text, day=1, prompt="p"):
+    return (run, prompt, "openai", text, 5, datetime(2026, 1, day))
+
+
+def prompts(spark, *ids, category="crm"):
+    return spark.createDataFrame([(i, f"text {i}", category, BRANDS) for i in ids], "prompt_id string, prompt_text string, category string, target_brands string")
+
+
+def test_created_tables_are_empty_and_typed(spark, root):
+    for name, schema in TABLES.items():
+        table = tables.read_table(spark, root, name)
+        assert table.schema.fieldNames() == schema.fieldNames() and table.isEmpty()
+    tables.create_tables(spark, root)
+
+
+def test_upsert_keeps_the_last_answer_per_slot(spark, root):
+    tables.save_responses(spark.createDataFrame([answer("r1", "old"), answer("r2", "kept"), answer("r3", "a", 1), answer("r3", "b", 2)], ANSWER), root)
+    tables.save_responses(spark.createDataFrame([answer("r1", "new", 1)], ANSWER), root)
+    tables.save_responses(spark.createDataFrame([], ANSWER), root)
+    assert {(r.run_id, r.response_text) for r in tables.read_table(spark, root, "llm_responses").collect()} == {("r1", "new"), ("r2", "kept"), ("r3", "b")}
+
+
+def test_append_keeps_all_answers(spark, root):
+    for _ in range(2):
+        tables.save_responses(spark.createDataFrame([answer("r1", "x")], ANSWER), root, mode="append")
+    assert tables.read_table(spark, root, "llm_responses").count() == 2
+
+
+def test_latest_rows_of_a_hot_key(spark):
+    rows = spark.range(100_000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) AS k", "id AS at", "concat('v', id) AS v")
+    got = tables.latest_rows(rows, ["k"], ["at"])
+    assert got.count() == 66_667 and got.filter("k = 'hot'").first().v == "v99999"
+
+
+def test_loads_append_or_replace(spark, root):
+    rows = spark.createDataFrame([("r", "p", "x", "Asana", 1, "neutral", "s", datetime(2026, m, 1)) for m in (1, 2)], TABLES["brand_mentions"])
+    tables.save_mentions(rows, root)
+    tables.save_mentions(rows, root)
+    tables.save_mentions(rows, root, load="l")
+    tables.save_mentions(rows, root, load="l")
+    tables.save_mentions(rows.limit(0), root)
+    assert tables.read_table(spark, root, "brand_mentions").count() == 6
+
+
+def test_unseen_runs(spark):
+    stored = spark.createDataFrame([("a",), ("b-t0",)], "run_id string")
+    new = spark.createDataFrame([("a-t0",), ("a",), ("b-t0",), ("b-t1",), ("my-test",)], "run_id string")
+    assert sorted(r.run_id for r in tables.unseen_runs(new, stored).collect()) == ["b-t1", "my-test"]
+
+
+def test_prompt_life_cycle(spark, root):
+    first, second = F.lit("2026-01-01"), F.lit("2026-01-02")
+    assert tables.seed_prompts(prompts(spark, "a", "b", "c"), root, first) == 3
+    assert tables.seed_prompts(prompts(spark, "b", "c", "d"), root, second) == 1
+    tables.upsert_prompts(prompts(spark, "a", category="new"), root, F.lit("2026-01-03"))
+    listed = tables.list_prompts(tables.read_table(spark, root, "prompts")).collect()
+    assert [(r.prompt_id, r.category) for r in listed] == [("b", "crm"), ("c", "crm"), ("d", "crm"), ("a", "new")]
+    assert listed[0].target_brands == ["Asana", "Jira", "Monday.com"]
+
+    refused = tables.create_prompts(prompts(spark, "a", "e").unionByName(prompts(spark, "x").withColumn("prompt_id", F.lit(None).cast("string"))), root)
+    assert [r.prompt_id for r in refused.collect()] == ["a"]
+    now = {r.prompt_id for r in tables.read_table(spark, root, "prompts").collect()}
+    assert len(now) == 6 and any(i.startswith("custom_") and len(i) == 15 for i in now)
+
+    ids = spark.createDataFrame([("b",), ("nope",)], "prompt_id string")
+    assert tables.delete_prompts(ids, root) == 1 and tables.delete_prompts(ids, root) == 0
+    assert tables.get_prompt(tables.read_table(spark, root, "prompts"), "b").isEmpty()
+    assert tables.seed_prompts(prompts(spark, "b"), root) == 1
+    assert tables.get_prompt(tables.read_table(spark, root, "prompts"), "b").count() == 1
+
+
+def write_array(path, run, texts):
+    rows = [{"run_id": run, "prompt_id": "p", "prompt_text": "q", "provider": "openai", "model": "m", "response_text": t,
+             "latency_ms": 3, "created_at": "2026-01-01T00:00:00", "error": None} for t in texts]
+    path.write_text(json.dumps(rows, indent=2))
+
+
+def test_raw_array_files_and_latest_run(spark, tmp_path):
+    import os
+    write_array(tmp_path / "run_a.json", "a", ["one", "two"])
+    write_array(tmp_path / "run_b.json", "b", ["three"])
+    os.utime(tmp_path / "run_b.json", (1, 1))
+    assert sorted(r.response_text for r in raw_runs.read_raw_runs(spark, str(tmp_path)).collect()) == ["one", "three", "two"]
+    assert {r.run_id for r in raw_runs.latest_run(spark, str(tmp_path)).collect()} == {"a"}
+
+
+@pytest.mark.parametrize("n, slices", [(1000, 8), (3, 64), (1, 4)])
+def test_rows_are_numbered_in_order(spark, n, slices):
+    rows = spark.range(n).selectExpr("int(id % 7) AS a", "concat('k', id) AS b").repartition(5)
+    got = [(r.a, r.b) for r in number_rows(rows, ["a", "b"], slices=slices).orderBy("row_number").collect()]
+    assert got == sorted(got) and len(got) == n
+    assert [r.row_number for r in number_rows(rows, ["a", "b"], slices=slices).orderBy("row_number").collect()] == list(range(1, n + 1))
+
+
+def test_request_plan(spark):
+    stored = prompts(spark, *[f"p{i:02d}" for i in range(25)]).withColumn("created_at", F.lit("2026-01-01").cast("timestamp"))
+    plan = requests.request_plan(stored, "base", ["openai", "gemini"], n_runs=3)
+    assert plan.count() == 25 * 2 * 3
+    assert {(r.batch, r.n) for r in plan.groupBy("batch").agg(F.count_distinct("prompt_id").alias("n")).collect()} == {(0, 10), (1, 10), (2, 5)}
+    assert {r.run_id for r in plan.collect()} == {"base-t0", "base-t1", "base-t2"}
+    assert {r.run_id for r in requests.request_plan(stored, "base").collect()} == {"base"}
+
+
+def test_client_failures_become_error_rows(spark):
+    plan = spark.createDataFrame([("r", "p", "good", "openai"), ("r", "q", "bad", "openai")], "run_id string, prompt_id string, prompt_text string, provider string")
+
+    def client():
+        def call(provider, prompt):
+            if prompt == "bad":
+                raise TimeoutError("timeout")
+            return "m1", f"{provider} says {prompt}"
+        return call
+
+    rows = {r.prompt_id: r for r in requests.collect_responses(plan, client, 2).collect()}
+    assert (rows["p"].response_text, rows["p"].model, rows["p"].error) == ("openai says good", "m1", None)
+    assert (rows["q"].response_text, rows["q"].error) == ("", "timeout") and rows["q"].latency_ms >= 0
+
+
+def test_fanout_client(spark):
+    rows = spark.createDataFrame([("1", "crm", "best crm?", ["HubSpot"]), ("2", "crm", "bad", ["HubSpot"])], "id string, category string, original string, target_brands array<string>")
+
+    def client():
+        def call(prompt):
+            if prompt == "bad":
+                raise ValueError("no")
+            return ["best crm 2026 review", "HubSpot vs others"], "y" * 700
+        return call
+
+    records = fanout.collect_fanout(rows, client, 2).cache()
+    by_id = {r.id: r for r in records.collect()}
+    assert (by_id["1"].n_queries, len(by_id["1"].response_text), by_id["2"].error, by_id["2"].fanout_queries) == (2, 600, "no", [])
+    queries = fanout.fanout_explode(records)
+    assert {(r.token, r.category) for r in fanout.fanout_tokens(queries, 2026).collect()} == {
+        ("best", "comparison"), ("crm", "other"), ("2026", "temporal"), ("review", "evaluation"), ("hubspot", "other"), ("others", "other")}
+    (first, second) = fanout.brand_injection(queries).orderBy("fanout_query").collect()
+    assert (first.new_brands, first.brand_injected, second.new_brands) == ("HubSpot", True, "—")
+    summary = fanout.injection_summary(fanout.brand_injection(queries)).first()
+    assert (summary.total_queries, summary.with_brand, summary.with_brand_pct) == (2, 1, 50.0)
+    presence = fanout.keyword_presence(queries).first()
+    assert (presence.evaluation_pct, presence.comparison_pct) == (50.0, 100.0)
+
+
+def test_batch_run_is_stored_once(spark, root):
+    tables.upsert_prompts(prompts(spark, "a", "b"), root)
+    done = run_batch(spark, root, "base", category="crm", n_runs=3)
+    assert done.mentions.groupBy("provider").count().count() == 3
+    assert {(r.brand, r.mentions) for r in done.counts.collect()} == {("Asana", 6), ("Jira", 4), ("Monday.com", 4)}
+    assert tables.read_table(spark, root, "llm_responses").count() == 2 * 3 * 3
+    assert done.alerts.count() == 3 and "Trello" in {r.entity for r in done.discovered.collect()}
+    again = run_batch(spark, root, "base", n_runs=3)
+    assert again.mentions.isEmpty()
+    assert tables.read_table(spark, root, "llm_responses").count() == 18
+    single = run_batch(spark, root, "other")
+    assert single.mentions.count() == 14 and tables.read_table(spark, root, "brand_mentions").count() == 28
+
+
+def run_stream(writer):
+    query = writer.start()
+    query.awaitTermination()
+    return query
+
+
+def test_ingested_stream_equals_batch_and_survives_replay(spark, root, tmp_path):
+    rows = spark.createDataFrame([(f"r{i % 4}", f"p{i}", "openai", "Asana and Jira https://g2.com/a", 3, datetime(2026, 1, 1)) for i in range(20)], ANSWER)
+    known = prompts(spark, *[f"p{i}" for i in range(20)])
+    early, late = rows.filter("run_id < 'r2'"), rows.filter("run_id >= 'r2'")
+    for part in (early, late):
+        raw_runs.write_raw_run(part, str(tmp_path / "raw" / part.first().run_id))
+        run_stream(jobs.ingest_runs(spark, str(tmp_path / "raw"), root, known, str(tmp_path / "cp")))
+    assert tables.read_table(spark, root, "llm_responses").count() == 20
+    assert tables.read_table(spark, root, "brand_mentions").count() == 40
+    assert tables.read_table(spark, root, "citation_sources").count() == 20
+    # A batch that failed after its mentions were written is run again under the same id.
+    other = scratch(spark, "tables")
+    tables.create_tables(spark, other)
+    from echolens.operators.analysis import analyze_responses
+    full = tables.conform(early, "llm_responses")
+    tables.save_mentions(analyze_responses(full, known).mentions, other, load="stream-0")
+    jobs.ingest_batch(full, 0, other, known)
+    assert tables.read_table(spark, other, "brand_mentions").count() == 20
+
+
+def test_late_rows_are_dropped_after_the_watermark(spark, tmp_path):
+    schema = "brand string, position int, sentiment string, created_at timestamp"
+    path = str(tmp_path / "in")
+    def load(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        run_stream(jobs.daily_metrics_stream(stream).writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out"))
+                   .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True))
+    load(("A", 1, "positive", datetime(2026, 1, 1, 5)), ("A", 2, "negative", datetime(2026, 1, 1, 9)))
+    load(("A", 1, "neutral", datetime(2026, 1, 20)))
+    load(("A", 9, "neutral", datetime(2026, 1, 1, 7)), ("A", 1, "neutral", datetime(2026, 2, 20)))
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("date").collect()
+    assert [(str(r.date), r.mention_count, r.avg_position, r.sentiment_score) for r in rows] == [("2026-01-01", 2, 1.5, 0.0), ("2026-01-20", 1, 1.0, 0.0)]
+
+
+def test_alert_stream_follows_the_tables(spark, root, tmp_path):
+    tables.upsert_prompts(prompts(spark, "p"), root)
+    tables.save_responses(spark.createDataFrame([answer(f"r{i}", "x") for i in range(10)], ANSWER), root, mode="append")
+    tables.save_mentions(spark.createDataFrame([("r0", "p", "openai", "Asana", 1, "neutral", "s", datetime(2026, 1, 1))], TABLES["brand_mentions"]), root)
+    stream = spark.readStream.schema(TABLES["llm_responses"]).option("recursiveFileLookup", True).parquet(tables.table_path(root, "llm_responses"))
+    run_stream(jobs.alert_stream(stream, root, str(tmp_path / "alerts"), str(tmp_path / "cp")))
+    (row,) = spark.read.parquet(str(tmp_path / "alerts")).collect()
+    assert (row.brand, row.current, row.reason) == ("Asana", 10.0, "below threshold")
