@@ -98,8 +98,9 @@ def _merge_buckets(incoming: DataFrame, root: str, name: str, order: list[str])
         both = (known.filter(F.col(_BUCKET).isin(rewritten)).withColumn("_new", F.lit(0))
                 .unionByName(incoming.filter(F.col(_BUCKET).isin(rewritten)).withColumn("_new", F.lit(1))))
         merged = stored(latest_rows(both, [*keys, _BUCKET], ["_new", *order]).select(*incoming.columns), f"{name}-merged")
-    added = latest_rows(incoming.filter(~F.col(_BUCKET).isin(rewritten)), [*keys, _BUCKET], order)
-    added.hint("rebalance", F.col(_BUCKET)).write.mode("append").partitionBy(_BUCKET).parquet(path)
+    if set(rewritten) != set(touched):
+        added = latest_rows(incoming.filter(~F.col(_BUCKET).isin(rewritten)), [*keys, _BUCKET], order)
+        added.hint("rebalance", F.col(_BUCKET)).write.mode("append").partitionBy(_BUCKET).parquet(path)
     if merged is not None:
         (merged.hint("rebalance", F.col(_BUCKET)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(_BUCKET).parquet(path))
