@@ -1,9 +1,10 @@
 """DuckDB counterparts of the registered queries, written independently over the driver's views."""
 
-from echolens.fixed import ACTIONS, CATEGORY_LABELS, DEFAULT_ACTION, DOMAIN_RULES, DOMAIN_WEIGHTS, PROVIDERS
+from echolens.fixed import ACTIONS, CANNED_ANSWERS, CATEGORY_LABELS, DEFAULT_ACTION, DOMAIN_RULES, DOMAIN_WEIGHTS, PROVIDERS
 from echolens.functions.text import SPACES
 from echolens.operators.entities import CAPITALISED
 from echolens.operators.scoring import FALLBACK_REASON
+from echolens.operators.sentiment import NEGATIVE_WORDS, POSITIVE_WORDS
 from echolens.plans import registry as r
 from echolens.plans.adapters import TERMS
 
@@ -362,12 +363,35 @@ def oracle_sql() -> dict[str, str]:
     share = lambda kind: f"(SELECT max(pct) FROM mix WHERE provider = 'openai' AND domain_type = '{kind}') AS {kind}_pct"
     sql["fanout_vs_citations"] = with_(STAR, MIX, FANOUT) + f"SELECT {presence}, {share('review_site')}, {share('tech_media')} FROM fan"
     sql["collect_responses"] = star + _canned_sql()
+    sql["collect_with_client"] = star + f"""SELECT concat('base-t', CAST(trial AS VARCHAR)) AS run_id, prompt_id, provider,
+ CASE WHEN suffix(prompt_text, '7?') THEN NULL ELSE 'echo-' || provider END AS model,
+ CASE WHEN suffix(prompt_text, '7?') THEN '' ELSE provider || ' says: ' || prompt_text END AS response_text,
+ CASE WHEN suffix(prompt_text, '7?') THEN 'timeout' END AS error FROM prompts
+ CROSS JOIN (SELECT unnest([0, 1, 2]) AS trial) CROSS JOIN (SELECT unnest([{listed(PROVIDERS)}]) AS provider)"""
+    sql["run_batch"] = star + f""", canned(provider, answer) AS (VALUES {_canned_rows()}),
+ brands AS (SELECT unnest(['Asana', 'Jira', 'Monday.com', 'Linear', 'ClickUp']) AS brand),
+ seen AS (SELECT provider, brand, answer, strpos(answer, brand) AS start FROM canned CROSS JOIN brands WHERE contains(answer, brand)),
+ placed AS (SELECT provider, brand, row_number() OVER (PARTITION BY provider ORDER BY start) AS position,
+  {_STRIP('substring(answer, greatest(start - 101, 0) + 1, start - 1 + length(brand) + 100 - greatest(start - 101, 0))')} AS snippet FROM seen),
+ moods AS (SELECT *, {_count('snippet', POSITIVE_WORDS)} - {_count('snippet', NEGATIVE_WORDS)} AS mood FROM placed)
+ SELECT 'base-t1' AS run_id, provider, brand, position, CASE WHEN mood > 0 THEN 'positive' WHEN mood < 0 THEN 'negative' ELSE 'neutral' END AS sentiment,
+  (SELECT count(*) FROM prompts) AS mentions FROM moods"""
+    sql["judge_with_client"] = with_(TEXT, HITS) + """SELECT run_id, prompt_id, provider, brand,
+ CASE WHEN length(snippet) % 5 = 0 THEN 'neutral' ELSE ['positive', 'neutral', 'negative'][length(snippet) % 3 + 1] END AS sentiment,
+ CASE WHEN length(snippet) % 5 = 0 THEN 'judge_error' ELSE brand END AS reason FROM hits"""
+    sql["collect_fanout"] = """SELECT CAST(doc_id AS VARCHAR) AS id, lang AS category,
+ CASE WHEN starts_with(text, 'A') THEN '' ELSE replace(text, '. ', '|') END AS fanout_queries,
+ CASE WHEN starts_with(text, 'A') THEN 0 ELSE len(string_split(text, '. ')) END AS n_queries,
+ CASE WHEN starts_with(text, 'A') THEN 'timeout' END AS error FROM documents"""
+    sql["save_and_load_model"] = sql["training_matrix"]
     sql["alert_stream"] = with_(STAR, VISIBILITY, ALERT_COMPAT.replace("75.5", "15")) + "SELECT category, brand, current, previous, reason FROM alerts WHERE triggered"
     return sql
 
 
+def _canned_rows() -> str:
+    return ", ".join(f"({q(p)}, {q(t)})" for p, t in CANNED_ANSWERS.items())
+
+
 def _canned_sql() -> str:
-    from echolens.fixed import CANNED_ANSWERS
-    rows = ", ".join(f"({q(p)}, {q(t)})" for p, t in CANNED_ANSWERS.items())
     return f"""SELECT provider, concat('mock-', provider) AS model, count(*) AS answers, CAST(sum(length(answer)) AS BIGINT) AS chars,
- CAST(sum(100) AS BIGINT) AS latency_ms, CAST(0 AS BIGINT) AS errors FROM prompts CROSS JOIN (VALUES {rows}) c(provider, answer) GROUP BY 1"""
+ CAST(sum(100) AS BIGINT) AS latency_ms, CAST(0 AS BIGINT) AS errors FROM prompts CROSS JOIN (VALUES {_canned_rows()}) c(provider, answer) GROUP BY 1"""

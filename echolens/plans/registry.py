@@ -9,6 +9,7 @@ from echolens.fixed import PROVIDERS
 from echolens.operators import (alerts, analysis, answers, boards, citations, entities, fanout, features, mentions, metrics,
                                 model, requests, scoring, sentiment, voting)
 from echolens.plans import adapters as a
+from echolens.plans import batch
 from echolens.schemas import SLOT, TABLES
 from echolens.session import scratch, stored
 from echolens.sources import raw_runs, tables
@@ -183,6 +184,34 @@ def collect_responses(spark, sf):
         F.sum(F.col("latency_ms").cast("long")).alias("latency_ms"), F.count("error").alias("errors"))
 
 
+@query
+def collect_with_client(spark, sf):
+    """Requests answered by a client function on the executors; some of them fail."""
+    def client():
+        def call(provider, prompt):
+            if prompt.endswith("7?"):
+                raise TimeoutError("timeout")
+            return f"echo-{provider}", f"{provider} says: {prompt}"
+        return call
+
+    plan = requests.request_plan(a.star_prompts(spark, sf), "base", n_runs=3)
+    answered = requests.collect_responses(plan, client, spark.sparkContext.defaultParallelism)
+    return answered.select("run_id", "prompt_id", "provider", "model", "response_text", "error")
+
+
+@query
+def run_batch(spark, sf):
+    """The whole batch job with offline answers, run twice under one id: mentions by provider, brand and position."""
+    root = scratch(spark, "tables")
+    tables.create_tables(spark, root)
+    asked = a.star_prompts(spark, sf).withColumn("target_brands", F.lit('["Asana", "Jira", "Monday.com", "Linear", "ClickUp"]'))
+    tables.upsert_prompts(asked, root, at=F.lit("2024-02-01"))
+    for _ in range(2):
+        batch.run_batch(spark, root, "base", n_runs=3)
+    return (tables.read_table(spark, root, "brand_mentions").groupBy("run_id", "provider", "brand", "position", "sentiment")
+            .agg(F.count(F.lit(1)).alias("mentions")))
+
+
 @query
 def run_summary(spark, sf):
     return answers.run_summary(a.text_responses(spark, sf))
@@ -235,6 +264,21 @@ def judge_sentiment(spark, sf):
     return judged.select(*SLOT, "brand", "sentiment")
 
 
+@query
+def judge_with_client(spark, sf):
+    """Snippets judged by a client function on the executors; some calls fail."""
+    def client():
+        def call(brand, snippet):
+            if len(snippet) % 5 == 0:
+                raise ValueError("unreachable")
+            label = ("positive", "neutral", "negative")[len(snippet) % 3]
+            return '{"sentiment": "%s", "reason": "%s"}' % (label, brand)
+        return call
+
+    found = mentions.detect_brands(_valid_text(spark, sf), a.text_prompts(spark, sf)).select(*SLOT, "brand", "snippet")
+    return sentiment.judge_with_client(found, client).select(*SLOT, "brand", "sentiment", "reason")
+
+
 @query
 def parse_judgement(spark, sf):
     labels = a.table(spark, sf, "labels")
@@ -489,6 +533,12 @@ def feature_importance(spark, sf):
     return model.feature_importance(spark, _model(spark, sf)[0].model)
 
 
+@query
+def save_and_load_model(spark, sf):
+    """The feature rows stored with the model."""
+    return model.load_model(spark, _model(spark, sf)[1])[1]
+
+
 @query
 def predict_opportunities(spark, sf):
     return model.predict_opportunities(*model.load_model(spark, _model(spark, sf)[1]))
@@ -548,6 +598,22 @@ def _tokens(spark, sf):
     return fanout.fanout_tokens(_exploded(spark, sf), YEAR, CORPUS_CLASSES, CORPUS_STOP_WORDS)
 
 
+@query
+def collect_fanout(spark, sf):
+    """Search queries a client function derives from each document's text; some calls fail."""
+    def client():
+        def call(prompt):
+            if prompt.startswith("A"):
+                raise TimeoutError("timeout")
+            return prompt.split(". "), prompt
+        return call
+
+    asked = a.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("category"),
+                                                   F.col("text").alias("original"), F.array(F.lit("from")).alias("target_brands"))
+    records = fanout.collect_fanout(asked, client, spark.sparkContext.defaultParallelism)
+    return records.select("id", "category", F.array_join("fanout_queries", "|").alias("fanout_queries"), "n_queries", "error")
+
+
 @query
 def fanout_explode(spark, sf):
     return _exploded(spark, sf).select("id", "category", "fanout_query")
