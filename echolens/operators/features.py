@@ -37,15 +37,14 @@ def cooccurrence(citations: DataFrame, mentions: DataFrame) -> DataFrame:
 def shared_domains(citations: DataFrame, mentions: DataFrame) -> DataFrame:
     """Distinct domains of a type cited wherever the brand is mentioned.
 
-    A key carries its sorted brand list (as long as its prompt's target list), so the join adds no rows. Few
-    different lists exist next to the number of keys: domains are deduplicated per list before lists are opened.
+    A key carries its brands as one list (no longer than its prompt's target list), so the join adds no rows
+    and a key with very many domains can be split. Opened lists are deduplicated on the map side at once.
     """
     lists = (mentions.dropna(subset=[*_MEET, "brand"]).select(*_MEET, "brand").distinct()
-             .groupBy(*_MEET).agg(F.array_sort(F.collect_list("brand")).alias("brands")))
+             .groupBy(*_MEET).agg(F.collect_list("brand").alias("brands")))
     domains = (citations.filter(F.col("domain_type").isNotNull()).dropna(subset=[*_MEET, "domain"])
                .select(*_MEET, "domain_type", "domain").distinct())
-    return (domains.join(lists, _MEET).select("domain_type", "domain", "brands").distinct()
-            .select("domain_type", "domain", F.explode("brands").alias("brand"))
+    return (domains.join(lists, _MEET).select("domain_type", "domain", F.explode("brands").alias("brand"))
             .groupBy("domain_type", "brand").agg(F.count_distinct("domain").alias("unique_domains")))
 
 
