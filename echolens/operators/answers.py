@@ -9,6 +9,13 @@ def valid_responses(responses: DataFrame) -> DataFrame:
     return responses.filter((F.coalesce("error", F.lit("")) == "") & (F.coalesce("response_text", F.lit("")) != ""))
 
 
+def target_list(prompts: DataFrame) -> Column:
+    """The brand list of a prompt: JSON text as stored (unreadable text gives NULL) or already an array."""
+    if dict(prompts.dtypes)["target_brands"] == "string":
+        return F.from_json("target_brands", "array<string>")
+    return F.col("target_brands")
+
+
 def base_run(run_id: Column | str = "run_id") -> Column:
     """Run id without its trial suffix."""
     return F.regexp_replace(run_id, r"-t\d+$", "")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from echolens.fixed import CATEGORY_LABELS, PROVIDER_LABELS, SENTIMENTS
 from echolens.functions.numbers import band_color, fixed, lookup, percent, score_band, title_label
 from echolens.operators import metrics
+from echolens.operators.answers import target_list
 
 
 def kpi_row(visibility: DataFrame, targets: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def kpi_row(visibility: DataFrame, targets: DataFrame) -> DataFrame:
 
 def target_brands_of(prompts: DataFrame) -> DataFrame:
     """(category, brand) rows the prompts ask about."""
-    return (prompts.select("category", F.explode(F.from_json("target_brands", "array<string>")).alias("brand"))
+    return (prompts.select("category", F.explode(target_list(prompts)).alias("brand"))
             .distinct())
 
 

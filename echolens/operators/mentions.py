@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolens.functions.text import WORD, fold, snippet, term_pattern
+from echolens.operators.answers import target_list
 
 #: Up to this many brands a row's list is prefiltered by substring search, beyond it by the row's words.
 SUBSTRING_LIST = 64
@@ -14,10 +15,7 @@ def prompt_terms(prompts: DataFrame) -> DataFrame:
 
     ``target_brands`` may be an array or JSON text. Patterns are built once per prompt, not per answer.
     """
-    brands = F.col("target_brands")
-    if dict(prompts.dtypes)["target_brands"] == "string":
-        brands = F.from_json(brands, "array<string>")
-    brands = F.filter(brands, lambda b: b.isNotNull() & (b != ""))
+    brands = F.filter(target_list(prompts), lambda b: b.isNotNull() & (b != ""))
     lowered = F.transform("brands", lambda b: F.lower(b))
     first = F.filter(F.transform("brands", lambda b, i: F.struct(b.alias("brand"), i.alias("idx"))),
                      lambda t: F.array_position(F.col("lowered"), F.lower(t["brand"])) == t["idx"] + 1)
@@ -65,7 +63,7 @@ def detect_brands(responses: DataFrame, prompts: DataFrame) -> DataFrame:
 
 def match_target_brands(responses: DataFrame, prompts: DataFrame) -> DataFrame:
     """Answer slots with the brand list of their prompt, empty for unknown prompts."""
-    lists = prompts.select("prompt_id", F.from_json("target_brands", "array<string>").alias("target_brands"))
+    lists = prompts.select("prompt_id", target_list(prompts).alias("target_brands"))
     return (responses.select("run_id", "prompt_id", "provider").join(lists, "prompt_id", "left")
             .withColumn("target_brands", F.coalesce("target_brands", F.array().cast("array<string>"))))
 

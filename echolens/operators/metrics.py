@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from echolens.fixed import PROVIDERS
 from echolens.functions.numbers import at_least_one, percent
+from echolens.operators.answers import target_list
 from echolens.schemas import SLOT
 
 MISSING_DATE = "—"
@@ -51,21 +52,25 @@ def only_category(prompts: DataFrame, category: str | None) -> DataFrame:
     return keep if category is None else keep.filter(F.col("category") == category)
 
 
-def distinct_slots(responses: DataFrame) -> DataFrame:
+#: Slots of voted data: mentions are stored once for all trials of a question, so its runs count once too.
+VOTED_SLOT = ["prompt_id", "provider"]
+
+
+def distinct_slots(responses: DataFrame, slot: list[str] = SLOT) -> DataFrame:
     """Distinct answer slots; a slot with a missing key part doesn't count."""
-    return responses.select(*SLOT).dropna().distinct()
+    return responses.select(*slot).dropna().distinct()
 
 
-def slots_by_category(responses: DataFrame, prompts: DataFrame, *extra: str) -> DataFrame:
-    per_prompt = distinct_slots(responses).groupBy("prompt_id", *extra).agg(F.count(F.lit(1)).alias("slots"))
+def slots_by_category(responses: DataFrame, prompts: DataFrame, *extra: str, slot: list[str] = SLOT) -> DataFrame:
+    per_prompt = distinct_slots(responses, slot).groupBy("prompt_id", *extra).agg(F.count(F.lit(1)).alias("slots"))
     return (per_prompt.join(only_category(prompts, None), "prompt_id")
             .groupBy("category", *extra).agg(F.sum("slots").alias("slots")))
 
 
 def visibility_summary(mentions: DataFrame, responses: DataFrame,
-                       brands: list[str] | None = None) -> DataFrame:
+                       brands: list[str] | None = None, slot: list[str] = SLOT) -> DataFrame:
     """Per brand: mentions, average position, sentiment rates and share of all answer slots."""
-    slots = distinct_slots(responses).agg(F.count(F.lit(1)).alias("slots"))
+    slots = distinct_slots(responses, slot).agg(F.count(F.lit(1)).alias("slots"))
     return (only_brands(mentions, brands or None)
             .groupBy("brand").agg(*_mention_sums())
             .select("brand", *_measures(slots.scalar()))
@@ -73,7 +78,8 @@ def visibility_summary(mentions: DataFrame, responses: DataFrame,
 
 
 def visibility_by_category(mentions: DataFrame, responses: DataFrame, prompts: DataFrame,
-                           category: str | None = None, brands: list[str] | None = None) -> DataFrame:
+                           category: str | None = None, brands: list[str] | None = None,
+                           slot: list[str] = SLOT) -> DataFrame:
     """As :func:`visibility_summary`, but both sides only count prompts of the category.
 
     An empty brand list gives an empty result; ``None`` means no brand filter.
@@ -81,7 +87,7 @@ def visibility_by_category(mentions: DataFrame, responses: DataFrame, prompts: D
     scope = only_category(prompts, category)
     per_prompt = only_brands(mentions, brands).groupBy("prompt_id", "brand").agg(*_mention_sums())
     per_brand = per_prompt.join(scope, "prompt_id").groupBy("category", "brand").agg(*_resum())
-    return (per_brand.join(slots_by_category(responses, scope), "category", "left")
+    return (per_brand.join(slots_by_category(responses, scope, slot=slot), "category", "left")
             .select("category", "brand", *_measures(F.col("slots")))
             .orderBy("category", F.desc("mentions"), "brand"))
 
@@ -202,7 +208,7 @@ def provider_breakdown(mentions: DataFrame, brand: str | None = None) -> DataFra
 
 def brands_by_category(prompts: DataFrame) -> DataFrame:
     """Sorted union of the target brands per category; prompts whose list isn't valid JSON are skipped."""
-    listed = prompts.select("category", F.explode(F.from_json("target_brands", "array<string>")).alias("brand"))
+    listed = prompts.select("category", F.explode(target_list(prompts)).alias("brand"))
     return (listed.distinct().groupBy("category")
             .agg(F.array_sort(F.collect_list("brand")).alias("brands"))
             .orderBy("category"))

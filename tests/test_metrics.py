@@ -46,6 +46,15 @@ def test_visibility_is_a_share_of_all_slots(spark):
     assert metrics.visibility_summary(said.limit(0), answers).collect() == []
 
 
+def test_voted_slots_count_all_trials_once(spark):
+    answers = spark.createDataFrame([(f"b-t{t}", f"p{i}", "x", DAY) for i in range(10) for t in range(3)], ANSWER)
+    said = spark.createDataFrame([("b-t1", f"p{i}", "x", "Asana", 1, "positive", DAY) for i in range(5)], MENTION)
+    assert metrics.visibility_summary(said, answers).first().visibility_pct == 16.7
+    assert metrics.visibility_summary(said, answers, slot=metrics.VOTED_SLOT).first().visibility_pct == 50.0
+    prompts = spark.createDataFrame([(f"p{i}", "t", "crm", "[]") for i in range(10)], PROMPT)
+    assert metrics.visibility_by_category(said, answers, prompts, slot=metrics.VOTED_SLOT).first().visibility_pct == 50.0
+
+
 def test_empty_brand_list_gives_an_empty_typed_frame(data):
     empty = metrics.visibility_by_category(*data, category="crm", brands=[])
     assert empty.columns == ["category", "brand", "mentions", "avg_position", "pos_rate", "neg_rate", "visibility_pct"]
