@@ -385,9 +385,21 @@ def oracle_sql() -> dict[str, str]:
  CASE WHEN starts_with(text, 'A') THEN 'timeout' END AS error FROM documents"""
     sql["save_and_load_model"] = sql["training_matrix"]
     sql["alert_stream"] = with_(STAR, VISIBILITY, ALERT_COMPAT.replace("75.5", "15")) + "SELECT category, brand, current, previous, reason FROM alerts WHERE triggered"
+    for name, columns in _INTEGERS.items():
+        casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
+        sql[name] = f"SELECT * REPLACE ({casts}) FROM ({sql[name]})"
     return sql
 
 
+#: Columns that are 32-bit in Spark.
+_INTEGERS = {
+    "run_summary": ["chars"], "detect_brands": ["position", "char_offset"], "majority_vote": ["position", "char_offset"],
+    "analyze_responses": ["position"], "analyze_voted_responses": ["position"], "collect_fanout": ["n_queries"],
+    "fanout_count_stats": ["min", "max"], "fanout_by_category": ["min", "max"], "brand_injection": ["n_brands_fanout"],
+    "ingest_runs": ["position"], "run_batch": ["position"],
+}
+
+
 def _canned_rows() -> str:
     return ", ".join(f"({q(p)}, {q(t)})" for p, t in CANNED_ANSWERS.items())
 
