@@ -13,12 +13,10 @@ from echolens.functions.text import WORD
 NO_BRANDS = "—"
 
 
-def collect_fanout(prompts: DataFrame, client: Callable[[], Callable[[str], tuple[list[str], str]]], partitions: int,
-                   keep_chars: int = 600) -> DataFrame:
+def collect_fanout(prompts: DataFrame, client: Callable[[], Callable[[str], tuple[list[str], str]]], partitions: int) -> DataFrame:
     """Ask a user client for the search queries of each prompt (id, category, original, target_brands).
 
-    ``client()`` is called once per task and returns a function prompt → (queries, answer). Of the answer only an excerpt is
-    stored, as context; no operator analyses it.
+    ``client()`` is called once per task and returns a function prompt → (queries, answer).
     """
     def ask(batches: Iterator) -> Iterator:
         call = client()
@@ -30,7 +28,7 @@ def collect_fanout(prompts: DataFrame, client: Callable[[], Callable[[str], tupl
                 except Exception as failure:
                     found, text, error = [], "", str(failure) or type(failure).__name__
                 queries.append(list(found))
-                texts.append((text or "")[:keep_chars])
+                texts.append(text or "")
                 errors.append(error)
             yield batch.assign(fanout_queries=queries, n_queries=[len(q) for q in queries], response_text=texts, error=errors)
 
@@ -113,7 +111,7 @@ def brand_injection(queries: DataFrame) -> DataFrame:
     new = F.filter("named", lambda b: ~F.contains(original, F.lower(b)))
     joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(NO_BRANDS)
     return (queries.withColumn("named", named).withColumn("new", new)
-            .select("category", F.concat(F.substring("original", 1, 70), F.lit("...")).alias("original"), "fanout_query",
+            .select("id", "category", "original", F.concat(F.substring("original", 1, 70), F.lit("...")).alias("shown"), "fanout_query",
                     F.size("named").alias("n_brands_fanout"), joined("named").alias("brands_in_fanout"),
                     joined("new").alias("new_brands"), (F.size("new") > 0).alias("brand_injected")))
 

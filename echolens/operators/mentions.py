@@ -3,12 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolens.functions.text import WORD, fold, snippet, term_pattern
+from echolens.functions.text import fold, snippet, term_pattern
 from echolens.operators.answers import target_list
 
-#: Up to this many brands a row's list is prefiltered by substring search, beyond it by the row's words.
-SUBSTRING_LIST = 64
-
 
 def prompt_terms(prompts: DataFrame) -> DataFrame:
     """(prompt_id, terms): the prepared search terms of each prompt, first spelling of a brand wins.
@@ -21,10 +18,7 @@ def prompt_terms(prompts: DataFrame) -> DataFrame:
                      lambda t: F.array_position(F.col("lowered"), F.lower(t["brand"])) == t["idx"] + 1)
     prepared = F.transform(first, lambda t: F.struct(
         t["brand"].alias("brand"), t["idx"].alias("idx"), F.char_length(t["brand"]).alias("length"),
-        fold(t["brand"]).alias("folded"),
-        # The first word of a term that starts with one is a whole word of any text holding the term.
-        F.when(t["brand"].rlike(f"^{WORD}"), F.regexp_extract(fold(t["brand"]), f"{WORD}+", 0)).alias("head"),
-        term_pattern(t["brand"]).alias("pattern")))
+        fold(t["brand"]).alias("folded"), term_pattern(t["brand"]).alias("pattern")))
     return (prompts.select("prompt_id", brands.alias("brands")).withColumn("lowered", lowered)
             .select("prompt_id", prepared.alias("terms")))
 
@@ -33,16 +27,13 @@ def with_found_brands(responses: DataFrame, prompts: DataFrame, how: str = "left
     """Add ``found``: the brands in an answer as (brand, position, char_offset, snippet) by first appearance.
 
     Positions count from 1, ties keep list order. Searched are the target brands of the answer's prompt; with a ``left``
-    join answers of unknown prompts keep a NULL. Cheap prefilters drop the brands that can't occur before a
-    pattern is run over the whole text. They are columns of their own because an expression inside a
-    lambda would run once per brand. The join carries texts only if the prompts don't fit a broadcast,
+    join answers of unknown prompts keep a NULL. A substring search in the folded text drops the brands that can't occur before a
+    pattern is run over the whole text, for lists of any length. The folded text is a column of its own because an expression
+    inside a lambda would run once per brand. The join carries texts only if the prompts don't fit a broadcast,
     which is left to the planner's size check.
     """
     text, terms = F.col("response_text"), F.col("terms")
-    words = F.array_distinct(F.regexp_extract_all("folded_text", F.lit(f"{WORD}+"), F.lit(0)))
-    heads = F.when(F.size(terms) > SUBSTRING_LIST, F.array_intersect(F.transform(terms, lambda t: t["head"]), words))
-    likely = F.filter(terms, lambda t: F.when(F.col("heads").isNull(), F.contains("folded_text", t["folded"]))
-                      .otherwise(t["head"].isNull() | F.array_contains("heads", t["head"])))
+    likely = F.filter(terms, lambda t: F.contains("folded_text", t["folded"]))
     parts = F.transform(likely, lambda t: F.struct(t.alias("term"), F.split(text, t["pattern"], 2).alias("parts")))
     hits = F.transform(F.filter(parts, lambda s: F.size(s["parts"]) == 2), lambda s: F.struct(
         F.char_length(s["parts"][0]).alias("char_offset"), s["term"]["idx"].alias("idx"),
@@ -51,14 +42,18 @@ def with_found_brands(responses: DataFrame, prompts: DataFrame, how: str = "left
         m["brand"].alias("brand"), (i + 1).alias("position"), m["char_offset"].alias("char_offset"),
         snippet(text, m["char_offset"], m["length"]).alias("snippet")))
     return (responses.join(prompt_terms(prompts), "prompt_id", how)
-            .withColumn("folded_text", fold(text)).withColumn("heads", heads)
-            .withColumn("found", found).drop("terms", "folded_text", "heads"))
+            .withColumn("folded_text", fold(text))
+            .withColumn("found", found).drop("terms", "folded_text"))
 
 
 def detect_brands(responses: DataFrame, prompts: DataFrame) -> DataFrame:
-    """One row per brand found in an answer; answers of unknown prompts have none."""
+    """One row per brand found in an answer; answers of unknown prompts have none.
+
+    An outer generator and a filter after it: from an inner one the planner infers a filter on the array and runs the whole
+    detection a second time below the projection.
+    """
     keep = [c for c in responses.columns if c not in ("response_text", "prompt_text", "error", "model", "latency_ms")]
-    return with_found_brands(responses, prompts, "inner").select(*keep, F.inline("found"))
+    return with_found_brands(responses, prompts, "inner").select(*keep, F.inline_outer("found")).filter(F.col("brand").isNotNull())
 
 
 def match_target_brands(responses: DataFrame, prompts: DataFrame) -> DataFrame:

@@ -122,17 +122,13 @@ def sentiment_trend(mentions: DataFrame, brand: str | None = None, window: int =
             .orderBy("brand", "date"))
 
 
-#: Targets handled in one pass of the gap: each takes one bit of a slot's presence mask.
-_TARGETS_PER_PASS = 62
-
-
 def competitor_gap(mentions: DataFrame, targets: list[str] | str, prompts: DataFrame | None = None,
                    category: str | None = None) -> DataFrame:
     """Which other brands show up in slots that hold mentions but none of the target.
 
-    All targets share one scan: rows are first summed per (slot, brand), a slot then carries a bit mask of
-    the targets it holds and every sum is tested against that mask, so no pair of brands is ever formed.
-    Longer target lists take one pass per 62 targets. With ``prompts`` the result is split by category.
+    What a brand has in slots without the target is its total less what it has in slots with it. Rows are first summed per (slot, brand);
+    each sum is then counted once for the total and once for each target that its slot holds, so the work follows
+    the slots' contents and one scan serves any number of targets. With ``prompts`` the result is split by category.
     """
     targets = [targets] if isinstance(targets, str) else list(dict.fromkeys(targets))
     keys = ["brand"] if prompts is None else ["category", "brand"]
@@ -142,19 +138,16 @@ def competitor_gap(mentions: DataFrame, targets: list[str] | str, prompts: DataF
                   F.count("position").alias("np")))
     if prompts is not None:
         pairs = pairs.join(only_category(prompts, category), "prompt_id")
-    passes = []
-    for at in range(0, len(targets), _TARGETS_PER_PASS):
-        block = targets[at:at + _TARGETS_PER_PASS]
-        held = F.bit_or(_bit_of(block)).over(Window.partitionBy(*SLOT))
-        seen = pairs.withColumn("held", F.coalesce(held, F.lit(0).cast("long")))
-        bits = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(1 << i).cast("long").alias("bit"))
-                         for i, t in enumerate(block)])
-        passes.append(seen.select(*keys, "n", "p", "np", "held", F.inline(bits))
-                      .filter((F.col("held").bitwiseAND(F.col("bit")) == 0) & (F.col("brand") != F.col("target")))
-                      .groupBy(*keys, "target").agg(*[F.sum(c).alias(c) for c in ("n", "p", "np")]))
-    gaps = passes[0]
-    for more in passes[1:]:
-        gaps = gaps.unionByName(more)
+    held = F.collect_set(F.when(F.col("brand").isin(targets), F.col("brand"))).over(Window.partitionBy(*SLOT))
+    counted = F.explode(F.concat(F.array(F.lit(None).cast("string")), "held"))
+    sums = (pairs.withColumn("held", held).select(*keys, "n", "p", "np", counted.alias("target"))
+            .groupBy(*keys, "target").agg(*[F.sum(c).alias(c) for c in ("n", "p", "np")]))
+    wanted = F.explode(F.array(*[F.lit(t) for t in targets]))
+    total = sums.filter(F.col("target").isNull()).select(*keys, "n", "p", "np", wanted.alias("target"))
+    inside = sums.filter(F.col("target").isNotNull()).select(*keys, "target", *[F.col(c).alias(f"in_{c}") for c in ("n", "p", "np")])
+    less = lambda c: F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.col(f"in_{c}"), F.lit(0))
+    gaps = (total.filter(F.col("brand") != F.col("target")).join(inside, [*keys, "target"], "left")
+            .select(*keys, "target", less("n").alias("n"), less("p").alias("p"), less("np").alias("np")).filter(F.col("n") > 0))
     lead = [k for k in keys if k != "brand"]
     return (gaps
             .select(*lead, "target", "brand", F.col("n").alias("appears_when_target_absent"),
@@ -162,14 +155,6 @@ def competitor_gap(mentions: DataFrame, targets: list[str] | str, prompts: DataF
             .orderBy(*lead, "target", F.desc("appears_when_target_absent"), "brand"))
 
 
-def _bit_of(block: list[str]) -> Column:
-    chain = None
-    for i, target in enumerate(block):
-        hit, bit = F.col("brand") == target, F.lit(1 << i).cast("long")
-        chain = F.when(hit, bit) if chain is None else chain.when(hit, bit)
-    return chain
-
-
 def category_stats(mentions: DataFrame, responses: DataFrame, prompts: DataFrame,
                    category: str | None = None) -> DataFrame:
     """Per category: mention rows, answer rows, brands and first/last answer day ("—" when there is none)."""

@@ -16,7 +16,8 @@ from echolens.operators.scoring import action_text, opportunity_scores
 FEATURES = ["cooccurrence", "avg_position_with_source", "unique_domains", "competitor_avg_cooccurrence", "total_mentions",
             "brand_avg_position", "brand_prompt_count", "domain_authority_weight", "position_score", "domain_type_enc"]
 TARGET = "opportunity_gap"
-_ROWS_PER_PARTITION = 100_000
+#: Partitions the model is fitted on: fixed, since bagging draws rows per partition.
+_PARTITIONS = 2
 
 
 class Trained(NamedTuple):
@@ -32,20 +33,20 @@ def _filled(matrix: DataFrame) -> DataFrame:
 
 def split(matrix: DataFrame, seed: int = 42, test_percent: int = 20) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by a hash of the row's key, the same however the data is partitioned."""
-    in_test = F.pmod(F.xxhash64("domain_type", "brand", F.lit(seed)), F.lit(100)) < test_percent
+    digest = F.md5(F.concat_ws("|", "domain_type", "brand", F.lit(str(seed))).cast("binary"))
+    in_test = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100 < test_percent
     return matrix.filter(~in_test), matrix.filter(in_test)
 
 
 def train_model(matrix: DataFrame, trees: int = 200, seed: int = 42) -> Trained:
     """Fit on 80 % of the rows and report MAE and R² on the rest. Raises if there are no rows."""
     ensure_checkpoints(matrix.sparkSession)  # else the lineage of the residuals grows with every tree
-    rows, train = _filled(matrix).persist(), None
+    # Rows in a fixed order and partitioning: the same matrix gives the same model, whatever its layout.
+    rows, train = _filled(matrix).repartition(_PARTITIONS, "domain_type", "brand").sortWithinPartitions("domain_type", "brand").persist(), None
     try:
-        count = rows.count()
-        if count == 0:
+        if rows.isEmpty():
             raise ValueError("no co-occurrence data to train on")
-        # Every tree level is a job over all partitions: a small matrix is cheapest in few of them.
-        train, test = split(rows.repartition(1 + count // _ROWS_PER_PARTITION, "domain_type", "brand"), seed)
+        train, test = split(rows, seed)
         train = train.persist()
         stages = [
             StringIndexer(inputCol="domain_type", outputCol="domain_type_enc", stringOrderType="alphabetAsc", handleInvalid="keep"),
@@ -97,8 +98,7 @@ def predict_opportunities(model: PipelineModel, matrix: DataFrame, brand: str |
     encoded = _filled(rows).withColumnRenamed("domain_type", "shown").withColumn("domain_type", F.when(F.col("shown").isin(labels), F.col("shown")).otherwise(labels[0]))
     predicted = model.transform(encoded).drop("domain_type").withColumnRenamed("shown", "domain_type")
     return (scale_per_brand(predicted)
-            .select("brand", "domain_type", "opportunity_score", F.col("cooccurrence").cast("long").alias("cooccurrence"), "competitor_avg_cooccurrence")
-            .orderBy("brand", F.desc("opportunity_score"), "domain_type"))
+            .select("brand", "domain_type", "opportunity_score", F.col("cooccurrence").cast("long").alias("cooccurrence"), "competitor_avg_cooccurrence"))
 
 
 def model_recommendations(predictions: DataFrame, top_n: int = 5) -> DataFrame:

@@ -101,7 +101,7 @@ def star_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_adapter
 def star_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") % 2 == 0).select("l_orderkey", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").hint("merge")
     domain = lookup(F.col("l_suppkey") % 14, dict(enumerate(_STAR_DOMAINS)))
     return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))

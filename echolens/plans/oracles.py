@@ -1,6 +1,6 @@
 """DuckDB counterparts of the registered queries, written independently over the driver's views."""
 
-from echolens.fixed import ACTIONS, CANNED_ANSWERS, CATEGORY_LABELS, DEFAULT_ACTION, DOMAIN_RULES, DOMAIN_WEIGHTS, PROVIDERS
+from echolens.fixed import ACTIONS, CATEGORY_LABELS, DEFAULT_ACTION, DOMAIN_RULES, DOMAIN_WEIGHTS, PROVIDERS
 from echolens.functions.text import SPACES
 from echolens.operators.entities import CAPITALISED
 from echolens.operators.scoring import FALLBACK_REASON
@@ -65,7 +65,7 @@ brand_mentions AS MATERIALIZED (
 citation_sources AS MATERIALIZED (
  SELECT DISTINCT {_SLOT}, concat('https://', {_pick(_DOMAINS)}, '/', CAST(l_partkey AS VARCHAR)) AS url,
   {_pick(_DOMAINS)} AS domain, {_pick(_TYPES)} AS domain_type
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 2 = 0)"""
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 _TEXT_URL = """CASE doc_id % 6 WHEN 0 THEN ' See (https://www.g2.com/p/1), and HTTPS://Reddit.com/r/x.'
  WHEN 1 THEN ' Sources: https://wired.com/a; https://www.wikipedia.org/b' WHEN 2 THEN ' https://x.com:8080/t https://x.com:8080/t'
@@ -130,7 +130,7 @@ tokens AS (SELECT token, {_class_case} AS category, prompt_category FROM runs
 _named = f"list_filter([{listed(TERMS)}], lambda b: contains(lower(fanout_query), b))"
 _new = f"list_filter({_named}, lambda b: NOT contains(lower(original), b))"
 INJECTION = f"""
-injected AS (SELECT category, concat(substring(original, 1, 70), '...') AS original, fanout_query,
+injected AS (SELECT id, category, original, concat(substring(original, 1, 70), '...') AS shown, fanout_query,
  len({_named}) AS n_brands_fanout, coalesce(nullif(array_to_string({_named}, ', '), ''), '—') AS brands_in_fanout,
  coalesce(nullif(array_to_string({_new}, ', '), ''), '—') AS new_brands, len({_new}) > 0 AS brand_injected FROM fan)"""
 
@@ -274,7 +274,7 @@ def oracle_sql() -> dict[str, str]:
  FROM brand_mentions GROUP BY 1 ORDER BY mentions DESC, brand LIMIT 10""",
         "position_trend": star + "SELECT brand, CAST(created_at AS DATE) AS date, avg(position) AS avg_position, count(*) AS mention_count FROM brand_mentions GROUP BY 1, 2",
         "competitor_gap": with_(STAR, _GAP(r.BRANDS, "")) + "SELECT * FROM gaps",
-        "competitor_gap_by_category": with_(STAR, _GAP(r.GAP_CATEGORY_TARGETS, "category,")) + "SELECT * FROM gaps",
+        "competitor_gap_by_category": with_(STAR, _GAP(r.BRANDS, "category,")) + "SELECT * FROM gaps",
         "visibility_by_category": with_(STAR, VISIBILITY) + "SELECT * FROM visibility",
         "category_stats": star + """, m AS (SELECT category, count(*) AS mentions, count(DISTINCT brand) AS brands FROM brand_mentions JOIN prompts USING (prompt_id) GROUP BY 1),
  l AS (SELECT category, count(*) AS responses, min(CAST(x.created_at AS DATE)) AS lo, max(CAST(x.created_at AS DATE)) AS hi FROM llm_responses x JOIN prompts USING (prompt_id) GROUP BY 1)
@@ -362,20 +362,25 @@ def oracle_sql() -> dict[str, str]:
     sql["keyword_presence"] = with_(FANOUT) + f"SELECT {presence} FROM fan"
     share = lambda kind: f"(SELECT max(pct) FROM mix WHERE provider = 'openai' AND domain_type = '{kind}') AS {kind}_pct"
     sql["fanout_vs_citations"] = with_(STAR, MIX, FANOUT) + f"SELECT {presence}, {share('review_site')}, {share('tech_media')} FROM fan"
-    sql["collect_responses"] = star + _canned_sql()
     sql["collect_with_client"] = star + f"""SELECT concat('base-t', CAST(trial AS VARCHAR)) AS run_id, prompt_id, provider,
  CASE WHEN suffix(prompt_text, '7?') THEN NULL ELSE 'echo-' || provider END AS model,
  CASE WHEN suffix(prompt_text, '7?') THEN '' ELSE provider || ' says: ' || prompt_text END AS response_text,
  CASE WHEN suffix(prompt_text, '7?') THEN 'timeout' END AS error FROM prompts
  CROSS JOIN (SELECT unnest([0, 1, 2]) AS trial) CROSS JOIN (SELECT unnest([{listed(PROVIDERS)}]) AS provider)"""
-    sql["run_batch"] = star + f""", canned(provider, answer) AS (VALUES {_canned_rows()}),
- brands AS (SELECT unnest(['Asana', 'Jira', 'Monday.com', 'Linear', 'ClickUp']) AS brand),
- seen AS (SELECT provider, brand, answer, strpos(answer, brand) AS start FROM canned CROSS JOIN brands WHERE contains(answer, brand)),
- placed AS (SELECT provider, brand, row_number() OVER (PARTITION BY provider ORDER BY start) AS position,
-  {_STRIP('substring(answer, greatest(start - 101, 0) + 1, start - 1 + length(brand) + 100 - greatest(start - 101, 0))')} AS snippet FROM seen),
- moods AS (SELECT *, {_count('snippet', POSITIVE_WORDS)} - {_count('snippet', NEGATIVE_WORDS)} AS mood FROM placed)
- SELECT 'base-t1' AS run_id, provider, brand, position, CASE WHEN mood > 0 THEN 'positive' WHEN mood < 0 THEN 'negative' ELSE 'neutral' END AS sentiment,
-  (SELECT count(*) FROM prompts) AS mentions FROM moods"""
+    sql["collect_responses"] = f"""SELECT provider, count(model) AS answers, CAST(sum(length(response_text)) AS BIGINT) AS chars, count(error) AS errors
+ FROM ({sql['collect_with_client']}) GROUP BY 1"""
+    sql["run_batch"] = sql["analyze_voted_responses"]
+    sql["analyze_responses_citations"] = with_(TEXT, URLS) + "SELECT run_id, prompt_id, provider, url, domain, domain_type FROM cited"
+    sql["ingest_runs_citations"] = sql["analyze_responses_citations"]
+    sql["analyze_responses_names"] = sql["discover_entities"]
+    sql["analyze_voted_names"] = with_(TEXT, HITS, VOTE) + f"""SELECT entity, count(*) AS answers FROM (
+ SELECT unnest(list_distinct(regexp_extract_all(response_text, {q(CAPITALISED)}))) AS entity FROM valid)
+ WHERE lower(entity) NOT IN (SELECT lower(brand) FROM voted) GROUP BY 1"""
+    sql["analyze_responses_by_client"] = with_(TEXT, HITS) + """SELECT run_id, prompt_id, provider, brand, position,
+ CASE WHEN length(snippet) % 5 = 0 THEN 'neutral' ELSE ['positive', 'neutral', 'negative'][length(snippet) % 3 + 1] END AS sentiment FROM hits"""
+    sql["ingest_voted_runs"] = with_(TEXT, HITS, VOTE) + "SELECT run_id, prompt_id, provider, brand, position FROM voted"
+    sql["vote_representatives"] = with_(TEXT) + """SELECT 'base' AS base_run, prompt_id, provider, count(*) AS valid_trials,
+ list(run_id ORDER BY trial)[CAST(count(*) // 2 AS INTEGER) + 1] AS run_id FROM valid GROUP BY prompt_id, provider"""
     sql["judge_with_client"] = with_(TEXT, HITS) + """SELECT run_id, prompt_id, provider, brand,
  CASE WHEN length(snippet) % 5 = 0 THEN 'neutral' ELSE ['positive', 'neutral', 'negative'][length(snippet) % 3 + 1] END AS sentiment,
  CASE WHEN length(snippet) % 5 = 0 THEN 'judge_error' ELSE brand END AS reason FROM hits"""
@@ -384,6 +389,16 @@ def oracle_sql() -> dict[str, str]:
  CASE WHEN starts_with(text, 'A') THEN 0 ELSE len(string_split(text, '. ')) END AS n_queries,
  CASE WHEN starts_with(text, 'A') THEN 'timeout' END AS error FROM documents"""
     sql["save_and_load_model"] = sql["training_matrix"]
+    matrix = f"(SELECT domain_type, brand, cooccurrence FROM ({sql['training_matrix']}))"
+    tested = "('0x' || substr(md5(concat_ws('|', domain_type, brand, '42')), 1, 8))::BIGINT % 100 < 20"
+    sql["train_model"] = f"""SELECT true AS mae_defined, true AS r2_defined, true AS better_than_mean, count(*) FILTER (NOT ({tested})) AS train_rows,
+ count(*) FILTER ({tested}) AS test_rows FROM {matrix}"""
+    sql["feature_importance"] = """SELECT unnest(['cooccurrence', 'avg_position_with_source', 'unique_domains', 'competitor_avg_cooccurrence', 'total_mentions',
+ 'brand_avg_position', 'brand_prompt_count', 'domain_authority_weight', 'position_score', 'domain_type_enc']) AS feature, true AS weighted, 1.0::DOUBLE AS total, 10::BIGINT AS ranks"""
+    sql["predict_opportunities"] = f"""SELECT brand, domain_type, CAST(cooccurrence AS BIGINT) AS cooccurrence,
+ CASE WHEN count(*) OVER (PARTITION BY brand) > 1 THEN 0.0::DOUBLE ELSE 50.0 END AS low, CASE WHEN count(*) OVER (PARTITION BY brand) > 1 THEN 100.0::DOUBLE ELSE 50.0 END AS high FROM {matrix}"""
+    sql["recommend"] = f"""SELECT brand AS target, unnest(range(1, 1 + least(5, count(*)))) AS rank, 'gbt' AS model_used, true AS ordered FROM {matrix} GROUP BY brand
+ UNION ALL SELECT 'Nobody', unnest(range(1, 6)), 'rule_based', true"""
     sql["alert_stream"] = with_(STAR, VISIBILITY, ALERT_COMPAT.replace("75.5", "15")) + "SELECT category, brand, current, previous, reason FROM alerts WHERE triggered"
     for name, columns in _INTEGERS.items():
         casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
@@ -396,14 +411,6 @@ _INTEGERS = {
     "run_summary": ["chars"], "detect_brands": ["position", "char_offset"], "majority_vote": ["position", "char_offset"],
     "analyze_responses": ["position"], "analyze_voted_responses": ["position"], "collect_fanout": ["n_queries"],
     "fanout_count_stats": ["min", "max"], "fanout_by_category": ["min", "max"], "brand_injection": ["n_brands_fanout"],
-    "ingest_runs": ["position"], "run_batch": ["position"],
+    "ingest_runs": ["position"], "run_batch": ["position"], "analyze_responses_by_client": ["position"],
+    "ingest_voted_runs": ["position"],
 }
-
-
-def _canned_rows() -> str:
-    return ", ".join(f"({q(p)}, {q(t)})" for p, t in CANNED_ANSWERS.items())
-
-
-def _canned_sql() -> str:
-    return f"""SELECT provider, concat('mock-', provider) AS model, count(*) AS answers, CAST(sum(length(answer)) AS BIGINT) AS chars,
- CAST(sum(100) AS BIGINT) AS latency_ms, CAST(0 AS BIGINT) AS errors FROM prompts CROSS JOIN (VALUES {_canned_rows()}) c(provider, answer) GROUP BY 1"""

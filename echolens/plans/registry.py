@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolens.fixed import PROVIDERS
@@ -19,7 +19,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 COMPETITORS = ["Brand#2", "Brand#7", "Brand#12", "Brand#17", "Brand#22"]
-GAP_CATEGORY_TARGETS = ["Brand#1", "Brand#9", "Brand#25"]
 # Words of the corpus that stand in for vocabulary classes and sentiment words.
 CORPUS_CLASSES = {"comparison": ["than", "que", "as"], "evaluation": ["tion", "les"], "temporal": ["2024", "2025"],
                   "commercial": ["and", "des"]}
@@ -176,12 +175,9 @@ def request_plan(spark, sf):
 
 @query
 def collect_responses(spark, sf):
-    """Mentions and citations found in the offline answers to every prompt."""
-    plan = requests.request_plan(a.star_prompts(spark, sf), "base")
-    answered = requests.canned_responses(plan)
-    return answered.groupBy("provider", "model").agg(
-        F.count(F.lit(1)).alias("answers"), F.sum(F.char_length("response_text").cast("long")).alias("chars"),
-        F.sum(F.col("latency_ms").cast("long")).alias("latency_ms"), F.count("error").alias("errors"))
+    """Answers, characters and errors by provider, from the requests of ``collect_with_client``."""
+    return collect_with_client(spark, sf).groupBy("provider").agg(
+        F.count("model").alias("answers"), F.sum(F.char_length("response_text").cast("long")).alias("chars"), F.count("error").alias("errors"))
 
 
 @query
@@ -201,15 +197,24 @@ def collect_with_client(spark, sf):
 
 @query
 def run_batch(spark, sf):
-    """The whole batch job with offline answers, run twice under one id: mentions by provider, brand and position."""
+    """The whole batch job with the documents as answers, three trials and a vote.
+
+    In the first call the third trial fails throughout and is asked again by the second; the third call finds nothing to do.
+    """
     root = scratch(spark, "tables")
     tables.create_tables(spark, root)
-    asked = a.star_prompts(spark, sf).withColumn("target_brands", F.lit('["Asana", "Jira", "Monday.com", "Linear", "ClickUp"]'))
-    tables.upsert_prompts(asked, root, at=F.lit("2024-02-01"))
-    for _ in range(2):
-        batch.run_batch(spark, root, "base", n_runs=3)
-    return (tables.read_table(spark, root, "brand_mentions").groupBy("run_id", "provider", "brand", "position", "sentiment")
-            .agg(F.count(F.lit(1)).alias("mentions")))
+    tables.upsert_prompts(a.text_prompts(spark, sf), root, at=F.lit("2024-02-01"))
+    texts = a.text_responses(spark, sf).select(*SLOT, "response_text", "error")
+
+    def answer(fails):
+        def from_documents(plan):
+            error = F.when(F.col("run_id").isin(fails), "timeout").otherwise(F.when(F.col("response_text").isNull(), "no such document").otherwise(F.col("error")))
+            return plan.join(texts, SLOT, "left").withColumn("error", error).withColumns({"model": F.lit("corpus"), "latency_ms": F.lit(100)})
+        return from_documents
+
+    for fails in (["base-t2"], [], []):
+        batch.run_batch(spark, root, "base", answer(fails), n_runs=3, judge=_corpus_judge)
+    return tables.read_table(spark, root, "brand_mentions").select(*SLOT, "brand", "position", "sentiment")
 
 
 @query
@@ -264,19 +269,20 @@ def judge_sentiment(spark, sf):
     return judged.select(*SLOT, "brand", "sentiment")
 
 
+def _length_client():
+    def call(brand, snippet):
+        if len(snippet) % 5 == 0:
+            raise ValueError("unreachable")
+        label = ("positive", "neutral", "negative")[len(snippet) % 3]
+        return '{"sentiment": "%s", "reason": "%s"}' % (label, brand)
+    return call
+
+
 @query
 def judge_with_client(spark, sf):
     """Snippets judged by a client function on the executors; some calls fail."""
-    def client():
-        def call(brand, snippet):
-            if len(snippet) % 5 == 0:
-                raise ValueError("unreachable")
-            label = ("positive", "neutral", "negative")[len(snippet) % 3]
-            return '{"sentiment": "%s", "reason": "%s"}' % (label, brand)
-        return call
-
     found = mentions.detect_brands(_valid_text(spark, sf), a.text_prompts(spark, sf)).select(*SLOT, "brand", "snippet")
-    return sentiment.judge_with_client(found, client).select(*SLOT, "brand", "sentiment", "reason")
+    return sentiment.judge_with_client(found, _length_client).select(*SLOT, "brand", "sentiment", "reason")
 
 
 @query
@@ -313,6 +319,35 @@ def analyze_voted_responses(spark, sf):
     return found.mentions.select(*SLOT, "brand", "position", "sentiment")
 
 
+@query
+def analyze_responses_citations(spark, sf):
+    found = analysis.analyze_responses(a.text_responses(spark, sf), a.text_prompts(spark, sf))
+    return found.citations.select(*SLOT, "url", "domain", "domain_type")
+
+
+@query
+def analyze_responses_names(spark, sf):
+    return analysis.analyze_responses(a.text_responses(spark, sf), a.text_prompts(spark, sf)).discovered
+
+
+@query
+def analyze_responses_by_client(spark, sf):
+    """Mentions judged by a client function inside the analysis."""
+    found = analysis.analyze_responses(a.text_responses(spark, sf), a.text_prompts(spark, sf),
+                                       judge_rows=lambda rows: sentiment.judge_with_client(rows, _length_client))
+    return found.mentions.select(*SLOT, "brand", "position", "sentiment")
+
+
+@query
+def analyze_voted_names(spark, sf):
+    return analysis.analyze_voted_responses(a.text_responses(spark, sf), a.text_prompts(spark, sf), 3).discovered
+
+
+@query
+def vote_representatives(spark, sf):
+    return voting.representatives(a.text_responses(spark, sf)).select("base_run", "prompt_id", "provider", "valid_trials", "run_id")
+
+
 @query
 def voted_citations(spark, sf):
     return analysis.voted_citations(a.text_responses(spark, sf))
@@ -364,7 +399,7 @@ def competitor_gap(spark, sf):
 
 @query
 def competitor_gap_by_category(spark, sf):
-    return metrics.competitor_gap(a.star_mentions(spark, sf), GAP_CATEGORY_TARGETS, a.star_prompts(spark, sf))
+    return metrics.competitor_gap(a.star_mentions(spark, sf), BRANDS, a.star_prompts(spark, sf))
 
 
 @query
@@ -525,12 +560,21 @@ def _model(spark, sf) -> tuple[model.Trained, str]:
 
 @query
 def train_model(spark, sf):
-    return model.model_quality(spark, _model(spark, sf)[0])
+    """Rows learned from and tested on, and whether the errors on the test rows are in bounds."""
+    trained, path = _model(spark, sf)
+    learned, tested = model.split(model.load_model(spark, path)[1])
+    quality = model.model_quality(spark, trained).select((F.col("mae") >= 0).alias("mae_defined"), (F.col("r2") <= 1).alias("r2_defined"),
+                                                         (F.col("r2") > 0).alias("better_than_mean"))
+    count = lambda rows: rows.agg(F.count(F.lit(1))).scalar()
+    return quality.select("*", count(learned).alias("train_rows"), count(tested).alias("test_rows"))
 
 
 @query
 def feature_importance(spark, sf):
-    return model.feature_importance(spark, _model(spark, sf)[0].model)
+    """The features with their weights' sum; the ranks run from 1 without a gap."""
+    ranked = model.feature_importance(spark, _model(spark, sf)[0].model)
+    total, ranks = ranked.agg(F.round(F.sum("importance"), 6)).scalar(), ranked.agg(F.count_distinct("rank")).scalar()
+    return ranked.select("feature", (F.col("importance") >= 0).alias("weighted"), total.alias("total"), ranks.alias("ranks"))
 
 
 @query
@@ -541,6 +585,13 @@ def save_and_load_model(spark, sf):
 
 @query
 def predict_opportunities(spark, sf):
+    """Every (brand, domain type) of the matrix, with the bounds of the brand's scores."""
+    of_brand = Window.partitionBy("brand")
+    return _predicted(spark, sf).select("brand", "domain_type", "cooccurrence", F.min("opportunity_score").over(of_brand).alias("low"),
+                                        F.max("opportunity_score").over(of_brand).alias("high"))
+
+
+def _predicted(spark, sf):
     return model.predict_opportunities(*model.load_model(spark, _model(spark, sf)[1]))
 
 
@@ -553,7 +604,10 @@ def scale_per_brand(spark, sf):
 
 @query
 def recommend(spark, sf):
-    return model.recommend(_all_targets(spark, sf), _stored_features(spark, sf), COMPETITORS, predict_opportunities(spark, sf))
+    """The ranks each target gets, the way they were found, and whether scores fall with the rank."""
+    ranked = model.recommend(_all_targets(spark, sf), _stored_features(spark, sf), COMPETITORS, _predicted(spark, sf))
+    before = F.lag("opportunity_score").over(Window.partitionBy("target").orderBy("rank"))
+    return ranked.select("target", F.col("rank").cast("long").alias("rank"), "model_used", F.coalesce(before >= F.col("opportunity_score"), F.lit(True)).alias("ordered"))
 
 
 @query
@@ -678,13 +732,29 @@ def _run(writer) -> None:
 
 @query
 def ingest_runs(spark, sf):
-    """Mentions stored by a stream over raw run files; the second start finds nothing new."""
+    """Mentions stored by a stream over raw run files in several micro-batches; every run is spread over them."""
+    return tables.read_table(spark, _ingested(spark, sf), "brand_mentions").select(*SLOT, "brand", "position")
+
+
+def _ingested(spark, sf, n_runs: int = 1) -> str:
+    """Root of the tables after a stream has read eight files three at a time, and a second start has found nothing new."""
     path, root = scratch(spark, "raw"), scratch(spark, "tables")
     tables.create_tables(spark, root)
-    raw_runs.write_raw_run(a.text_responses(spark, sf), f"{path}/run_base")
+    raw_runs.write_raw_run(a.text_responses(spark, sf).repartition(8, F.xxhash64(*SLOT)), f"{path}/run_base")
     for _ in range(2):
-        _run(jobs.ingest_runs(spark, path, root, a.text_prompts(spark, sf), f"{root}/_checkpoint"))
-    return tables.read_table(spark, root, "brand_mentions").select(*SLOT, "brand", "position")
+        _run(jobs.ingest_runs(spark, path, root, a.text_prompts(spark, sf), f"{root}/_checkpoint", n_runs, max_files=3))
+    return root
+
+
+@query
+def ingest_runs_citations(spark, sf):
+    return tables.read_table(spark, _ingested(spark, sf), "citation_sources").select(*SLOT, "url", "domain", "domain_type")
+
+
+@query
+def ingest_voted_runs(spark, sf):
+    """Mentions after a voted ingest: the vote over trials that arrived in different micro-batches."""
+    return tables.read_table(spark, _ingested(spark, sf, 3), "brand_mentions").select(*SLOT, "brand", "position")
 
 
 @query

@@ -1,5 +1,7 @@
 """Session defaults and the shared scratch folder."""
 
+from __future__ import annotations
+
 import tempfile
 import uuid
 
@@ -31,10 +33,12 @@ _fallback_root: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach; the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (single-machine tests) a local folder stands in.
+    Only in local mode, where driver and executors are one process, a local folder stands in for a missing setting.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.conf.get("spark.master", "local") or "local").startswith("local") or "cluster" in spark.conf.get("spark.master", "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _fallback_root:
             _fallback_root[app] = tempfile.mkdtemp(prefix="echolens-")
@@ -55,6 +59,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch paths that this call has written and nothing reads any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new, never reused path under the shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -1,8 +1,8 @@
 """The product tables as partitioned Parquet folders under one root.
 
-Mentions and citations are append-only and partitioned by month and load. Answers and prompts are upserted: they
-are partitioned by a hash bucket of their key: an upsert appends where its runs are new and rewrites
-only the buckets that already hold one of them.
+Mentions and citations are append-only and partitioned by month and load. Answers are upserted and partitioned by their run (without
+its trial suffix), so an upsert only rewrites runs it brings new answers of, and a large run is a folder of many files. Prompts are a
+dimension and rewritten as a whole.
 """
 
 import uuid
@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 
 from echolens.operators.answers import base_run
 from echolens.schemas import SLOT, TABLES
-from echolens.session import stored
+from echolens.session import remove, scratch, stored
 
-#: Upserted tables: key, column the bucket is taken from, number of buckets.
-_UPSERTED = {"llm_responses": (SLOT, "run_id", 64), "prompts": (["prompt_id"], "prompt_id", 8)}
-_BUCKET, _MONTH, _LOAD, _DELETED = "key_bucket", "event_month", "load_id", "deleted"
+#: Upserted tables: key, and the value of the partition a row goes to.
+_UPSERTED = {"llm_responses": (SLOT, lambda: F.coalesce(base_run(), F.lit("none"))), "prompts": (["prompt_id"], lambda: F.lit("all"))}
+_PART, _MONTH, _LOAD, _DELETED = "part_key", "event_month", "load_id", "deleted"
 
 
 def table_path(root: str, name: str) -> str:
@@ -30,21 +30,37 @@ def create_tables(spark: SparkSession, root: str) -> None:
         spark.createDataFrame([], schema).write.mode("ignore").parquet(table_path(root, name))
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table with its declared schema; deleted prompts are hidden."""
+def read_table(spark: SparkSession, root: str, name: str, since: str | None = None, until: str | None = None,
+               runs: list[str] | None = None) -> DataFrame:
+    """A table with its declared schema; deleted prompts are hidden.
+
+    ``since`` and ``until`` (days as text, both included) bound ``created_at`` and prune the months of mentions and citations; ``runs``
+    bounds the runs (without trial suffix) and prunes the folders of answers. Rows without a time are in no bounded range.
+    """
     schema = TABLES[name]
+    place = {"prompts": T.StructField(_DELETED, T.BooleanType()), "llm_responses": T.StructField(_PART, T.StringType())}
+    rows = spark.read.schema(T.StructType([*schema.fields, place.get(name, T.StructField(_MONTH, T.StringType()))])).parquet(table_path(root, name))
     if name == "prompts":
-        marked = T.StructType([*schema.fields, T.StructField(_DELETED, T.BooleanType())])
-        rows = spark.read.schema(marked).parquet(table_path(root, name)).filter(~F.coalesce(_DELETED, F.lit(False)))
-    else:
-        rows = spark.read.schema(schema).parquet(table_path(root, name))
+        rows = rows.filter(~F.coalesce(_DELETED, F.lit(False)))
+    if runs is not None:
+        rows = rows.filter(F.col(_PART).isin(runs)) if name == "llm_responses" else rows.filter(base_run().isin(runs))
+    months = name in ("brand_mentions", "citation_sources")
+    if since is not None:
+        rows = rows.filter(F.col("created_at") >= F.lit(since).cast("timestamp"))
+        rows = rows.filter(F.col(_MONTH).between(since[:7], "9999-12")) if months else rows
+    if until is not None:
+        rows = rows.filter(F.col("created_at") < F.date_add(F.lit(until).cast("date"), 1).cast("timestamp"))
+        rows = rows.filter(F.col(_MONTH) <= until[:7]) if months else rows
     return rows.select(*schema.fieldNames())
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """The table's columns in its types; columns the frame lacks become NULL."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                       for f in TABLES[name]])
+    return df.select(*_columns(df, name))
+
+
+def _columns(df: DataFrame, name: str) -> list[Column]:
+    return [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]]
 
 
 def latest_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -54,56 +70,60 @@ def latest_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*").select(*rows.columns)
 
 
-def append_rows(df: DataFrame, root: str, name: str, load: str | None = None) -> None:
+def clear_loads(spark: SparkSession, root: str, name: str, loads: list[str]) -> None:
+    """Remove what loads of these names have stored, in whatever month."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(root, name))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for load in loads:
+        for found in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, f"{_MONTH}=*/{_LOAD}={load}")) or []:
+            files.delete(found.getPath(), True)
+
+
+def append_rows(df: DataFrame, root: str, name: str, load: str | Column | None = None) -> None:
     """Append to a table partitioned by month and load.
 
-    Repeating a load under the same ``load`` name overwrites it, which makes replays safe. The rebalance
-    hint merges small and splits very large months.
+    Repeating a load under the same ``load`` name replaces it in every month, which makes replays safe even if rows are
+    stamped anew. A column names the load of each row. The rebalance hint merges small and splits very large months.
     """
-    rows = (conform(df, name).withColumn(_MONTH, F.coalesce(F.date_format("created_at", "yyyy-MM"), F.lit("none")))
-            .withColumn(_LOAD, F.lit(load or uuid.uuid4().hex[:12])))
-    writer = rows.hint("rebalance", F.col(_MONTH)).write.partitionBy(_MONTH, _LOAD)
-    writer = writer.mode("append") if load is None else writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.parquet(table_path(root, name))
+    name_of = load if isinstance(load, Column) else F.lit(load or uuid.uuid4().hex[:12])
+    if isinstance(load, str):
+        clear_loads(df.sparkSession, root, name, [load])
+    month = F.coalesce(F.date_format("created_at", "yyyy-MM"), F.lit("none"))
+    rows = df.withColumn(_LOAD, name_of).select(*_columns(df, name), _LOAD).withColumn(_MONTH, month)
+    rows.hint("rebalance", F.col(_MONTH)).write.partitionBy(_MONTH, _LOAD).mode("append").parquet(table_path(root, name))
 
 
-def save_mentions(df: DataFrame, root: str, load: str | None = None) -> None:
+def save_mentions(df: DataFrame, root: str, load: str | Column | None = None) -> None:
     append_rows(df, root, "brand_mentions", load)
 
 
-def save_citations(df: DataFrame, root: str, load: str | None = None) -> None:
+def save_citations(df: DataFrame, root: str, load: str | Column | None = None) -> None:
     append_rows(df, root, "citation_sources", load)
 
 
-def _merge_buckets(incoming: DataFrame, root: str, name: str, order: list[str]) -> None:
-    """Add rows; where one of their runs (or prompts) is stored already, the new row of a key replaces the old.
+def _upsert(incoming: DataFrame, root: str, name: str, order: list[str]) -> None:
+    """Add rows; the new row of a key replaces the old. ``incoming`` must not read from the table itself.
 
-    Buckets without such a meeting only receive an append. The others are rewritten, from storage because a table can't
-    be overwritten while it is being read.
+    Partitions that hold nothing yet receive an append; the others are merged, from storage because a table can't be overwritten
+    while it is being read. The merged copy is removed afterwards.
     """
     spark = incoming.sparkSession
-    keys, source, buckets = _UPSERTED[name]
+    keys, part = _UPSERTED[name]
     path = table_path(root, name)
-    bucket = F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int").alias(_BUCKET)
-    # Kept on storage first: the incoming frame is read several times and may itself come from the table.
-    incoming = stored(incoming.select("*", bucket), f"{name}-incoming")
-    touched = [row[0] for row in incoming.select(_BUCKET).distinct().collect()]  # at most ``buckets`` values
-    if not touched:
-        return
-    known = spark.read.schema(incoming.schema).parquet(path).filter(F.col(_BUCKET).isin(touched))
-    meeting = incoming.join(known.select(source).distinct(), source, "left_semi").select(_BUCKET).distinct()
-    rewritten = [row[0] for row in meeting.collect()]
-    merged = None
-    if rewritten:
-        both = (known.filter(F.col(_BUCKET).isin(rewritten)).withColumn("_new", F.lit(0))
-                .unionByName(incoming.filter(F.col(_BUCKET).isin(rewritten)).withColumn("_new", F.lit(1))))
-        merged = stored(latest_rows(both, [*keys, _BUCKET], ["_new", *order]).select(*incoming.columns), f"{name}-merged")
-    if set(rewritten) != set(touched):
-        added = latest_rows(incoming.filter(~F.col(_BUCKET).isin(rewritten)), [*keys, _BUCKET], order)
-        added.hint("rebalance", F.col(_BUCKET)).write.mode("append").partitionBy(_BUCKET).parquet(path)
-    if merged is not None:
-        (merged.hint("rebalance", F.col(_BUCKET)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(_BUCKET).parquet(path))
+    incoming = incoming.withColumn(_PART, part())
+    parts = incoming.select(_PART).distinct()
+    known = spark.read.schema(incoming.schema).parquet(path).join(parts, _PART, "left_semi")
+    met = known.select(_PART).distinct()
+    both = known.withColumn("_new", F.lit(0)).unionByName(incoming.join(met, _PART, "left_semi").withColumn("_new", F.lit(1)))
+    copy = scratch(spark, f"{name}-merged")
+    latest_rows(both, [*keys, _PART], ["_new", *order]).select(*incoming.columns).write.parquet(copy)
+    merged = spark.read.schema(incoming.schema).parquet(copy)
+    added = latest_rows(incoming.join(met, _PART, "left_anti"), [*keys, _PART], order)
+    added.hint("rebalance", F.col(_PART)).write.mode("append").partitionBy(_PART).parquet(path)
+    if not merged.isEmpty():
+        (merged.hint("rebalance", F.col(_PART)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(_PART).parquet(path))
+    remove(spark, copy)
 
 
 def save_responses(df: DataFrame, root: str, mode: str = "upsert", order: list[str] | None = None) -> None:
@@ -111,25 +131,37 @@ def save_responses(df: DataFrame, root: str, mode: str = "upsert", order: list[s
     rows = conform(df, "llm_responses")
     if mode == "upsert":
         rest = [c for c in rows.columns if c not in SLOT and c != "created_at"]
-        _merge_buckets(rows, root, "llm_responses", order or ["created_at", *rest])
+        _upsert(rows, root, "llm_responses", order or ["created_at", *rest])
     else:
-        bucket = F.pmod(F.xxhash64("run_id"), F.lit(_UPSERTED["llm_responses"][2])).cast("int")
-        (rows.withColumn(_BUCKET, bucket).hint("rebalance", F.col(_BUCKET))
-         .write.mode("append").partitionBy(_BUCKET).parquet(table_path(root, "llm_responses")))
+        (rows.withColumn(_PART, _UPSERTED["llm_responses"][1]()).hint("rebalance", F.col(_PART))
+         .write.mode("append").partitionBy(_PART).parquet(table_path(root, "llm_responses")))
 
 
 def unseen_runs(new: DataFrame, responses: DataFrame) -> DataFrame:
-    """Rows whose run, with or without its trial suffix, isn't in the stored ``responses``."""
+    """Rows whose run, with or without its trial suffix, isn't in the stored ``responses``.
+
+    For whole runs only: a run that is still being written or asked again in part needs :func:`unseen_slots`.
+    """
     known = responses.select(F.col("run_id").alias("known_run")).distinct()
     return (new.join(known, new["run_id"] == F.col("known_run"), "left_anti")
             .join(known, base_run(new["run_id"]) == F.col("known_run"), "left_anti"))
 
 
+def unseen_slots(new: DataFrame, responses: DataFrame) -> DataFrame:
+    """Rows whose slot (run, prompt, provider) isn't in the stored ``responses``."""
+    known = responses.select(*[F.col(c).alias(f"known_{c}") for c in SLOT])
+    same = [new[c].eqNullSafe(F.col(f"known_{c}")) for c in SLOT]
+    return new.join(known, same[0] & same[1] & same[2], "left_anti")
+
+
 def upsert_prompts(df: DataFrame, root: str, at: Column | None = None) -> None:
     """Insert or replace prompts; ``created_at`` becomes ``at`` (now by default)."""
     rows = conform(df, "prompts").withColumn("created_at", (at if at is not None else F.current_timestamp()).cast("timestamp"))
-    rows = rows.withColumn(_DELETED, F.lit(False))
-    _merge_buckets(rows, root, "prompts", ["created_at", "prompt_text", "category", "target_brands"])
+    # Kept on storage first: the frame may itself come from the table.
+    copy = scratch(df.sparkSession, "prompts-incoming")
+    rows.withColumn(_DELETED, F.lit(False)).write.parquet(copy)
+    _upsert(df.sparkSession.read.parquet(copy), root, "prompts", ["created_at", "prompt_text", "category", "target_brands"])
+    remove(df.sparkSession, copy)
 
 
 def missing_prompts(df: DataFrame, existing: DataFrame) -> DataFrame:
@@ -172,5 +204,5 @@ def delete_prompts(ids: DataFrame, root: str) -> int:
     """Delete prompts by id and say how many existed. The rows stay as marked ones that no reader sees."""
     wanted = ids.select("prompt_id").distinct()
     gone = stored(read_table(ids.sparkSession, root, "prompts").join(wanted, "prompt_id", "left_semi"), "deleted-prompts")
-    _merge_buckets(gone.withColumn(_DELETED, F.lit(True)), root, "prompts", ["created_at"])
+    _upsert(gone.withColumn(_DELETED, F.lit(True)), root, "prompts", ["created_at"])
     return gone.count()

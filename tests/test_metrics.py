@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from echolens.operators import boards, features, metrics
-from echolens.sources.demo import demo_facts
 
 MENTION = "run_id string, prompt_id string, provider string, brand string, position int, sentiment string, created_at timestamp"
 ANSWER = "run_id string, prompt_id string, provider string, created_at timestamp"
@@ -155,14 +154,3 @@ def test_unknown_target_has_no_gap(data):
     rows = features.brand_features(data[0], ["A", "Nobody"]).collect()
     assert all((r.gap_vs_target is None) == (r.target == "Nobody") for r in rows)
     assert [r.gap_vs_target for r in rows if r.target == r.brand == "A"] == [0]
-
-
-def test_demo_facts(spark):
-    demo = demo_facts(spark)
-    assert demo["llm_responses"].count() == 40 * 4 * 3
-    per_slot = demo["brand_mentions"].groupBy("run_id", "prompt_id", "provider").agg(F.count("*").alias("n"), F.count_distinct("brand").alias("b"), F.max("position").alias("m"))
-    assert per_slot.filter("n < 2 OR n > 4 OR b <> n OR m <> n").isEmpty() and per_slot.count() == 480
-    moods = {r.sentiment: r["count"] for r in demo["brand_mentions"].groupBy("sentiment").count().collect()}
-    assert moods["positive"] > moods["neutral"] > moods["negative"]
-    again = demo_facts(spark)["brand_mentions"].repartition(3)
-    assert again.exceptAll(demo["brand_mentions"]).isEmpty()

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from echolens.operators import alerts, features, mentions, metrics
+from echolens.operators import alerts, analysis, citations, entities, features, mentions, metrics
 from echolens.plans import adapters as a
 from echolens.session import stored
 
@@ -75,3 +75,21 @@ def test_adding_a_hot_slot_changes_only_its_counts(spark, star):
     gap = {r.brand: r.appears_when_target_absent for r in metrics.competitor_gap(both, "Brand#1").collect()}
     in_slot = said.filter("run_id = 'r0' AND prompt_id = 'p1' AND provider = 'openai' AND brand = 'Brand#1'").count()
     assert gap.get("Hot", 0) == (0 if in_slot else 500_000)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_patterns_stand_once_in_the_plan(spark):
+    texts, lists = a.text_responses(spark, SF), a.text_prompts(spark, SF)
+    assert optimized(citations.extract_citations(texts)).count("regexp_extract_all(") == 1
+    assert optimized(analysis.voted_citations(texts)).count("regexp_extract_all(") == 1
+    assert optimized(entities.discover_entities(texts, entities.target_brand_names(lists))).count("regexp_extract_all(") == 1
+    assert optimized(mentions.detect_brands(texts, lists)).count("split(") == 1
+
+
+def test_gap_of_many_targets_reads_the_facts_once(star, shuffled):
+    text = plan(metrics.competitor_gap(star[0], [f"Brand#{i}" for i in range(125)]))
+    initial = text.split("== Initial Plan ==")[-1]
+    assert initial.count("FileScan") <= 2  # the total and the part inside share one exchange at run time

@@ -2,7 +2,7 @@ import pytest
 
 from echolens.fixed import DOMAIN_WEIGHTS
 from echolens.operators import alerts, features, model, scoring
-from echolens.sources.demo import demo_facts
+from echolens.plans import adapters
 
 FEATURES = "domain_type string, brand string, cooccurrence_count bigint, avg_position_with_source double, citation_count bigint, unique_domains bigint"
 
@@ -40,7 +40,8 @@ def test_fallback_without_features(spark):
 
 @pytest.fixture(scope="module")
 def demo(spark):
-    return {name: rows.cache() for name, rows in demo_facts(spark).items()}
+    sf = "/root/testdata/sf0.001"
+    return {"brand_mentions": adapters.star_mentions(spark, sf).cache(), "citation_sources": adapters.star_citations(spark, sf).cache()}
 
 
 @pytest.fixture(scope="module")
@@ -79,17 +80,17 @@ def test_predictions_are_scaled_per_brand(matrix, trained):
 
 def test_unseen_domain_type_and_equal_predictions(spark, matrix, trained):
     from pyspark.sql import functions as F
-    unseen = matrix.filter("brand = 'Asana'").limit(1).withColumn("domain_type", F.lit("brand_new"))
+    unseen = matrix.filter("brand = 'Brand#3'").limit(1).withColumn("domain_type", F.lit("brand_new"))
     (row,) = model.predict_opportunities(trained.model, unseen).collect()
     assert (row.domain_type, row.opportunity_score) == ("brand_new", 50.0)
 
 
 def test_recommendations_fall_back_to_rules(spark, demo, matrix, trained):
-    targets = spark.createDataFrame([("Asana",), ("Nobody",)], "target string")
+    targets = spark.createDataFrame([("Brand#3",), ("Nobody",)], "target string")
     base = features.source_features(demo["citation_sources"], demo["brand_mentions"]).cache()
-    rows = model.recommend(targets, base, ["Jira"], model.predict_opportunities(trained.model, matrix), top_n=3).collect()
-    assert [(r.target, r["rank"], r.model_used) for r in rows] == [("Asana", i, "gbt") for i in (1, 2, 3)] + [("Nobody", i, "rule_based") for i in (1, 2, 3)]
-    assert {r.model_used for r in model.recommend(targets, base, ["Jira"]).collect()} == {"rule_based"}
+    rows = model.recommend(targets, base, ["Brand#8"], model.predict_opportunities(trained.model, matrix), top_n=3).collect()
+    assert [(r.target, r["rank"], r.model_used) for r in rows] == [("Brand#3", i, "gbt") for i in (1, 2, 3)] + [("Nobody", i, "rule_based") for i in (1, 2, 3)]
+    assert {r.model_used for r in model.recommend(targets, base, ["Brand#8"]).collect()} == {"rule_based"}
 
 
 def test_no_rows_to_train_on(matrix):

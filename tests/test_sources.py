@@ -153,7 +153,7 @@ def test_fanout_client(spark):
 
     records = fanout.collect_fanout(rows, client, 2).cache()
     by_id = {r.id: r for r in records.collect()}
-    assert (by_id["1"].n_queries, len(by_id["1"].response_text), by_id["2"].error, by_id["2"].fanout_queries) == (2, 600, "no", [])
+    assert (by_id["1"].n_queries, len(by_id["1"].response_text), by_id["2"].error, by_id["2"].fanout_queries) == (2, 700, "no", [])
     queries = fanout.fanout_explode(records)
     assert {(r.token, r.category) for r in fanout.fanout_tokens(queries, 2026).collect()} == {
         ("best", "comparison"), ("crm", "other"), ("2026", "temporal"), ("review", "evaluation"), ("hubspot", "other"), ("others", "other")}
@@ -165,18 +165,85 @@ def test_fanout_client(spark):
     assert (presence.evaluation_pct, presence.comparison_pct) == (50.0, 100.0)
 
 
+TEXTS = {"openai": "Asana, then Jira https://g2.com/a", "anthropic": "Jira https://dev.to/b", "gemini": "Try Trello or Asana"}
+
+
+def answering(fails=(), asked=None):
+    """Answers by provider; the trials in ``fails`` time out."""
+    def answer_plan(plan):
+        if asked is not None:
+            asked.extend(tuple(r) for r in plan.select("run_id", "prompt_id", "provider").collect())
+        text = F.create_map(*[F.lit(x) for pair in TEXTS.items() for x in pair])[F.col("provider")]
+        failed = F.col("run_id").isin(list(fails))
+        return plan.withColumns({"model": F.lit("m"), "response_text": F.when(~failed, text), "latency_ms": F.lit(1), "error": F.when(failed, "timeout")})
+    return answer_plan
+
+
+def stored_rows(spark, root):
+    mentions = sorted((r.run_id, r.prompt_id, r.provider, r.brand, r.position) for r in tables.read_table(spark, root, "brand_mentions").collect())
+    cites = sorted((r.prompt_id, r.provider, r.url) for r in tables.read_table(spark, root, "citation_sources").collect())
+    return mentions, cites, tables.read_table(spark, root, "llm_responses").count()
+
+
 def test_batch_run_is_stored_once(spark, root):
     tables.upsert_prompts(prompts(spark, "a", "b"), root)
-    done = run_batch(spark, root, "base", category="crm", n_runs=3)
-    assert done.mentions.groupBy("provider").count().count() == 3
-    assert {(r.brand, r.mentions) for r in done.counts.collect()} == {("Asana", 6), ("Jira", 4), ("Monday.com", 4)}
+    done = run_batch(spark, root, "base", answering(), category="crm", n_runs=3)
+    assert {(r.brand, r.mentions) for r in done.counts.collect()} == {("Asana", 4), ("Jira", 4)}
     assert tables.read_table(spark, root, "llm_responses").count() == 2 * 3 * 3
-    assert done.alerts.count() == 3 and "Trello" in {r.entity for r in done.discovered.collect()}
-    again = run_batch(spark, root, "base", n_runs=3)
-    assert again.mentions.isEmpty()
-    assert tables.read_table(spark, root, "llm_responses").count() == 18
-    single = run_batch(spark, root, "other")
-    assert single.mentions.count() == 14 and tables.read_table(spark, root, "brand_mentions").count() == 28
+    assert {r.brand for r in done.alerts.collect()} == {"Asana", "Jira"} and "Try Trello" in {r.entity for r in done.discovered.collect()}
+    before = stored_rows(spark, root)
+    assert run_batch(spark, root, "base", answering(), n_runs=3).mentions.isEmpty() and stored_rows(spark, root) == before
+    assert run_batch(spark, root, "other", answering()).mentions.count() == 8
+
+
+def test_a_failed_trial_is_asked_again_and_voted_with_the_stored_ones(spark, root, tmp_path):
+    tables.upsert_prompts(prompts(spark, "a"), root)
+    run_batch(spark, root, "base", answering(["base-t1"]), n_runs=2)
+    asked = []
+    run_batch(spark, root, "base", answering(asked=asked), n_runs=2)
+    assert {run for run, _, _ in asked} == {"base-t1"} and len(asked) == 3
+    whole = scratch(spark, "tables")
+    tables.create_tables(spark, whole)
+    tables.upsert_prompts(prompts(spark, "a"), whole)
+    run_batch(spark, whole, "base", answering(), n_runs=2)
+    assert stored_rows(spark, root) == stored_rows(spark, whole)
+
+
+def test_a_batch_that_broke_off_is_made_up_for(spark, root, monkeypatch):
+    tables.upsert_prompts(prompts(spark, "a"), root)
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "save_responses", broken)
+        with pytest.raises(RuntimeError):
+            run_batch(spark, root, "base", answering())
+    run_batch(spark, root, "base", answering())
+    mentions, cites, answers = stored_rows(spark, root)
+    assert (len(mentions), len(cites), answers) == (4, 2, 3)
+
+
+def test_a_load_is_replaced_in_every_month(spark, root):
+    rows = spark.createDataFrame([("r", "p", "openai", "Asana", 1, "neutral", "s", datetime(2026, 1, 31))], TABLES["brand_mentions"])
+    tables.save_mentions(rows, root, load="x")
+    tables.save_mentions(rows.withColumn("created_at", F.lit("2026-02-01").cast("timestamp")), root, load="x")
+    assert [str(r.created_at.date()) for r in tables.read_table(spark, root, "brand_mentions").collect()] == ["2026-02-01"]
+
+
+def partition_filters(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text[text.index("PartitionFilters: "):text.index("PushedFilters: ")]
+
+
+def test_reads_are_pruned_by_month_and_run(spark, root):
+    rows = spark.createDataFrame([(f"r{m}-t0", "p", "openai", "Asana", 1, "neutral", "s", datetime(2026, m, 5)) for m in (1, 2, 3)], TABLES["brand_mentions"])
+    tables.save_mentions(rows, root)
+    tables.save_responses(spark.createDataFrame([answer("r1-t0", "x"), answer("r2-t1", "y")], ANSWER), root)
+    part = tables.read_table(spark, root, "brand_mentions", since="2026-02-05", until="2026-02-05")
+    assert [r.run_id for r in part.collect()] == ["r2-t0"] and partition_filters(part).count("event_month") >= 2
+    part = tables.read_table(spark, root, "llm_responses", runs=["r2"])
+    assert [r.run_id for r in part.collect()] == ["r2-t1"] and "part_key" in partition_filters(part)
 
 
 def run_stream(writer):
@@ -205,6 +272,41 @@ def test_ingested_stream_equals_batch_and_survives_replay(spark, root, tmp_path)
     assert tables.read_table(spark, other, "brand_mentions").count() == 20
 
 
+@pytest.mark.parametrize("n_runs", [1, 2])
+def test_a_run_spread_over_micro_batches_is_kept_whole(spark, root, tmp_path, n_runs):
+    """One run in four files, one file per trigger, with two more files added between two starts."""
+    rows = spark.createDataFrame([(f"r-t{i % 2}", f"p{i // 2}", "openai", "Asana https://g2.com/a", 3, datetime(2026, 1, 1)) for i in range(40)], ANSWER)
+    known = prompts(spark, *[f"p{i}" for i in range(20)])
+    for part in range(2):
+        raw_runs.write_raw_run(rows.filter((F.crc32(F.concat("run_id", "prompt_id").cast("binary")) % 2) == part).repartition(2), str(tmp_path / "raw" / f"part{part}"))
+        run_stream(jobs.ingest_runs(spark, str(tmp_path / "raw"), root, known, str(tmp_path / "cp"), n_runs, max_files=1))
+    mentions, cites, answers = stored_rows(spark, root)
+    assert answers == 40
+    if n_runs == 1:
+        assert len(mentions) == len(cites) == 40
+    else:
+        assert [m[1:] for m in mentions] == sorted((f"p{i}", "openai", "Asana", 1) for i in range(20)) and len(cites) == 20
+
+
+def test_ingest_leaves_no_copies_behind(spark, root):
+    from pathlib import Path
+
+    from echolens.session import shared_root
+    kept = lambda: {p.name for p in Path(shared_root(spark).removeprefix("file:")).glob("ingest-*")} | {p.name for p in Path(shared_root(spark).removeprefix("file:")).glob("*-merged-*")}
+    before = kept()
+    jobs.ingest_batch(tables.conform(spark.createDataFrame([answer("r", "Asana")], ANSWER), "llm_responses"), 7, root, prompts(spark, "p"))
+    assert kept() == before
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from echolens.session import shared_root
+    conf = {"spark.master": "spark://host:7077"}
+    with pytest.raises(RuntimeError):
+        shared_root(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d))))
+
+
 def test_late_rows_are_dropped_after_the_watermark(spark, tmp_path):
     schema = "brand string, position int, sentiment string, created_at timestamp"
     path = str(tmp_path / "in")
