@@ -1,11 +1,12 @@
 """Quality classification by compression: zstandard dictionaries of good and bad text, and how much better one of them fits.
 
 A whole text is cut into blocks; each is compressed with the dictionary of good and with that of bad text. The normalised size difference
-(good - bad) / (good + bad), summed over all blocks before dividing, becomes a probability through a logistic curve fitted on labelled
-texts that the dictionaries have not seen.
+(good - bad) / (good + bad), summed over all blocks before dividing, says which fits better; where a text repeats itself both sizes are small
+and say little, so the logarithm of the compressed share of the text stands beside it. A logistic curve over the two (and the square of
+the latter), fitted on labelled texts that the dictionaries have not seen, gives the probability.
 
-Defined results: a null or empty text has difference 0 and gets the score of that difference; without rows of both labels every
-score is 0.5.
+Defined results: a null or empty text has difference 0 and a compressed share of 1, and gets the score of those; without rows of both labels
+every score is 0.5.
 """
 
 import numpy as np
@@ -19,16 +20,16 @@ from echolens.llm.words import raw, slices
 
 #: Bounds of the training sample: labelled texts per class and characters of a text. Half trains the dictionaries, half the curve.
 TEXTS_PER_CLASS, MOST_CHARS = 600, 20_000
-DICTIONARY_BYTES = 48 << 10
-BLOCK = 4096
+DICTIONARY_BYTES = 112 << 10
+BLOCK = 1024
 LEVEL = 3
 
 
 class Model:
-    """Two dictionaries and the curve from size difference to probability."""
+    """Two dictionaries and the curve from compressed sizes to probability."""
 
-    def __init__(self, good: bytes, bad: bytes, slope: float = 0.0, offset: float = 0.0):
-        self.good, self.bad, self.slope, self.offset = good, bad, slope, offset
+    def __init__(self, good: bytes, bad: bytes, curve: np.ndarray | None = None):
+        self.good, self.bad, self.curve = good, bad, curve
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         out = []
@@ -38,7 +39,8 @@ class Model:
             out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False))
         return out
 
-    def differences(self, texts: pa.Array) -> np.ndarray:
+    def sizes(self, texts: pa.Array) -> np.ndarray:
+        """(rows, 3): bytes with the good dictionary, with the bad one, and uncompressed."""
         good, bad = self.compressors()
         out = []
         for part in slices(texts):
@@ -50,11 +52,19 @@ class Model:
                     block = whole[k:min(k + BLOCK, b)]
                     g += len(good.compress(block))
                     h += len(bad.compress(block))
-                out.append((g - h) / (g + h) if g + h else 0.0)
-        return np.array(out)
+                out.append((g, h, b - a))
+        return np.array(out, float).reshape(-1, 3)
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """Size difference, log share, its square, and 1 for the offset."""
+        g, h, n = self.sizes(texts).T
+        some = n > 0
+        difference = np.divide(g - h, g + h, out=np.zeros_like(g), where=some)
+        share = np.log(np.divide(g + h, 2 * n, out=np.ones_like(g), where=some))
+        return np.stack([difference, share, share * share, np.ones_like(g)], 1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.differences(texts) + self.offset, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.curve, -40, 40)))
 
 
 def dictionary(texts: list[str]) -> bytes:
@@ -64,18 +74,18 @@ def dictionary(texts: list[str]) -> bytes:
     return b"\n".join(parts)[:DICTIONARY_BYTES]
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and offset by Newton steps, classes weighted alike, with a weak pull towards 0."""
-    scale = x.std() or 1.0
-    z = np.stack([x / scale, np.ones_like(x)], 1)
+def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic coefficients by Newton steps, classes weighted alike, with a weak pull towards 0."""
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    z = x / scale
     weight = np.where(y == 1, len(y) / 2 / max(1, (y == 1).sum()), len(y) / 2 / max(1, (y == 0).sum()))
-    b = np.zeros(2)
+    b = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -40, 40)))
         grad = z.T @ (weight * (p - y)) + 0.1 * b
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2)
+        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(len(b))
         b -= np.linalg.solve(hess, grad)
-    return b[0] / scale, b[1]
+    return b / scale
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> Model | None:
@@ -85,8 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> Mod
         return None
     model = Model(dictionary(by[1][::2]), dictionary(by[0][::2]))
     rest = [(t, v) for v in (0, 1) for t in by[v][1::2]]
-    x = model.differences(pa.array([t for t, _ in rest], pa.string()))
-    model.slope, model.offset = fit_curve(x, np.array([v for _, v in rest], float))
+    model.curve = fit_curve(model.features(pa.array([t for t, _ in rest], pa.string())), np.array([v for _, v in rest], float))
     return model
 
 

@@ -130,7 +130,7 @@ def test_held_out_scores(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.5) for r in got)
     held = [(r["score"], labels[r["doc_id"]]["quality"]) for r in got if r["held_out"] and r["doc_id"] in labels]
     good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
-    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.75 * len(good) * len(bad)
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.9 * len(good) * len(bad)
     toxic = {r["doc_id"]: r for r in q.op8_toxicity(spark, "/root/testdata/sf0.01").collect()}
     pairs = [(toxic[d]["toxic"], labels[d]["toxic"]) for d in labels]
     assert sum(p for p, y in pairs if y == 0) <= 0.02 * sum(y == 0 for _, y in pairs)
