@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 1024, 2, 128
 #: Tokens that the control strings and the role add to a turn.
 TURN_TOKENS = 4
-TOKEN = r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]"
+TOKEN = r"\p{L}{1,6}|\p{N}{1,3}|[^ \t\n\x0B\f\r\p{L}\p{N}]"
 CONTROL = r"([<\[])(\\*)(/?s>|/?INST\])"
 TURN = r"(?s)<s>\[INST\](.*?)\[/INST\](.*?)</s>"
 

@@ -89,5 +89,51 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii, pipeline)}
 
 
+#: Written out on its own, with the query's parameters: budget 1024, history of 2 turns and 128 tokens, 4 tokens and 20 characters a turn.
+CHAT_SQL = r"""
+WITH turns AS (
+ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+ SELECT *, len(regexp_extract_all(text, '\p{L}{1,6}|\p{N}{1,3}|[^ \t\n\x0B\f\r\p{L}\p{N}]')) + 4 AS tokens,
+  20 + length(role) + length(text) + len(regexp_extract_all(role, '[<\[]\\*(?:/?s>|/?INST\])')) + len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|/?INST\])')) AS chars FROM turns),
+summed AS (
+ SELECT *, row_number() OVER w AS n, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS upto,
+  first_value(role) OVER w = 'system' AS has_system, first_value(tokens) OVER w AS system_tokens, first_value(chars) OVER w AS system_chars
+ FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+strides AS (SELECT *, upto - tokens AS before, greatest(1, floor((1024 - 128 - CASE WHEN has_system THEN system_tokens ELSE 0 END) / 2)) AS stride FROM summed),
+long_turns AS (SELECT *, sum(CASE WHEN tokens > stride THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS n_long FROM strides),
+places AS (SELECT *, concat(floor((upto - 1) / stride), ' ', n_long, ' ', tokens > stride) AS place FROM long_turns),
+starting AS (SELECT *, CASE WHEN place IS DISTINCT FROM lag(place) OVER (PARTITION BY conv_id ORDER BY n) THEN 1 ELSE 0 END AS starts FROM places),
+repeated AS (
+ SELECT *, CASE WHEN has_system AND n > 1 AND starts = 1 THEN system_chars ELSE 0 END
+  + CASE WHEN (has_system AND n = 1) THEN 0 ELSE
+     CASE WHEN lead(starts, 1) OVER w = 1 AND lead(before, 1) OVER w - before <= 128 THEN chars ELSE 0 END
+   + CASE WHEN lead(starts, 2) OVER w = 1 AND lead(before, 2) OVER w - before <= 128 THEN chars ELSE 0 END END AS more
+ FROM starting WINDOW w AS (PARTITION BY conv_id ORDER BY n))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY n)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(chars + more) AS BIGINT) AS formatted_chars, CAST(sum(starts) AS INTEGER) AS n_windows
+FROM repeated GROUP BY conv_id"""
+
+HITS_SQL = r"""
+WITH d AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+numbered AS (SELECT row_number() OVER () AS r, * FROM d),
+i AS (
+ SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+item_at AS (SELECT item_id, words, least(10, len(words)) AS k, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS p FROM i WHERE len(words) > 0),
+item_windows AS (SELECT DISTINCT item_id, k, array_to_string(words[p:p + k - 1], ' ') AS win FROM item_at),
+sizes AS (SELECT DISTINCT k FROM item_windows),
+doc_at AS (SELECT r, words, k, unnest(range(1, len(words) - k + 2)) AS p FROM numbered CROSS JOIN sizes WHERE len(words) >= k),
+found AS (SELECT r, p, w.k, item_id FROM (SELECT r, p, k, array_to_string(words[p:p + k - 1], ' ') AS win FROM doc_at) JOIN item_windows w USING (k, win)),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS place FROM found) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM numbered LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Trained models, samples and sketches have no SQL form; those queries are tested against brute force."""
+    return {"op1_chat_formatting": CHAT_SQL, "op7_decontamination": HITS_SQL}
