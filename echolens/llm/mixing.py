@@ -4,7 +4,8 @@ Of all document rates w that give every source its target, sum over its document
 to 1 in relative entropy are exponential tilts: w = min(most, exp(lambda * x)), with x the document's size over its base measure. The
 measure counts a document once and its words once, relative to the source's mean size, so x = z / (1 + z) with z = size / mean. Lambda solves the
 convex dual by Newton steps, guarded by a bracket, for all sources at once; each step is one distributed sum over (source, size)
-counts. Rates become whole copies by systematic rounding in order of size, so a source misses its target by about one document.
+counts. Rates become whole copies by systematic rounding in order of size, which misses a source's target by about its longest
+document; a few sizes then change their number of copies to take up the rest.
 
 Defined results: a null text or source is a source or size like any other (null sources last, size 0); a document of size 0 is taken
 0 times its words; equal rows are rounded one by one. Targets follow the weights 5, 2, 1 over sources in code point order, stop at ``MOST``
@@ -20,7 +21,9 @@ from echolens.session import stored
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
 STEPS = 40
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
+#: Steps that take what rounding left to the target, a size at a time.
+FITS = 4
 #: Documents of one source and size that are ranked together.
 CELL = 64
 
@@ -64,14 +67,17 @@ def rate(lam: Column, x: Column, most: float = MOST) -> Column:
 def solve(cells: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
     """(source, lam) from (source, size, n) and (source, source_size, n_docs, target).
 
-    A source that wants all it can give has no finite dual: its lambda stays at the end of the bracket, where rates reach the cap.
-    Each step is written to the shared folder, one row per source; the loop ends when every source is within the tolerance.
+    Steps are Newton's on the logarithm of what a source gives, kept inside a bracket; where one leaves it, the bracket is halved or, as
+    long as its end is still the first one, widened by doubling. A source that wants all it can give has no finite dual: its lambda is the
+    end of the bracket, where rates reach the cap. Each step is written to the shared folder, one row per source; the loop
+    ends when every source is within the tolerance.
     """
     points = cells.where("size > 0").join(goals.select(F.col("source").alias("s"), (F.col("source_size") / F.col("n_docs")).alias("mean")),
                                           F.col("source").eqNullSafe(F.col("s"))).select("source", "n", "size", tilt(F.col("size"), F.col("mean")).alias("x"))
     points = stored(points, "mix-points")
     bound = 4000.0
-    state = goals.where("source_size > 0").select("source", "target", F.lit(0.0).alias("lam"), F.lit(-bound).alias("low"), F.lit(bound).alias("high"), F.lit(False).alias("done"))
+    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-9)
+    state = goals.where("source_size > 0").select("source", "target", F.when(full, bound).otherwise(0.0).alias("lam"), F.lit(-bound).alias("low"), F.lit(bound).alias("high"), full.alias("done"))
     state = stored(state, "mix-state")
     for _ in range(STEPS):
         at = state.select(F.col("source").alias("s"), "lam")
@@ -83,9 +89,11 @@ def solve(cells: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
         gap = F.col("got") - F.col("target")
         low = F.when(gap < 0, F.col("lam")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
-        newton = F.col("lam") - gap / F.when(F.col("slope") > 0, F.col("slope"))
+        newton = F.col("lam") - F.log(F.col("got") / F.col("target")) * F.col("got") / F.when(F.col("slope") > 0, F.col("slope"))
         near = F.abs(gap) <= TOLERANCE * F.col("target")
-        step = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
+        beyond = F.when((gap < 0) & (high == bound), F.greatest(2 * F.col("lam"), F.col("lam") + 4)).when(
+            (gap > 0) & (low == -bound), F.least(2 * F.col("lam"), F.col("lam") - 4)).otherwise((low + high) / 2)
+        step = F.when((newton > low) & (newton < F.least(high, F.abs(F.col("lam")) * 3 + 8)), newton).otherwise(F.greatest(F.lit(-bound), F.least(F.lit(bound), beyond)))
         done = near | (high - low < 1e-9)
         state = stored(joined.select("source", "target", F.when(F.col("done") | near, F.col("lam")).otherwise(step).alias("lam"),
                                      low.alias("low"), high.alias("high"), (F.col("done") | done).alias("done")), "mix-state")
@@ -94,6 +102,18 @@ def solve(cells: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
     return state.select("source", F.round("lam", 9).alias("lam"))  # the last digits depend on the order of sums
 
 
+def _fitted(cells: DataFrame, most: float) -> DataFrame:
+    """One step towards the target: the largest size that still fits into what a source lacks, or has too much, changes its quota."""
+    source = Window.partitionBy("source")
+    lack = F.col("target") - F.sum(F.col("quota") * F.col("size")).over(source)
+    cells = cells.withColumn("lack", lack)
+    room = F.when(F.col("lack") > 0, (F.col("n") * F.lit(most)).cast("long") - F.col("quota")).otherwise(F.col("quota"))
+    fits = (F.col("size") > 0) & (F.col("size") <= F.abs("lack")) & (room > 0)
+    largest = F.max(F.when(fits, F.col("size"))).over(source)
+    change = F.least(room, F.floor(F.abs("lack") / F.col("size"))) * F.signum("lack").cast("long")
+    return cells.withColumn("quota", F.col("quota") + F.when(F.col("size") == largest, change).otherwise(0)).drop("lack")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``; columns of these names in ``docs`` are replaced."""
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
@@ -114,6 +134,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST)
     begun = F.coalesce(F.sum(F.col("n") * F.col("rate")).over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     whole = lambda c: F.floor(c + 0.5 + 1e-9)
     quotas = rated.withColumn("quota", F.least(whole(through) - whole(begun), (F.col("n") * F.lit(most)).cast("long")))
+    for _ in range(FITS):
+        quotas = _fitted(quotas, most)
     quotas = stored(quotas.select(F.col("source").alias("q_source"), F.col("size").alias("q_size"), F.col("n").alias("q_n"), "quota", "source_size", "target", "rate"), "mix-quotas")
     # Within a cell: the base number for all, one more for the first of each bucket's hash order, as the bucket's stretch of the remainder says.
     same = F.col("source").eqNullSafe(F.col("q_source")) & (F.col("size") == F.col("q_size"))
