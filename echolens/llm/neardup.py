@@ -196,11 +196,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
              .join(whole.select(F.col("text_key").alias("b"), F.col("text").alias("text_b")), "b")
              .select("a", "b", similarity("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= threshold))
     roots = components(stored(links, "neardup-links"))
-    named = (rows.select("doc_id", "text_key").join(roots.select(F.col("node").alias("text_key"), "root"), "text_key", "left")
-             .select("doc_id", "text_key", F.coalesce("root", "text_key").alias("class_key")))
-    least = named.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
-    return named.join(least, "class_key", "left").select(
-        "doc_id", "text_key", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key")
+    # Smallest ids per text first: a class is then one row for each different text.
+    least = rows.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("least"))
+    linked = least.join(roots.select(F.col("node").alias("text_key"), "root"), "text_key")
+    named = linked.select("text_key", "root").join(linked.groupBy("root").agg(F.min("least").alias("class_id")), "root")
+    alone = least.join(roots.select(F.col("node").alias("text_key")), "text_key", "left_anti")
+    classes = named.select("text_key", F.col("root").alias("class_key"), "class_id").unionAll(alone.select("text_key", F.col("text_key").alias("class_key"), "least"))
+    found = rows.select("doc_id", "text_key").join(classes, "text_key", "left")
+    return found.select("doc_id", "text_key", F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
