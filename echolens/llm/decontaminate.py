@@ -134,9 +134,9 @@ def benchmark_hits(benchmark: DataFrame, text: Column, width: int = WIDTH) -> Co
         (F.size(acc) > 0) & (s["start"] <= F.get(acc, F.size(acc) - 1)["end"]),
         F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end")))
     ).otherwise(F.array_append(acc, s)))
-    raise_words = F.aggregate(merged, F.lit(0).cast("bigint"), lambda a, s: a + F.regexp_count(
-        F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("bigint"))
-    return F.struct(found[0]["n_words"].alias("n_words"), raise_words.alias("n_hit"), merged.alias("spans"),
+    n_hit = F.aggregate(merged, F.lit(0).cast("bigint"), lambda a, s: a + F.regexp_count(
+        F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("bigint"))
+    return F.struct(found[0]["n_words"].alias("n_words"), n_hit.alias("n_hit"), merged.alias("spans"),
                     F.array_sort(F.array_distinct(F.flatten(F.array(*[f["items"] for f in found])))).alias("items"))
 
 
