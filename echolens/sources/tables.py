@@ -54,6 +54,19 @@ def read_table(spark: SparkSession, root: str, name: str, since: str | None = No
     return rows.select(*schema.fieldNames())
 
 
+def latest_days(spark: SparkSession, root: str, name: str, days: int = 2) -> DataFrame:
+    """Rows of a table of mentions or citations from as few of its latest months as hold ``days`` different days."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(root, name))
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, f"{_MONTH}=*"))
+    months = sorted((m for f in found or [] if (m := f.getPath().getName().split("=", 1)[1]) != "none"), reverse=True)
+    rows = read_table(spark, root, name)
+    for month in months:
+        rows = read_table(spark, root, name, since=f"{month}-01")
+        if rows.select(F.to_date("created_at").alias("day")).distinct().limit(days).count() == days:
+            break
+    return rows
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """The table's columns in its types; columns the frame lacks become NULL."""
     return df.select(*_columns(df, name))

@@ -330,3 +330,16 @@ def test_alert_stream_follows_the_tables(spark, root, tmp_path):
     run_stream(jobs.alert_stream(stream, root, str(tmp_path / "alerts"), str(tmp_path / "cp")))
     (row,) = spark.read.parquet(str(tmp_path / "alerts")).collect()
     assert (row.brand, row.current, row.reason) == ("Asana", 10.0, "below threshold")
+
+
+def test_alerts_from_the_latest_months_equal_those_from_all(spark, root):
+    from echolens.operators.alerts import visibility_alerts
+    days = [datetime(2026, 1, 5), datetime(2026, 3, 30), datetime(2026, 5, 1), datetime(2026, 5, 1)]
+    said = [(f"r{i}", "p", "openai", brand, 1, "neutral", "s", day) for i, day in enumerate(days) for brand in ("Asana", "Jira")[: 1 + i % 2]]
+    tables.save_mentions(spark.createDataFrame(said, TABLES["brand_mentions"]), root)
+    tables.save_responses(spark.createDataFrame([answer(f"r{i}", "x") for i in range(40)], ANSWER), root)
+    tables.upsert_prompts(prompts(spark, "p"), root)
+    recent = tables.latest_days(spark, root, "brand_mentions")
+    assert recent.count() == 5  # March to May
+    all_rows = [tables.read_table(spark, root, t) for t in ("brand_mentions", "llm_responses", "prompts")]
+    assert visibility_alerts(*all_rows, recent=recent).collect() == visibility_alerts(*all_rows).collect()
