@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from echolens.fixed import REASON_MODEL_GAP, REASON_MODEL_LEAD
 from echolens.functions.numbers import fixed, score_band
 from echolens.session import ensure_checkpoints
 from echolens.operators.scoring import action_text, opportunity_scores
@@ -105,8 +106,8 @@ def model_recommendations(predictions: DataFrame, top_n: int = 5) -> DataFrame:
     """The best ``top_n`` domain types per brand with priority, reason and action."""
     order = Window.partitionBy("brand").orderBy(F.desc("opportunity_score"), "domain_type")
     mean, own = F.col("competitor_avg_cooccurrence"), F.col("cooccurrence")
-    reason = (F.when(mean > own, F.format_string("Competitors appear %s× vs your %d× — model gap signal", fixed(mean, 1), own))
-              .otherwise(F.format_string("You lead here (%d vs avg %s) — maintain presence", own, fixed(mean, 1))))
+    reason = (F.when(mean > own, F.format_string(REASON_MODEL_GAP, fixed(mean, 1), own))
+              .otherwise(F.format_string(REASON_MODEL_LEAD, own, fixed(mean, 1))))
     return (predictions.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
             .select(F.col("brand").alias("target"), "rank", "domain_type", "opportunity_score",
                     score_band(F.col("opportunity_score")).alias("priority"), reason.alias("reason"),

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolens.fixed import ACTIONS, DEFAULT_ACTION, DOMAIN_WEIGHTS
+from echolens.fixed import ACTIONS, DEFAULT_ACTION, DOMAIN_WEIGHTS, REASON_AUTHORITY, REASON_FALLBACK, REASON_GAP, REASON_GENERAL
 from echolens.functions.numbers import fixed, lookup, round_exact, score_band
 
 
@@ -21,13 +21,10 @@ def action_text(domain_type: Column) -> Column:
 def rule_reason(domain_type: Column, own: Column, rivals: Column, score: Column) -> Column:
     """Why a source type is recommended: a gap to the rivals, its authority, or its general value."""
     return (F.when(rivals > own,
-                   F.format_string("Competitors appear %s× in %s sources vs your %s× — high gap opportunity",
+                   F.format_string(REASON_GAP,
                                    fixed(rivals, 1), domain_type, fixed(own, 1)))
-            .when(score >= 60, F.concat(domain_type, F.lit(" is high-authority and you have room to grow presence")))
-            .otherwise(F.concat(domain_type, F.lit(" sources contribute to AI citation signals in this category"))))
-
-
-FALLBACK_REASON = "High-authority source type for AI citation signals (no citation data yet)"
+            .when(score >= 60, F.concat(domain_type, F.lit(REASON_AUTHORITY)))
+            .otherwise(F.concat(domain_type, F.lit(REASON_GENERAL))))
 
 
 def opportunity_scores(features: DataFrame, targets: DataFrame, competitors: list[str]) -> DataFrame:
@@ -60,7 +57,7 @@ def opportunity_scores(features: DataFrame, targets: DataFrame, competitors: lis
         "target", "domain_type", "opportunity_score",
         F.when(F.col("has_data"), score_band(score)).otherwise(score_band(score, 70, 40)).alias("priority"),
         F.when(F.col("has_data"), rule_reason(F.col("domain_type"), F.col("own"), F.col("rivals"), score))
-        .otherwise(FALLBACK_REASON).alias("reason"),
+        .otherwise(REASON_FALLBACK).alias("reason"),
         action_text(F.col("domain_type")).alias("action"), "weight_rank"))
 
 
@@ -69,5 +66,5 @@ def fallback_scores(targets: DataFrame) -> DataFrame:
     score = F.round(F.col("weight") * 100, 1)
     return (weight_grid(targets).withColumn("opportunity_score", score)
             .select("target", "domain_type", "opportunity_score", score_band(F.col("opportunity_score"), 70, 40).alias("priority"),
-                    F.lit(FALLBACK_REASON).alias("reason"), action_text(F.col("domain_type")).alias("action"),
+                    F.lit(REASON_FALLBACK).alias("reason"), action_text(F.col("domain_type")).alias("action"),
                     "weight_rank"))

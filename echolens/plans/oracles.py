@@ -1,12 +1,17 @@
 """DuckDB counterparts of the registered queries, written independently over the driver's views."""
 
-from echolens.fixed import ACTIONS, CATEGORY_LABELS, DEFAULT_ACTION, DOMAIN_RULES, DOMAIN_WEIGHTS, PROVIDERS
-from echolens.functions.text import SPACES
-from echolens.operators.entities import CAPITALISED
-from echolens.operators.scoring import FALLBACK_REASON
-from echolens.operators.sentiment import NEGATIVE_WORDS, POSITIVE_WORDS
+from echolens.fixed import ACTIONS, CATEGORY_LABELS, DEFAULT_ACTION, PROVIDERS, REASON_FALLBACK
 from echolens.plans import registry as r
-from echolens.plans.adapters import TERMS
+
+# Rules, patterns and terms are written out here on their own, so that a wrong one in the library shows.
+TERMS = ["from", "than", "of the", "of", "tion", "de la"]
+SPACES = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+CAPITALISED = r"\p{Lu}(?:\p{L}|\p{N})+(?:(?: |-)\p{Lu}(?:\p{L}|\p{N})+)*"
+DOMAIN_WEIGHTS = {"review_site": 1.0, "tech_media": 0.9, "business_media": 0.8, "community": 0.7, "developer": 0.7, "blog_platform": 0.5, "brand_owned": 0.3, "professional_social": 0.4, "video": 0.5, "reference": 0.6, "other": 0.2}
+_CLASSES = [("community", "reddit.com"), ("developer", "stackoverflow.com dev.to hackernews"), ("review_site", "g2.com capterra.com trustradius.com getapp.com"),
+            ("tech_media", "techcrunch wired theverge zdnet techradar infoworld"), ("business_media", "forbes businessinsider entrepreneur inc.com"),
+            ("blog_platform", "medium.com substack.com ghost.io"), ("video", "youtube.com youtu.be"), ("reference", "wikipedia.org"),
+            ("professional_social", "linkedin.com"), ("social", "twitter.com x.com")]
 
 W = r"[\p{L}\p{N}_]"
 
@@ -31,7 +36,7 @@ def case(key: str, table: dict, default: str) -> str:
 
 
 def classify(domain: str) -> str:
-    whens = " ".join(f"WHEN regexp_matches({domain}, {q('(?i)' + p)}) THEN {q(n)}" for n, p in DOMAIN_RULES)
+    whens = " ".join(f"WHEN {' OR '.join(f'contains(lower({domain}), {q(part)})' for part in parts.split())} THEN {q(name)}" for name, parts in _CLASSES)
     return f"CASE {whens} WHEN len(string_split(ltrim({domain}, 'w.'), '.')) = 2 THEN 'brand_owned' ELSE 'other' END"
 
 
@@ -315,7 +320,7 @@ def oracle_sql() -> dict[str, str]:
         "score_band": with_(STAR, COOC, GRID, scores(r.COMPETITORS)) + """SELECT target, domain_type, opportunity_score, priority,
  CASE priority WHEN 'HIGH' THEN 'red' WHEN 'MEDIUM' THEN 'amber' ELSE 'green' END AS color FROM scores""",
         "fallback_scores": with_(STAR, GRID) + f"""SELECT target, domain_type, round(weight * 100, 1) AS opportunity_score, {_band('round(weight * 100, 1)', 70, 40)} AS priority,
- {q(FALLBACK_REASON)} AS reason, {case('domain_type', ACTIONS, q(DEFAULT_ACTION))} AS action FROM targets CROSS JOIN weights""",
+ {q(REASON_FALLBACK)} AS reason, {case('domain_type', ACTIONS, q(DEFAULT_ACTION))} AS action FROM targets CROSS JOIN weights""",
         "reason_action_text": with_(STAR, COOC, GRID, scores([])) + "SELECT target, domain_type, priority, reason, action FROM scores",
         "recommend_by_rules": with_(STAR, COOC, GRID, scores(r.COMPETITORS)) + """SELECT target, row_number() OVER (PARTITION BY target ORDER BY opportunity_score DESC, weight_rank) AS rank,
  domain_type, opportunity_score, priority, reason, action, 'rule_based' AS model_used FROM scores QUALIFY rank <= 5""",
