@@ -4,6 +4,10 @@ Each rule votes good (1), bad (-1) or abstains (0). How often a rule votes how o
 expectation-maximisation over all documents: votes are counted by pattern first (at most 3**rules patterns, whatever the corpus is), and the
 iterations run over those counts inside one expression. The posterior probability of being good replaces the demand that every rule passes.
 
+Texts are bad in different ways, and each way shows in one rule only, so rules about a fault vote bad or abstain: silence about one fault is no
+proof against another. Every rule is held to be better than chance: what a bad vote adds is at least a factor of e cubed against the
+text, a good vote adds at most a factor of e for it, and abstaining at most half of that (in logarithms) either way.
+
 Defined results: a null text has no words; an empty table gives no rows; repeated ids are rows of their own.
 """
 
@@ -72,24 +76,27 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "m.w.*", "m.l.*", "m.n_symbols", "m.n_upper", "m.n_marks")
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
-
-
 def votes() -> list[Column]:
     """The rules over the columns of ``measured``; shares are compared in integers."""
     n, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
+    fault = lambda bad: F.when(bad, -1).otherwise(0)
     return [
-        _vote((n >= 100) & (n <= 100_000), n < 20),                                                          # length
-        F.when(n < 20, 0).otherwise(_vote(10 * F.col("n_repeat_words") < n, 10 * F.col("n_repeat_words") > 3 * n)),  # repeated windows
-        F.when(lines < 3, 0).otherwise(_vote(F.col("n_dup_lines") == 0, 10 * F.col("n_dup_lines") > 3 * lines)),      # repeated lines
-        F.when(n == 0, 0).otherwise(_vote(100 * F.col("n_symbols") < chars, 100 * F.col("n_symbols") > 8 * chars)),   # symbols
-        F.when(n == 0, 0).otherwise(_vote((chars >= 3 * n) & (chars <= 10 * n), (chars < 2 * n) | (chars > 15 * n))),  # word length
-        F.when(n == 0, 0).otherwise(_vote(50 * F.col("n_marks") < n, 10 * F.col("n_marks") > n)),              # words that are marks
-        F.when(chars == 0, 0).otherwise(_vote(10 * F.col("n_upper") < chars, 10 * F.col("n_upper") > 4 * chars)),     # capitals
+        F.when(n < 20, -1).when((n >= 100) & (n <= 100_000), 1).otherwise(0),                                      # length
+        F.when((chars < 2 * n) | (chars > 15 * n), -1).when((n > 0) & (chars >= 3 * n) & (chars <= 10 * n), 1).otherwise(0),  # word length
+        fault((n >= 20) & (10 * F.col("n_repeat_words") > 3 * n)),                                                 # repeated windows
+        fault((lines >= 3) & (10 * F.col("n_dup_lines") > 4 * lines)),                                             # repeated lines
+        fault(100 * F.col("n_symbols") > 8 * chars),                                                               # symbols
+        fault(10 * F.col("n_marks") > n),                                                                          # words that are marks
+        fault(10 * F.col("n_upper") > 4 * chars),                                                                  # capitals
     ]
 
 
+def _held(x: Column, vote: Column) -> Column:
+    """What a vote (0 bad, 1 abstained, 2 good) adds to the log-odds, held to the bounds of a rule better than chance."""
+    within = lambda low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(vote == 0, F.least(x, F.lit(-3.0))).when(vote == 1, within(-0.5, 0.5)).otherwise(within(0.0, 1.0))
+
+
 def estimate(patterns: DataFrame, iterations: int = ITERATIONS) -> tuple[float, list[list[float]]]:
     """Log-odds of good before any vote, and what each rule's vote (bad, abstained, good) adds to it.
 
@@ -110,7 +117,7 @@ def estimate(patterns: DataFrame, iterations: int = ITERATIONS) -> tuple[float,
             count(j, v, lambda r: r["q"]) / count(j, v, lambda r: 1 - r["q"]))))
         return let(F.struct(good.alias("good"), bad.alias("bad")), lambda s: F.struct(
             F.log(s["good"] / s["bad"]).alias("prior"),
-            F.transform(ratio, lambda xs: F.transform(xs, lambda x: x - F.log((s["good"] + 2) / (s["bad"] + 2)))).alias("ratio")))
+            F.transform(ratio, lambda xs: F.transform(xs, lambda x, v: _held(x - F.log((s["good"] + 2) / (s["bad"] + 2)), v))).alias("ratio")))
 
     def posterior(rows: Column, p: Column) -> Column:
         def q(r: Column) -> Column:
