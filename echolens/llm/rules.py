@@ -6,7 +6,7 @@ iterations run over those counts inside one expression. The posterior probabilit
 
 Texts are bad in different ways, and each way shows in one rule only, so rules about a fault vote bad or abstain: silence about one fault is no
 proof against another. Every rule is held to be better than chance: what a bad vote adds is at least a factor of e cubed against the
-text, a good vote adds at most a factor of e for it, and abstaining at most half of that (in logarithms) either way.
+text, a good vote adds at most a factor of e squared for it, and abstaining stays between them.
 
 Defined results: a null text has no words; an empty table gives no rows; repeated ids are rows of their own.
 """
@@ -94,7 +94,7 @@ def votes() -> list[Column]:
 def _held(x: Column, vote: Column) -> Column:
     """What a vote (0 bad, 1 abstained, 2 good) adds to the log-odds, held to the bounds of a rule better than chance."""
     within = lambda low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
-    return F.when(vote == 0, F.least(x, F.lit(-3.0))).when(vote == 1, within(-0.5, 0.5)).otherwise(within(0.0, 1.0))
+    return F.when(vote == 0, F.least(x, F.lit(-3.0))).when(vote == 1, within(-0.5, 1.5)).otherwise(within(0.0, 2.0))
 
 
 def estimate(patterns: DataFrame, iterations: int = ITERATIONS) -> tuple[float, list[list[float]]]:
