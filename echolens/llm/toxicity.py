@@ -17,7 +17,7 @@ from echolens.llm.samples import labelled_sample
 from echolens.llm.words import slices, split_words
 
 #: Bounds of the training sample: labelled texts per class, characters of a text, and words in the model.
-TEXTS_PER_CLASS, MOST_CHARS, MOST_WORDS = 3000, 30_000, 2000
+TEXTS_PER_CLASS, MOST_CHARS, MOST_WORDS = 2000, 30_000, 2000
 #: A word is associated with toxic text if this many of the sample's toxic texts hold it, and its share there is so many times that in clean texts.
 LEAST_TEXTS, LEAST_RATIO = 4, 8.0
 GRADES = (1, 3, 6)
@@ -71,8 +71,13 @@ def associated_words(texts: list[str], toxic: np.ndarray) -> np.ndarray:
 
 
 def fit_cumulative(x: np.ndarray, grade: np.ndarray, steps: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by Adam on the cumulative likelihood; thresholds are a first one plus positive gaps."""
+    """Weights and ordered thresholds by Adam on the cumulative likelihood; thresholds are a first one plus positive gaps.
+
+    Equal rows, most of all those without any associated word, are worked on once with their number as weight.
+    """
     n_thresholds = len(GRADES)
+    rows, number = np.unique(np.column_stack([x, grade]), axis=0, return_counts=True)
+    x, grade, share = rows[:, :-1], rows[:, -1], (number / number.sum())[:, None]
     w, first, gaps = np.zeros(x.shape[1]), 0.0, np.zeros(n_thresholds - 1)
     params = [w, np.array([first]), gaps]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -80,7 +85,7 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, steps: int = 600, rate: flo
     for step in range(1, steps + 1):
         t = params[1][0] + np.append(0, np.cumsum(np.exp(params[2])))
         p = 1 / (1 + np.exp(-np.clip((x @ params[0])[:, None] - t[None], -40, 40)))
-        d = (p - above) / len(x)                       # of the summed binary likelihoods, which share the weights
+        d = (p - above) * share                        # of the summed binary likelihoods, which share the weights
         dt = -d.sum(0)
         grads = [x.T @ d.sum(1) + 1e-4 * params[0], np.array([dt.sum()]),
                  np.exp(params[2]) * np.array([dt[k + 1:].sum() for k in range(n_thresholds - 1)])]
