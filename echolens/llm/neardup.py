@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = linked.select("text_key", "root").join(linked.groupBy("root").agg(F.min("least").alias("class_id")), "root")
     alone = least.join(roots.select(F.col("node").alias("text_key")), "text_key", "left_anti")
     classes = named.select("text_key", F.col("root").alias("class_key"), "class_id").unionAll(alone.select("text_key", F.col("text_key").alias("class_key"), "least"))
-    found = rows.select("doc_id", "text_key").join(classes, "text_key", "left")
+    # Stored, so that the join reads two plain shuffles and a text that very many rows share can be split.
+    found = rows.select("doc_id", "text_key").join(stored(classes, "neardup-classes"), "text_key", "left")
     return found.select("doc_id", "text_key", F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key")
 
 
