@@ -123,6 +123,27 @@ def similarities(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray
     return np.divide(common, total - common, out=np.zeros(n), where=total > 0)
 
 
+def prefixes(texts: pa.Array, idf: np.ndarray, frequencies: np.ndarray, threshold: float) -> pa.Array:
+    """struct<weight, own, shingles>: total weight, and the rarest shingles up to where the rest can't reach the threshold alone.
+
+    A pair of the threshold shares at least ``threshold`` of the heavier text's weight and 2 t / (1 + t) of the lighter one's. So its
+    first common shingle, rarest first, is among the heavier text's ``shingles`` and the lighter one's first ``own``.
+    """
+    h, row, weight = weighted_sets(texts, idf)
+    order = np.lexsort((h, frequencies[(h >> np.uint64(64 - IDF_BITS)).astype(np.int64)], row))
+    h, row, weight = h[order], row[order], weight[order].astype(np.float64)
+    total = np.bincount(row, weight, len(texts))
+    sums = np.cumsum(weight)
+    first = np.searchsorted(row, np.arange(len(texts)))
+    before = sums - weight - np.append(sums, 0.0)[first - 1][row] * (first[row] > 0)
+    rest = (total[row] - before) / np.maximum(total[row], 1e-12) + 1e-6  # share of this shingle and all after it; the slack covers rounding
+    inside, own = rest >= threshold, rest >= 2 * threshold / (1 + threshold)
+    offsets = np.append(0, np.cumsum(np.bincount(row[inside], minlength=len(texts)))).astype(np.int32)
+    shingle_lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[inside].view(np.int64)))
+    return pa.StructArray.from_arrays([pa.array(total), pa.array(np.bincount(row[own], minlength=len(texts)).astype(np.int32)), shingle_lists],
+                                      names=["weight", "own", "shingles"])
+
+
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
@@ -146,6 +167,44 @@ def _compared(idf: np.ndarray):
     return similarity
 
 
+def _prefixed(idf: np.ndarray, frequencies: np.ndarray, threshold: float):
+    @F.arrow_udf("struct<weight:double,own:int,shingles:array<bigint>>")
+    def prefix(texts: pa.Array) -> pa.Array:
+        parts = [prefixes(part, idf, frequencies, threshold) for part in slices(texts)]
+        return pa.concat_arrays(parts or [prefixes(pa.array([], pa.large_string()), idf, frequencies, threshold)])
+    return prefix
+
+
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text_key, text) once for each of ``keys``."""
+    whole = docs.select(text_key(F.col("text")).alias("text_key"), "text").where("text_key is not null")
+    return stored(whole.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "neardup-texts")
+
+
+def _verified(pairs: DataFrame, whole: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts reach the threshold."""
+    similarity = _compared(idf)
+    found = (pairs.join(whole.select(F.col("text_key").alias("a"), F.col("text").alias("text_a")), "a")
+             .join(whole.select(F.col("text_key").alias("b"), F.col("text").alias("text_b")), "b")
+             .select("a", "b", similarity("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= threshold))
+    return stored(found.select("a", "b"), "neardup-links")
+
+
+def unlinked_pairs(whole: DataFrame, idf: np.ndarray, frequencies: np.ndarray, threshold: float) -> DataFrame:
+    """All pairs (a, b) of ``whole`` (text_key, root, text) that may reach the threshold and have different roots; none is left out.
+
+    An exact prefix filter: passages that many texts share stand last in the order of the shingles, so such texts meet only if
+    they share something rarer, or are little besides the passage.
+    """
+    prefix = stored(whole.select("text_key", "root", _prefixed(idf, frequencies, threshold)("text").alias("x"))
+                    .select("text_key", "root", "x.*"), "neardup-prefixes")
+    spread = lambda shingles, name: prefix.select(F.explode(shingles).alias("shingle"), F.struct("text_key", "root", "weight").alias(name))
+    heavy, light = spread(F.col("shingles"), "m"), spread(F.slice("shingles", 1, F.col("own")), "l")
+    near = (F.col("l.root") != F.col("m.root")) & (F.col("l.weight") <= F.col("m.weight") * (1 + 1e-6)) & (F.col("l.weight") >= F.col("m.weight") * (threshold - 1e-6))
+    return (heavy.join(light, "shingle").where(near)
+            .select(F.least("l.text_key", "m.text_key").alias("a"), F.greatest("l.text_key", "m.text_key").alias("b")).distinct())
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of the links; the root is the smallest node of its connected component.
 
@@ -173,29 +232,37 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_key, class_id, class_key) for every row of ``docs``; rows of one class are copies or near copies.
 
-    Equal texts meet in a key first, so a group of any size costs one row from there on. In every bucket of a band the members are
-    compared with two pivots, the members of smallest and largest hash under that band: two comparisons a member, however large the bucket
-    is, and other pivots in each band. Links are verified over the whole texts, and classes are their connected components.
+    Equal texts meet in a key first, so a group of any size costs one row from there on. In every bucket of a band the members are first
+    compared with two pivots, the members of smallest and largest hash under that band, which links large groups of near copies by two
+    comparisons a member. Buckets whose members aren't of one class then are searched in full: their members go through an exact
+    prefix filter, and all pairs that may reach the threshold are compared. Links are verified over the whole texts, and classes
+    are their connected components.
     """
-    idf = idf_table(*document_frequencies(docs))
+    frequencies, total = document_frequencies(docs)
+    idf = idf_table(frequencies, total)
     rows = stored(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), _banded(idf)("text").alias("bands")), "neardup-rows")
     texts = rows.where("bands is not null").groupBy("text_key").agg(F.first("bands").alias("bands"))
     members = texts.select("text_key", F.explode("bands").alias("band"))
     order = F.xxhash64("text_key", "band")
     buckets = (members.groupBy("band").agg(F.min_by("text_key", order).alias("p"), F.max_by("text_key", order).alias("q"))
                .where("p <> q"))
-    pairs = (members.join(buckets, "band").select("text_key", F.explode(F.array("p", "q")).alias("pivot"))
-             .where("text_key <> pivot")
+    # Stored with the band: members of shared buckets are what the second search looks at.
+    shared = stored(members.join(buckets, "band").select("text_key", "band", F.array("p", "q").alias("pivots")), "neardup-members")
+    pairs = (shared.select("text_key", F.explode("pivots").alias("pivot")).where("text_key <> pivot")
              .select(F.least("text_key", "pivot").alias("a"), F.greatest("text_key", "pivot").alias("b")).distinct())
-    pairs = stored(pairs, "neardup-pairs")
-    involved = pairs.select(F.col("a").alias("text_key")).unionAll(pairs.select(F.col("b").alias("text_key"))).distinct()
-    whole = docs.select(text_key(F.col("text")).alias("text_key"), "text").where("text_key is not null")
-    whole = stored(whole.join(involved, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "neardup-texts")
-    similarity = _compared(idf)
-    links = (pairs.join(whole.select(F.col("text_key").alias("a"), F.col("text").alias("text_a")), "a")
-             .join(whole.select(F.col("text_key").alias("b"), F.col("text").alias("text_b")), "b")
-             .select("a", "b", similarity("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= threshold))
-    roots = components(stored(links, "neardup-links"))
+    whole = _texts(docs, shared.select("text_key").distinct())
+    links = _verified(pairs, whole, idf, threshold)
+    roots = components(links)
+    rooted = (shared.select("text_key", "band").join(roots.select(F.col("node").alias("text_key"), "root"), "text_key", "left")
+              .select("text_key", "band", F.coalesce("root", "text_key").alias("root")))
+    # In buckets of two members the pivots are all there is.
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
+    unsettled = stored(rooted.join(mixed.select("band"), "band").select("text_key", "root").distinct(), "neardup-open")
+    if not unsettled.isEmpty():
+        further = unlinked_pairs(whole.join(unsettled, "text_key"), idf, frequencies, threshold)
+        more = _verified(further, whole, idf, threshold)
+        if not more.isEmpty():
+            roots = components(links.unionAll(more))
     # Smallest ids per text first: a class is then one row for each different text.
     least = rows.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("least"))
     linked = least.join(roots.select(F.col("node").alias("text_key"), "root"), "text_key")

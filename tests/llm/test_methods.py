@@ -187,3 +187,43 @@ def test_hot_source_of_equal_sizes_meets_its_target(spark):
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).groupBy("source").agg(
         F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("copies").alias("most")).collect()
     assert all(abs(r.taken - r.target) <= 0.02 * r.target + 40 and r.most <= 3 for r in out)
+
+
+def test_near_copies_within_a_shared_template_are_found(spark):
+    """Texts that are mostly one template fill the same buckets; planted pairs there come out as brute force has them."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(150):
+        template = rows[0][0][:240] if rows else fresh(240)
+        own = fresh(60)
+        edited = list(own)
+        for k in range(3, 60, 12):
+            edited[k] = "edited"
+        rows += [(template + own, len(rows)), (template + edited, len(rows))]
+    rows += [(rows[0][0][:240] + fresh(60), len(rows) + k) for k in range(200)]
+    docs = [(i, " ".join(ws)) for i, (ws, _) in enumerate(rows)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [first for _, first in rows]
+
+
+def test_prefixes_meet_for_every_similar_pair():
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.choice(words) for _ in range(80)]
+    texts = []
+    for _ in range(60):
+        ws = base[rng.randrange(12):len(base) - rng.randrange(12)]
+        ws[rng.randrange(len(ws))] = rng.choice(words)
+        texts.append(" ".join(ws))
+    texts += ["", "one", None]
+    idf, frequencies = neardup.idf_table(np.zeros(1 << neardup.IDF_BITS, np.int64), 60), np.zeros(1 << neardup.IDF_BITS, np.int64)
+    column = pa.array(texts).cast(pa.large_string())
+    found = neardup.prefixes(column, idf, frequencies, 0.8).to_pylist()
+    n = len(texts)
+    left, right = [i for i in range(n) for j in range(i)], [j for i in range(n) for j in range(i)]
+    sims = neardup.similarities(column.take(left), column.take(right), idf)
+    for i, j, s in zip(left, right, sims):
+        light, heavy = sorted((found[i], found[j]), key=lambda x: x["weight"])
+        assert s < 0.8 or set(light["shingles"][:light["own"]]) & set(heavy["shingles"])
+    assert (sims >= 0.8).sum() > 50 and (sims < 0.8).sum() > 50
