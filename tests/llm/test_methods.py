@@ -145,6 +145,16 @@ def test_random_strings_are_told_from_ordinary_ones(spark):
     assert {s.kind for i in range(60) for s in got[i]} == {"random"} and {(s.start, s.end) for i in range(60) for s in got[i]} == {(4, 68)}
 
 
+def test_random_strings_after_an_equals_sign_are_found(spark):
+    rng = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda: "".join(rng.choice(alphabet) for _ in range(64))
+    rows = [(i, f"AWS_KEY={key()} end") for i in range(60)] + [(100 + i, f"https://a.org/x?sig={key()}&v=1") for i in range(60)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(len(got[i]) for i in range(60)) >= 45 and sum(len(got[100 + i]) for i in range(60)) >= 45
+    assert {(s.start, s.end) for i in range(60) for s in got[i]} == {(8, 72)} and {(s.start, s.end) for i in range(60) for s in got[100 + i]} == {(20, 84)}
+
+
 def test_hits_of_several_automata_equal_those_of_one(spark, monkeypatch):
     docs, benchmark = fixtures.odd_documents(spark), fixtures.benchmark(spark)
     whole = decontaminate.decontaminate(docs, benchmark).collect()
