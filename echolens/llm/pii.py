@@ -2,7 +2,10 @@
 
 Strict forms (email, ip, card, phone) are found with their checks. High-recall generators propose further, overlapping spans of looser form;
 boosted trees score them by format and context, and a threshold per kind, calibrated on candidates the trees have not seen, selects
-what else is redacted. The trees learn from the corpus itself: a candidate that is a strict span is an example of its kind, any other is not.
+what else is redacted. The trees learn from the corpus itself: its strict spans, rewritten in loose form within their own context, are the
+examples; candidates that overlap no strict span are the others. Features that only tell the strict form (a plus, an at sign) are left out.
+The others may hold loose personal data themselves, so they aren't simply wrong: at equal score they are taken for personal data up to the number
+of rewritten examples, and what goes beyond that number counts as wrong. This assumes that a loose form is no more frequent than the strict one.
 The fitted trees become one column expression, so every text is read once and no row needs a key.
 
 Defined results: a null text counts as empty and has no spans (and stays null when redacted); offsets are code points, ends exclusive; without
@@ -27,17 +30,17 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Generators of candidates.
 LOOSE = {"email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*+",
-         "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){2,7}+",
+         "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:(?:\.|\[\.\])[0-9]++){2,7}+",
          "card": r"[0-9](?:[\x20-]?[0-9]){11,22}+",
          "phone": r"\+?\(?[0-9][\x20().0-9-]{5,24}[0-9]"}
 HINT = r"(?i)(?:tel|phone|call|mail|contact|card|visa|ip|host|server)\W*$"
 
-#: Texts (about) and candidates of the training sample; half of it calibrates the thresholds.
-SAMPLE_TEXTS, SAMPLE_CANDIDATES = 20_000, 40_000
+#: Candidates that the trees learn from; thresholds are counted over all others.
+SAMPLE_CANDIDATES = 40_000
 TREES, DEPTH = 8, 3
 PRECISION, BINS, LEAST_SUPPORT = 0.95, 50, 20
 
-FEATURES = ("kind", "chars", "digits", "dots", "gaps", "plus", "at", "parens", "groups", "distinct", "glued_before", "glued_after", "hint")
+FEATURES = ("kind", "chars", "digits", "dots", "gaps", "parens", "groups", "distinct", "glued_before", "glued_after", "hint")
 SPAN = "array<struct<rank:int,start:bigint,end:bigint,kind:string>>"
 
 
@@ -80,7 +83,7 @@ def candidates(text: Column) -> Column:
         before = F.substring(whole, F.greatest(s["start"] - 11, F.lit(1)).cast("int"), F.least(s["start"], F.lit(12)).cast("int"))
         after = F.substring(whole, (s["end"] + 1).cast("int"), F.lit(1))
         digits = _digits(v)
-        features = [F.lit(rank), F.length(v), F.length(digits), count("."), count(" -"), v.startswith("+"), v.contains("@"), count("()"),
+        features = [F.lit(rank), F.length(v), F.length(digits), count("."), count(" -"), count("()"),
                     F.size(F.filter(F.split(v, "[^0-9]+"), lambda p: p != "")), F.size(F.array_distinct(F.split(digits, ""))),
                     before.rlike(r"[\p{L}\p{N}_.+-]$"), after.rlike(r"^[\p{L}\p{N}_]"), before.rlike(HINT)]
         return F.struct(F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS[rank]).alias("kind"),
@@ -90,6 +93,39 @@ def candidates(text: Column) -> Column:
     return let(t, lambda whole: F.concat(*[proposed(whole, rank) for rank in range(len(KINDS))]))
 
 
+def loosened(value: Column, kind: Column) -> Column:
+    """Loose forms of a strict span, none of them strict: array<string>."""
+    digits = _digits(value)
+    plain = F.regexp_replace(value, r"^\+", "")
+    grouped = lambda d: F.rtrim(F.regexp_replace(d, "([0-9]{4})", "$1 "))
+    email = F.array(*[F.replace(value, F.lit("@"), F.lit(at)) for at in (" (at) ", "(at)", "[at]", " @ ")])
+    phone = F.array(plain, digits, F.regexp_replace(digits, r"^([0-9]{3})([0-9]{3})([0-9]+)$", "($1) $2-$3"), F.regexp_replace(plain, r"[\x20().]+", "-"))
+    card = F.array(*[form(F.left(digits, F.lit(n))) for n in (13, 15) for form in (lambda d: d, grouped)])
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).otherwise(F.array(F.replace(value, F.lit("."), F.lit("[.]"))))
+
+
+def examples(docs: DataFrame) -> DataFrame:
+    """(key, rank, f, label) of all documents, once for each different text and span: rewritten strict spans are 1, candidates clear of strict ones 0."""
+    texts = docs.select("text").where("text is not null")
+    h = F.xxhash64("text", F.lit("pii"))
+    clear = let(strict_spans(F.col("text")), lambda known: F.filter(candidates(F.col("text")), lambda c: ~F.exists(
+        known, lambda k: (k["start"] < c["end"]) & (c["start"] < k["end"]))))
+    others = texts.select(h.alias("h"), F.explode(clear).alias("c")).select(F.xxhash64("h", "c.start", "c.end", "c.rank").alias("key"), F.col("c.rank").alias("rank"),
+                                                                           F.col("c.f").alias("f"), F.lit(0.0).alias("label"))
+    # The context that features look at, with the span rewritten.
+    part = lambda start, n: F.substring("text", (start + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int"))
+    k = F.col("k")
+    begin = F.greatest(k["start"] - 12, F.lit(0))
+    found = texts.select(h.alias("h"), "text", F.explode(strict_spans(F.col("text"))).alias("k")).select(
+        "h", "k", part(begin, k["start"] - begin).alias("before"), part(k["end"], F.lit(2)).alias("after"), part(k["start"], k["end"] - k["start"]).alias("value"))
+    written = found.select("h", "k", "before", "after", F.posexplode(loosened(F.col("value"), k["kind"])).alias("form", "value"))
+    at, end = F.length("before"), F.length("before") + F.length("value")
+    whole = F.filter(candidates(F.concat("before", "value", "after")), lambda c: (c["rank"] == k["rank"]) & (c["start"] <= at) & (c["end"] >= end))
+    loose = written.select("h", "k", "form", F.explode(whole).alias("c")).select(F.xxhash64("h", "k.start", "k.end", "k.rank").alias("key"), F.col("c.rank").alias("rank"),
+                                                                              F.col("c.f").alias("f"), F.lit(1.0).alias("label"))
+    return others.unionAll(loose).distinct()
+
+
 class Model:
     """Trees as a column expression, and a threshold per kind."""
 
@@ -115,32 +151,31 @@ def _tree(node):
 
 
 def train(docs: DataFrame) -> Model | None:
-    """Trees and thresholds from a bounded sample of texts, chosen by their hash."""
-    texts = docs.select("text").where("text is not null")
-    total = texts.count()
-    if not total:
-        return None
-    h = F.xxhash64("text", F.lit("pii"))
-    chosen = texts.where(F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_TEXTS / total)) + 1)
-    strict = let(strict_spans(F.col("text")), lambda known: F.transform(candidates(F.col("text")), lambda c: F.struct(
-        c.alias("c"), F.exists(known, lambda k: (k["rank"] == c["rank"]) & (k["start"] == c["start"]) & (k["end"] == c["end"])).alias("label"))))
-    rows = (chosen.select(F.pmod(h, F.lit(2)).alias("half"), F.explode(strict).alias("x")).limit(SAMPLE_CANDIDATES)
-            .select("half", F.col("x.c.rank").alias("rank"), F.col("x.c.f").alias("f"), F.col("x.label").cast("double").alias("label")))
-    rows = stored(rows, "pii-candidates")
-    learn = rows.where("half = 0")
-    if learn.select("label").distinct().count() < 2:
+    """Trees from a sample of bounded size for each kind and label, by hash order; thresholds from all candidates the trees have not seen."""
+    rows = stored(examples(docs), "pii-candidates")
+    # Half of the keys may be learned from; all forms of one span stay together.
+    even = rows.where(F.pmod("key", F.lit(2)) == 0)
+    order = F.xxhash64("key", "rank", "label", "f")
+    parts = [even.where((F.col("rank") == rank) & (F.col("label") == label)).withColumn("h", order).orderBy("h").limit(SAMPLE_CANDIDATES // (2 * len(KINDS)))
+             for rank in range(len(KINDS)) for label in (0.0, 1.0)]
+    learn = stored(reduce(lambda a, b: a.unionAll(b), parts), "pii-sample")
+    last = {(r["rank"], r["label"]): r["h"] for r in learn.groupBy("rank", "label").agg(F.max("h").alias("h")).collect()}
+    if len({label for _, label in last}) < 2:
         return None
     fitted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32).fit(
         learn.select("label", array_to_vector("f").alias("features")))
     model = Model([_tree(t._call_java("rootNode")) for t in fitted.trees], [float(w) for w in fitted.treeWeights])
-    bins = (rows.where("half = 1").select("rank", "label", F.least(F.floor(model.probability(F.col("f")) * BINS), F.lit(BINS - 1)).alias("bin"))
+    learned = reduce(lambda a, b: a | b, [(F.col("rank") == rank) & (F.col("label") == label) & (order <= h) for (rank, label), h in last.items()])
+    unseen = rows.where((F.pmod("key", F.lit(2)) == 1) | ~learned)
+    bins = (unseen.select("rank", "label", F.least(F.floor(model.probability(F.col("f")) * BINS), F.lit(BINS - 1)).alias("bin"))
             .groupBy("rank", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).orderBy("rank", F.desc("bin")).collect())
     for rank in range(len(KINDS)):
-        n = hits = 0.0
+        n = wrong = support = 0.0
         for row in bins:
             if row["rank"] == rank:
-                n, hits = n + row["n"], hits + row["hits"]
-                if n >= LEAST_SUPPORT and hits >= PRECISION * n:
+                others = row["n"] - row["hits"]
+                n, wrong, support = n + others, wrong + max(0.0, others - row["hits"]), support + row["hits"]
+                if row["hits"] and support >= LEAST_SUPPORT and wrong <= (1 - PRECISION) * n:
                     model.least[rank] = row["bin"] / BINS
     return model
 

@@ -237,3 +237,17 @@ def test_prefixes_meet_for_every_similar_pair():
         light, heavy = sorted((found[i], found[j]), key=lambda x: x["weight"])
         assert s < 0.8 or set(light["shingles"][:light["own"]]) & set(heavy["shingles"])
     assert (sims >= 0.8).sum() > 50 and (sims < 0.8).sum() > 50
+
+
+def test_loose_personal_data_is_redacted_and_clean_numbers_are_not(spark):
+    rng = random.Random(10)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = []
+    for i in range(400):
+        rows.append((i, f"please mail u{number(4)}@site{i % 9}.org today and call +1 {number(3)} {number(3)} {number(4)} soon"))
+    for i in range(400):
+        rows.append((1000 + i, f"version {i % 9}.{i % 7}.{i} had {number(6)} rows of {number(9)} and took {number(3)} {number(4)} steps"))
+    rows += [(2000 + i, f"please mail v{number(4)} (at) home{i % 9}.org today and call 1 {number(3)} {number(3)} {number(4)} soon") for i in range(80)]
+    texts = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("[EMAIL]" in texts[2000 + i] for i in range(80)) >= 72 and sum("[PHONE]" in texts[2000 + i] for i in range(80)) >= 72
+    assert all(texts[1000 + i] == rows[400 + i][1] for i in range(400))
