@@ -251,3 +251,12 @@ def test_loose_personal_data_is_redacted_and_clean_numbers_are_not(spark):
     texts = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum("[EMAIL]" in texts[2000 + i] for i in range(80)) >= 72 and sum("[PHONE]" in texts[2000 + i] for i in range(80)) >= 72
     assert all(texts[1000 + i] == rows[400 + i][1] for i in range(400))
+
+
+def test_examples_are_loose_and_counted_once(spark):
+    rows = [(i, "call +1 415 555 2671 or mail a@b.org") for i in range(50)] + [(50, "version 1.2.3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.examples(docs).collect()
+    assert {(r.rank, r.label) for r in found} == {(0, 1.0), (3, 1.0), (1, 0.0)} and len(found) < 12
+    same = pii.examples(docs.orderBy(F.desc("doc_id")).repartition(7)).collect()
+    assert sorted(map(repr, same)) == sorted(map(repr, found))
