@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import chat, compression, decontaminate, langid, mixing, neardup, pii, rules, secrets, toxicity
+from echolens.llm import chat, codes, compression, decontaminate, langid, merkle, mixing, neardup, pii, rules, secrets, toxicity
 from echolens.llm.exprs import joined_spans
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -78,6 +78,14 @@ def op10_pii(spark, sf):
     return found.select("doc_id", *counts, sha(joined_spans(F.col("strict"))).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
 
 
+def op11_merkle_manifest(spark, sf):
+    return merkle.manifest(table(spark, sf, "documents"))
+
+
+def op12_vector_codes(spark, sf):
+    return codes.compress(table(spark, sf, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark, sf):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf)
@@ -86,7 +94,7 @@ def pipeline(spark, sf):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_formatting, op2_quality_classifier, op3_minhash_near_dedup, op4_language_id, op5_mixing, op6_secret_scan,
-        op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii, pipeline)}
+        op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii, op11_merkle_manifest, op12_vector_codes, pipeline)}
 
 
 #: Written out on its own, with the query's parameters: budget 1024, history of 2 turns and 128 tokens, 4 tokens and 20 characters a turn.
@@ -134,6 +142,69 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM numbered LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
 
 
+#: Trees are numbered from 1 by language; tree 0 has the languages' roots. Digests of a run are joined in order, a level at a time.
+MERKLE_SQL = r"""
+WITH RECURSIVE crc_table AS (
+ WITH RECURSIVE bits(byte, step, c) AS (
+  SELECT range, 0, range FROM range(256) UNION ALL SELECT byte, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8)
+ SELECT list(c ORDER BY byte) AS t FROM bits WHERE step = 8),
+docs AS (
+ SELECT row_number() OVER () AS r, doc_id, n_chars, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree,
+  list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+   lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])) AS c,
+  concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+  coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents, crc_table),
+claims AS (
+ SELECT *, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+  CASE WHEN xor(c, 4294967295) % 7 = 0 THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS changed FROM docs),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM claims),
+low(tree, lvl, i, n, d) AS (
+ SELECT tree, 0, i, n, leaf FROM leaves
+ UNION ALL SELECT tree, any_value(lvl) + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY tree, i // 2),
+subroots AS (SELECT tree, d AS subroot, tree - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high(tree, lvl, i, n, d) AS (
+ SELECT 0, 0, i, n, subroot FROM subroots
+ UNION ALL SELECT 0, any_value(lvl) + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY i // 2),
+nodes AS MATERIALIZED (SELECT tree, lvl, i, n, d FROM low WHERE n > 1 UNION ALL SELECT tree, lvl, i, n, d FROM high WHERE n > 1),
+heights AS (SELECT tree, max(lvl) AS h FROM low GROUP BY tree),
+places AS (
+ SELECT r, s.tree, lvl, lvl AS step, l.i // CAST(2 ** lvl AS BIGINT) AS i FROM leaves l JOIN heights s USING (tree), range(64) t(lvl) WHERE lvl < h
+ UNION ALL SELECT r, 0, lvl, h + lvl, (l.tree - 1) // CAST(2 ** lvl AS BIGINT) FROM leaves l JOIN heights s USING (tree), range(64) t(lvl) WHERE lvl < (SELECT max(lvl) FROM high)),
+steps AS MATERIALIZED (SELECT r, step, p.i % 2 AS side, d FROM places p LEFT JOIN nodes n ON n.tree = p.tree AND n.lvl = p.lvl AND n.i = xor(p.i, 1)),
+proofs AS (SELECT r, string_agg(d, '' ORDER BY step) AS proof, count(*) AS n_steps FROM steps GROUP BY r),
+folds(r, step, d) AS (
+ SELECT r, 0, coalesce(changed, leaf) FROM leaves
+ UNION ALL SELECT f.r, f.step + 1, sha256(CASE WHEN side = 1 THEN coalesce(s.d, '') || f.d ELSE f.d || coalesce(s.d, '') END)
+ FROM folds f JOIN steps s ON s.r = f.r AND s.step = f.step)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, f.d AS folded_root, f.d = root AS verified
+FROM leaves l JOIN subroots s USING (tree) CROSS JOIN (SELECT d AS root FROM high WHERE n = 1)
+LEFT JOIN proofs p ON p.r = l.r JOIN folds f ON f.r = l.r AND f.step = coalesce(n_steps, 0)"""
+
+
+_NEAREST = """SELECT p.i, p.part, arg_min(b.e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + b.e) AS e,
+  min(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
+ FROM parts p JOIN {books} b USING (part) GROUP BY p.i, p.part"""
+_MOVED = """SELECT b.part, b.e, coalesce(m.x, b.x) AS x FROM {books} b LEFT JOIN (
+  SELECT part, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY k) AS x FROM (
+   SELECT part, e, k, count(*) AS n, sum(v) AS total FROM (SELECT part, e, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS v FROM {near} JOIN parts USING (i, part)) GROUP BY part, e, k)
+  GROUP BY part, e) m USING (part, e)"""
+#: Every part against every entry; rounds written out one after the other.
+CODES_SQL = f"""
+WITH kept AS (
+ SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+ WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT i, part, q[part * len(q) // 16 + 1:(part + 1) * len(q) // 16] AS x FROM kept, range(16) t(part)),
+b0 AS MATERIALIZED (SELECT part, i AS e, x FROM parts WHERE i < 64),
+n0 AS MATERIALIZED ({_NEAREST.format(books="b0")}),
+b1 AS MATERIALIZED ({_MOVED.format(books="b0", near="n0")}),
+n1 AS MATERIALIZED ({_NEAREST.format(books="b1")}),
+b2 AS MATERIALIZED ({_MOVED.format(books="b1", near="n1")}),
+n2 AS MATERIALIZED ({_NEAREST.format(books="b2")}),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n2 JOIN kept USING (i) GROUP BY i, vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) FROM b2) AS codebooks_sha256 FROM coded"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Trained models, samples and sketches have no SQL form; those queries are tested against brute force."""
-    return {"op1_chat_formatting": CHAT_SQL, "op7_decontamination": HITS_SQL}
+    return {"op1_chat_formatting": CHAT_SQL, "op7_decontamination": HITS_SQL, "op11_merkle_manifest": MERKLE_SQL, "op12_vector_codes": CODES_SQL}

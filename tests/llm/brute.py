@@ -1,7 +1,9 @@
 """Plain-Python counterparts of what the queries return, row by row."""
 
 import hashlib
+import math
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -132,3 +134,63 @@ def near_classes(rows, similar, threshold=0.8):
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(least.get(root(i), d), d)
     return {d: least[root(i)] for i, (d, _) in enumerate(rows)}
+
+
+def merkle(rows):
+    """rows: (doc_id, source, lang, n_chars, text). Tuples of (doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)."""
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r, more=0: sha("".join(map(field, (r[0], r[1], r[2], r[3] if r[3] is None else r[3] + more, r[4]))))
+
+    def climb(nodes):
+        """Root, and for each node its steps: (digests before it, digests after it) per level."""
+        steps, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for k, i in enumerate(at):
+                run = i // 2 * 2
+                steps[k].append((nodes[run:i], nodes[i + 1:run + 2]))
+            nodes = [sha("".join(nodes[i:i + 2])) for i in range(0, len(nodes), 2)]
+            at = [i // 2 for i in at]
+        return nodes[0], steps
+
+    langs = sorted({r[2] for r in rows}, key=lambda v: (v is not None, (v or "").encode()))
+    groups = [sorted((r for r in rows if r[2] == v), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for v in langs]
+    trees = [climb([leaf(r) for r in g]) for g in groups]
+    root, above = climb([t[0] for t in trees])
+    out = []
+    for g, (subroot, steps), top in zip(groups, trees, above):
+        for r, own in zip(g, steps):
+            changed = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0
+            digest = leaf(r, int(changed))
+            for before, after in own + top:
+                digest = sha("".join([*before, digest, *after]))
+            proof = sha("".join(d for before, after in own + top for d in before + after))
+            out.append((r[0], leaf(r), subroot, root, proof, digest, digest == root))
+    return out
+
+
+def vector_codes(rows):
+    """rows: (vec_id, vector, label), every vector of the same length or to be left out. Tuples of the query's columns."""
+    kept = [(i, [math.floor(256 * x) for x in v], label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if not kept:
+        return []
+    size = len(kept[0][1]) // 16
+    kept = [r for r in kept if len(r[1]) == 16 * size]
+    part = lambda q, p: q[p * size:(p + 1) * size]
+    books = [[part(r[1], p) for r in kept[:64]] for p in range(16)]
+    distance = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    nearest = lambda q, p: min(range(len(books[p])), key=lambda e: (distance(part(q, p), books[p][e]), e))
+    for _ in range(2):
+        moved = []
+        for p in range(16):
+            chosen = [nearest(r[1], p) for r in kept]
+            own = [[part(r[1], p) for r, e in zip(kept, chosen) if e == k] for k in range(len(books[p]))]
+            moved.append([[sum(xs) // len(xs) for xs in zip(*mine)] if mine else books[p][k] for k, mine in enumerate(own)])
+        books = moved
+    codes = [[nearest(r[1], p) for p in range(16)] for r in kept]
+    errors = [sum(distance(part(r[1], p), books[p][e]) for p, e in enumerate(c)) for r, c in zip(kept, codes)]
+    digest = sha(",".join(str(x) for book in books for entry in book for x in entry))
+    by = {}
+    for r, e in zip(kept, errors):
+        by[r[2]] = by.get(r[2], 0) + e
+    return [(r[0], bytes(c).hex(), e, by[r[2]], digest) for r, c, e in zip(kept, codes, errors)]

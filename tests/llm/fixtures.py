@@ -55,8 +55,17 @@ def benchmark(spark):
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
+def embeddings(spark):
+    rng = random.Random(12)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(32)], None if i % 7 == 3 else i % 3, "x") for i in range(90)]
+    rows += [rows[5], rows[5], (None, rows[8][1], 1, "y"), (90, None, 1, "x"), (91, [], 0, "x"), (92, [None] * 32, 0, "x"), (93, [float("nan")] * 32, 0, "x"),
+             (94, [float("-inf")] + [0.0] * 31, None, "x"), (95, [1.0] * 48, 0, "x"), (96, [-0.0, -1e-9, 1 / 256, 200.0] * 8, 2, "x"), (-3, [0.0] * 32, 2, "x")]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, code string")
+
+
 def write_tables(spark, path):
     """A data set as the queries read it."""
+    embeddings(spark).write.parquet(f"{path}/embeddings.parquet")
     odd_documents(spark).write.parquet(f"{path}/documents.parquet")
     labels(spark).write.parquet(f"{path}/labels.parquet")
     benchmark(spark).write.parquet(f"{path}/benchmark.parquet")

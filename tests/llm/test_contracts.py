@@ -20,7 +20,7 @@ def odd(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory, odd):
     path = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark", "conversations"):
+    for name in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{odd}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
     return path
 
@@ -118,6 +118,21 @@ def test_near_duplicates(spark, request):
             assert class_of[6] == class_of[7] == class_of[8] == class_of[9] == 6 and class_of[11] == 11 and class_of[1] == 1 and class_of[0] == 0
 
 
+def test_merkle(spark, request):
+    for sf in sets(request):
+        rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text").collect()
+        got = q.op11_merkle_manifest(spark, sf)
+        assert got.schema["doc_id"].dataType.simpleString() == "bigint"
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, brute.merkle([tuple(r) for r in rows])))
+
+
+def test_vector_codes(spark, request):
+    for sf in sets(request):
+        rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+        got = [tuple(r) for r in q.op12_vector_codes(spark, sf).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, brute.vector_codes([tuple(r) for r in rows])))
+
+
 @needs_data
 def test_held_out_scores(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from echolens.llm import chat, compression, decontaminate, langid, mixing, neardup, pii, rules, secrets, toxicity
+from echolens.llm import chat, codes, compression, decontaminate, langid, merkle, mixing, neardup, pii, rules, secrets, toxicity
 from echolens.llm.exprs import find_spans, normal_tail, running_sums
 from echolens.llm.words import shingles, slices, split_words
 from tests.llm import brute, fixtures
@@ -260,3 +260,36 @@ def test_examples_are_loose_and_counted_once(spark):
     assert {(r.rank, r.label) for r in found} == {(0, 1.0), (3, 1.0), (1, 0.0)} and len(found) < 12
     same = pii.examples(docs.orderBy(F.desc("doc_id")).repartition(7)).collect()
     assert sorted(map(repr, same)) == sorted(map(repr, found))
+
+
+def test_superblocks_of_any_depth_give_one_manifest(spark):
+    rows = [(i, f"s{i % 2}", "hot" if i < 70 else ["a", "b", None, "c", "d", "e"][i % 6], i, f"text {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    want = sorted(map(repr, brute.merkle(rows)))
+    for depth in (1, 2, 12):
+        assert sorted(map(repr, map(tuple, merkle.manifest(docs, depth).collect()))) == want
+
+
+def test_a_lone_row_is_its_own_root(spark):
+    docs = spark.createDataFrame([(2**60 + 1, None, None, None, None)], "doc_id long, source string, lang string, n_chars long, text string")
+    (row,) = merkle.manifest(docs).collect()
+    assert row.doc_id == 2**60 + 1 and row.leaf == row.subroot == row.root == row.folded_root and row.proof_sha256 == brute.sha("")
+
+
+def test_equal_average_search_is_exact():
+    rng = np.random.Generator(np.random.PCG64(13))
+    for dim, spread, entries in ((4, 40, 64), (4, 2, 64), (1, 5, 7), (8, 100, 1), (2, 1 << 24, 64)):
+        book, parts = rng.integers(-spread, spread, (entries, dim)), rng.integers(-spread, spread, (500, dim))
+        found, best = codes.search(parts, book)
+        distances = ((parts[:, None] - book[None]) ** 2).sum(2)
+        assert (found == distances.argmin(1)).all() and (best == distances.min(1)).all()
+
+
+def test_codes_stand_for_near_vectors(spark):
+    vectors = fixtures.embeddings(spark)
+    kept = vectors.select("vec_id", codes.fixed_point(F.col("embedding")).alias("q")).where("size(q) = 32")
+    books = codes.codebooks(kept, 32)
+    of = {r.vec_id: r.q for r in kept.collect()}
+    for r in codes.compress(vectors).collect():
+        back = np.round(codes.decoded(r.code, books) * 256).astype(int)
+        assert ((back - np.array(of[r.vec_id])) ** 2).sum() == r.error
