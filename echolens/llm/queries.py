@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import chat, codes, compression, decontaminate, langid, merkle, mixing, neardup, pii, rules, secrets, toxicity
+from echolens.llm import chat, codes, compression, decontaminate, langid, merkle, mixing, neardup, pii, rules, secrets, shinglejoin, toxicity
 from echolens.llm.exprs import joined_spans
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -86,6 +86,10 @@ def op12_vector_codes(spark, sf):
     return codes.compress(table(spark, sf, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_ngram_jaccard_join(spark, sf):
+    return shinglejoin.similar_documents(table(spark, sf, "documents"))
+
+
 def pipeline(spark, sf):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf)
@@ -94,7 +98,7 @@ def pipeline(spark, sf):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_formatting, op2_quality_classifier, op3_minhash_near_dedup, op4_language_id, op5_mixing, op6_secret_scan,
-        op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii, op11_merkle_manifest, op12_vector_codes, pipeline)}
+        op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii, op11_merkle_manifest, op12_vector_codes, op13_ngram_jaccard_join, pipeline)}
 
 
 #: Written out on its own, with the query's parameters: budget 1024, history of 2 turns and 128 tokens, 4 tokens and 20 characters a turn.
@@ -205,6 +209,20 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) FROM b2) AS codebooks_sha256 FROM coded"""
 
 
+#: All pairs that share a shingle are counted; components by following links to every document they reach.
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+ SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(words[p:p + 4], ' ') AS gram FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS p FROM d WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.gram = b.gram AND a.r < b.r GROUP BY a.r, b.r),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(r, t) AS (SELECT r, r FROM d UNION SELECT reach.r, b FROM reach JOIN sides ON a = t)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN reach USING (r) JOIN d o ON o.r = t GROUP BY d.r, d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Trained models, samples and sketches have no SQL form; those queries are tested against brute force."""
-    return {"op1_chat_formatting": CHAT_SQL, "op7_decontamination": HITS_SQL, "op11_merkle_manifest": MERKLE_SQL, "op12_vector_codes": CODES_SQL}
+    return {"op1_chat_formatting": CHAT_SQL, "op7_decontamination": HITS_SQL, "op11_merkle_manifest": MERKLE_SQL, "op12_vector_codes": CODES_SQL, "op13_ngram_jaccard_join": JACCARD_SQL}

@@ -20,6 +20,13 @@ for _b in range(0x41, 0x5B):
     WORD_BYTE[_b] = _b + 32
 
 
+# Words of anything but spaces: every byte that isn't one keeps a value of its own, 0 that of the blank.
+SPACED_BYTE = np.arange(256, dtype=np.uint8)
+SPACED_BYTE[0x41:0x5B] += 32
+SPACED_BYTE[0] = 0x20
+SPACED_BYTE[[0x20, *range(0x09, 0x0E)]] = 0
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the entropy of 64-bit values over all bits."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -57,10 +64,10 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[rows[0]:rows[-1]], rows - rows[0]
 
 
-def split_words(texts: pa.Array) -> Words:
-    """Words of a run of rows. A row without a word has count 0."""
+def split_words(texts: pa.Array, word_byte: np.ndarray = WORD_BYTE) -> Words:
+    """Words of a run of rows; ``word_byte`` says what bytes they are made of. A row without a word has count 0."""
     data, rows = raw(texts)
-    low = WORD_BYTE[data]
+    low = word_byte[data]
     at = np.flatnonzero(low)
     if not len(at):
         none = np.zeros(0, np.int64)
@@ -90,7 +97,7 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     first = np.repeat(ends - words.counts, words.counts)
     left = ends[words.row] - np.arange(n)
     out = np.zeros(n, np.uint64)
-    for j in range(width):
+    for j in range(min(width, n)):
         part = words.hash[j:] * SHINGLE_HASH[j]
         part[left[:n - j] <= j] = 0
         out[:n - j] += part

@@ -106,6 +106,38 @@ def shingle_set(text):
     return {tuple(ws[i:i + 5]) for i in range(len(ws) - 4)} or ({tuple(ws)} if ws else set())
 
 
+def spaced_shingles(text):
+    ws = WORD.findall((text or "").translate(UPPER))
+    return {tuple(ws[i:i + 5]) for i in range(len(ws) - 4)} or ({tuple(ws)} if ws else set())
+
+
+def joined_components(rows):
+    """rows: (doc_id, text). Tuples of (doc_id, n_shingles, component_id); all pairs that share a shingle are compared."""
+    sets = [spaced_shingles(t) for _, t in rows]
+    by, near = {}, [set() for _ in rows]
+    for i, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(i)
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in by[x] if j < i}:
+            both = len(s & sets[j])
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                near[i].add(j)
+                near[j].add(i)
+    least, seen = {}, set()
+    for i in range(len(rows)):
+        if i not in seen:
+            group, todo = {i}, [i]
+            while todo:
+                more = near[todo.pop()] - group
+                group |= more
+                todo += more
+            seen |= group
+            ids = [rows[j][0] for j in group if rows[j][0] is not None]
+            least |= dict.fromkeys(group, min(ids, default=None))
+    return [(d, len(sets[i]), least[i]) for i, (d, _) in enumerate(rows)]
+
+
 def near_classes(rows, similar, threshold=0.8):
     """rows: (id, text). Class of each row: the smallest id of its connected component; pairs found through shared shingles."""
     rows = list(rows)

@@ -118,6 +118,12 @@ def test_near_duplicates(spark, request):
             assert class_of[6] == class_of[7] == class_of[8] == class_of[9] == 6 and class_of[11] == 11 and class_of[1] == 1 and class_of[0] == 0
 
 
+def test_jaccard_join(spark, request):
+    for sf in sets(request):
+        got = [tuple(r) for r in q.op13_ngram_jaccard_join(spark, sf).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, brute.joined_components(documents(spark, sf))))
+
+
 def test_merkle(spark, request):
     for sf in sets(request):
         rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text").collect()

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from echolens.llm import chat, codes, compression, decontaminate, langid, merkle, mixing, neardup, pii, rules, secrets, toxicity
+from echolens.llm import chat, codes, compression, decontaminate, langid, linking, merkle, mixing, neardup, pii, rules, secrets, shinglejoin, toxicity
 from echolens.llm.exprs import find_spans, normal_tail, running_sums
 from echolens.llm.words import shingles, slices, split_words
 from tests.llm import brute, fixtures
@@ -29,6 +29,80 @@ def test_words_and_shingles_of_a_batch():
     assert seen[6] == seen[8]  # upper case
 
 
+def test_tiny_batches_have_shingles():
+    for n in range(7):
+        words = split_words(pa.array([" ".join("abcdef"[:n])]).cast(pa.large_string()))
+        assert len(shingles(words)[0]) == (0 if n == 0 else max(1, n - 4))
+
+
+def test_tiny_partitions_are_deduplicated(spark):
+    rows = [(i, " ".join("abcdefg"[:1 + i % 5])) for i in range(10)] + [(10, None), (11, "")]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(12)).collect()}
+    assert got == {i: i % 5 for i in range(10)} | {10: 10, 11: 11}
+
+
+def edited(rng, base, edits):
+    ws = list(base)
+    for k in rng.sample(range(len(ws)), edits):
+        ws[k] = f"e{rng.randrange(10**9)}"
+    return ws
+
+
+def copies_and_templates(rng, copies=300, template=120):
+    """A hot group of near copies with zero to ten edits each, texts that are four fifths a template or a little more, a chain, and others."""
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    base, shared = fresh(150), fresh(200)
+    texts = [edited(rng, base, rng.randrange(11)) for _ in range(copies)] + [base, base]
+    texts += [shared + fresh(rng.randrange(10, 60)) for _ in range(template)] + [shared[:rng.randrange(150, 200)] for _ in range(20)]
+    step = fresh(100)
+    for _ in range(30):
+        step = edited(rng, step, 2)
+        texts.append(step)
+    texts += [base[:40] + fresh(100) for _ in range(60)] + [fresh(n) for n in range(1, 40)]
+    rng.shuffle(texts)
+    return [(i, " ".join(ws)) for i, ws in enumerate(texts)]
+
+
+def test_joined_components_of_hot_groups(spark):
+    rows = copies_and_templates(random.Random(14))
+    got = shinglejoin.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.joined_components(rows))
+
+
+def test_heads_share_enough_and_entries_bound_the_overlap():
+    """Every pair of the threshold passes each filter, by way of its first common element."""
+    rng = random.Random(15)
+    texts = [t for _, t in copies_and_templates(rng, 60, 40)]
+    sets = [brute.spaced_shingles(t) for t in texts]
+    column = pa.array(texts).cast(pa.large_string())
+    h, counts = shinglejoin.distinct_shingles(column)
+    assert counts.tolist() == [len(s) for s in sets]
+    ends = np.cumsum(counts)
+    own = [h[e - c:e] for e, c in zip(ends, counts)]
+    heads = [set(x[:shinglejoin.head(len(x))].tolist()) for x in own]
+    seen = {}
+    for x in own:
+        for v in x.tolist():
+            seen[v] = seen.get(v, 0) + 1
+    ordered = [sorted(x.tolist(), key=lambda v: (seen[v], v)) for x in own]
+    flat = np.array([v for x in ordered for v in x], np.uint64)
+    at, row, rest, words = linking.prefix_entries(flat, np.ones(len(flat)), counts, counts.astype(float), 0.8)
+    entries = [{} for _ in texts]
+    for i, r, left, s in zip(flat[at].tolist(), row.tolist(), rest.tolist(), words.tolist()):
+        entries[r][i] = (left, [(w >> 16 * k & 65535) * int(counts[r]) / 65535 for w in s for k in range(4)])
+    met = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                met += 1
+                assert len(heads[i] & heads[j]) >= min(shinglejoin.least_shared(len(own[i])), shinglejoin.least_shared(len(own[j])))
+                first = min(set(ordered[i]) & set(ordered[j]), key=lambda v: (seen[v], v))
+                (left_i, ranges_i), (left_j, ranges_j) = entries[i][first], entries[j][first]
+                assert min(left_i, left_j) >= both and sum(map(min, ranges_i, ranges_j)) >= both - 1e-6
+    assert met > 200
+
+
 def test_spans_and_sums_of_long_arrays(spark):
     row = spark.range(1).select(running_sums(F.sequence(F.lit(1), F.lit(1000))).alias("s"), running_sums(F.array().cast("array<int>")).alias("e"),
                                 find_spans(F.lit("ab 😀ab" * 600), "ab").alias("f")).first()
