@@ -52,11 +52,31 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/checkpoints")
 
 
+#: Spark's switch that removes a query's shuffle files when the query ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame that several later steps read and return it read back, with its lineage cut."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a frame that several later steps read and return it read back, with its lineage cut.
+
+    Nothing reads the shuffles behind it again, so their files go at once and not when the driver happens to collect garbage.
+    """
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these very frames; nothing may read them, or what is derived from them, any more."""
+    for frame in frames:
+        remove(frame.sparkSession, frame.stored_path)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
