@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolens.session import stored
+from echolens.session import release, stored
 
 #: Hash ranges of the suffix filter, and the steps that a range's share of the total is rounded up to.
 RANGES, STEPS = 8, 65535
@@ -33,7 +33,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionAll(links.select(F.col(b).alias("u"), F.col(a).alias("v")))
     edges = stored(both.distinct(), "component-edges")
-    labels = stored(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "component-labels")
+    moved = stored(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "component-labels")
+    labels = moved
     while True:
         around = (edges.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node"))
                   .agg(F.min("root").alias("near")))
@@ -41,11 +42,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = labels.select(F.col("node").alias("new"), F.col("root").alias("beyond"))
         # A root hears of the smallest root that any node of its own has met.
         hooks = lower.where("new < root").groupBy(F.col("root").alias("new")).agg(F.min("new").alias("hook"))
-        moved = (lower.join(jump, "new", "left").join(hooks, "new", "left")
-                 .select("node", F.least("new", "beyond", "hook").alias("new_root"), "root"))
-        moved = stored(moved, "component-labels")
+        following = (lower.join(jump, "new", "left").join(hooks, "new", "left")
+                     .select("node", F.least("new", "beyond", "hook").alias("new_root"), "root"))
+        before, moved = moved, stored(following, "component-labels")
+        release(before)
         labels = moved.select("node", F.col("new_root").alias("root"))
         if moved.where("new_root <> root").isEmpty():
+            release(edges)
             return labels
 
 
@@ -137,6 +140,7 @@ def find_links(sets: DataFrame, percent: int, verify: Callable[[DataFrame], Data
         lists = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") > least))
         open_entries = stored(rooted.join(lists.select("h"), "h"), "link-open")
         if open_entries.isEmpty():
+            release(open_entries)
             break
         left, right = open_entries.alias("l"), open_entries.alias("r")
         other = (F.col("l.h") == F.col("r.h")) & (F.col("l.root") != F.col("r.root")) & may_reach(percent)
@@ -153,6 +157,7 @@ def find_links(sets: DataFrame, percent: int, verify: Callable[[DataFrame], Data
         new = met.where("linked").select("a", "b")
         links = new if links is None else links.unionAll(new)
         if whole:
+            release(open_entries)
             break
         at = labels.select(F.col("id").alias("a"), F.col("root").alias("u")), labels.select(F.col("id").alias("b"), F.col("root").alias("v"))
         merged = stored(new.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b")).distinct(), "link-merged")
@@ -163,4 +168,8 @@ def find_links(sets: DataFrame, percent: int, verify: Callable[[DataFrame], Data
             everyone = entries.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("node"))
             labels = stored(everyone.join(over, "node", "left").select("id", F.coalesce("root", "node").alias("root")), "link-labels")
         whole = n_merged < WORTHWHILE * open_entries.select("root").distinct().count()
-    return links if links is not None else entries.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        release(merged, open_entries)
+    if links is None:
+        links = stored(entries.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), "link-pairs")
+    release(entries)
+    return links

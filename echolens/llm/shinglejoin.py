@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from echolens.llm.linking import components, find_links, shared_items
 from echolens.llm.neardup import text_key
 from echolens.llm.words import SPACED_BYTE, shingles, slices, split_words
-from echolens.session import stored
+from echolens.session import release, stored
 
 WIDTH = 5
 PERCENT = 80
@@ -101,8 +101,10 @@ def _verifier(sets: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    rows = stored(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), _heads()("text").alias("x")).select("doc_id", "text_key", "x.*"), "join-rows")
-    wanted = stored(open_texts(rows), "join-open")
+    heads = stored(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), _heads()("text").alias("x")).select("doc_id", "text_key", "x.*"), "join-heads")
+    rows = stored(heads.select("doc_id", "text_key", "n"), "join-rows")
+    wanted = stored(open_texts(heads), "join-open")
+    release(heads)
     texts = (docs.select(text_key(F.col("text")).alias("text_key"), "text").where("text_key is not null").join(wanted, "text_key", "left_semi")
              .groupBy("text_key").agg(F.first("text").alias("text")))
     # A short number stands for a text from here on; written once, it is fixed.
