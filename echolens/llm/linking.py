@@ -109,9 +109,8 @@ def _entries(threshold: float):
     return entries
 
 
-def may_reach(percent: int) -> Column:
+def may_reach(threshold: float) -> Column:
     """Whether the sets of the entries ``l`` and ``r``, which share the element they stand for, may reach the threshold if it is their first common one."""
-    threshold = percent / 100
     needed = (F.col("l.total") + F.col("r.total")) * (threshold / (1 + threshold) * (1 - 1e-9))
     length = F.least("l.total", "r.total") >= F.greatest("l.total", "r.total") * (threshold - 1e-9)
     position = F.least("l.rest", "r.rest") >= needed
@@ -124,13 +123,13 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
-def find_links(sets: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], roots: DataFrame | None = None) -> DataFrame:
+def find_links(sets: DataFrame, threshold: float, verify: Callable[[DataFrame], DataFrame], roots: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that, with those behind ``roots``, connect all sets (id, total, h, w) that links of the threshold connect.
 
     ``h`` and ``w`` are arrays of elements and weights, rarest first; an empty ``w`` stands for weights of 1. ``verify`` adds ``linked`` to pairs (a, b).
     ``roots`` (id, root) says which sets are known to be connected. The result holds enough links for that, not all there are.
     """
-    entries = stored(sets.select("id", "total", F.explode(_entries(percent / 100)("h", "w", "total")).alias("e")).select("id", "total", "e.*"), "link-entries")
+    entries = stored(sets.select("id", "total", F.explode(_entries(threshold)("h", "w", "total")).alias("e")).select("id", "total", "e.*"), "link-entries")
     labels = roots if roots is not None else sets.select("id", F.col("id").alias("root"))
     links, compared, whole = None, None, False
     while True:
@@ -143,7 +142,7 @@ def find_links(sets: DataFrame, percent: int, verify: Callable[[DataFrame], Data
             release(open_entries)
             break
         left, right = open_entries.alias("l"), open_entries.alias("r")
-        other = (F.col("l.h") == F.col("r.h")) & (F.col("l.root") != F.col("r.root")) & may_reach(percent)
+        other = (F.col("l.h") == F.col("r.h")) & (F.col("l.root") != F.col("r.root")) & may_reach(threshold)
         if whole:
             pairs = _pairs(left.join(right, other & (F.col("l.id") < F.col("r.id"))))
         else:

@@ -9,15 +9,16 @@ Defined results: a null text is never a duplicate; texts without a word are dupl
 class; a class is named by its smallest non-null id (null if it has none). Repeated ids and rows stay rows of their own.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echolens.llm.linking import components, find_links, shared_items
 from echolens.llm.words import mix, shingles, slices, split_words
-from echolens.session import stored
+from echolens.session import release, stored
 
 WIDTH = 5
 IDF_BITS = 18
@@ -123,27 +124,6 @@ def similarities(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray
     return np.divide(common, total - common, out=np.zeros(n), where=total > 0)
 
 
-def prefixes(texts: pa.Array, idf: np.ndarray, frequencies: np.ndarray, threshold: float) -> pa.Array:
-    """struct<weight, own, shingles>: total weight, and the rarest shingles up to where the rest can't reach the threshold alone.
-
-    A pair of the threshold shares at least ``threshold`` of the heavier text's weight and 2 t / (1 + t) of the lighter one's. So its
-    first common shingle, rarest first, is among the heavier text's ``shingles`` and the lighter one's first ``own``.
-    """
-    h, row, weight = weighted_sets(texts, idf)
-    order = np.lexsort((h, frequencies[(h >> np.uint64(64 - IDF_BITS)).astype(np.int64)], row))
-    h, row, weight = h[order], row[order], weight[order].astype(np.float64)
-    total = np.bincount(row, weight, len(texts))
-    sums = np.cumsum(weight)
-    first = np.searchsorted(row, np.arange(len(texts)))
-    before = sums - weight - np.append(sums, 0.0)[first - 1][row] * (first[row] > 0)
-    rest = (total[row] - before) / np.maximum(total[row], 1e-12) + 1e-6  # share of this shingle and all after it; the slack covers rounding
-    inside, own = rest >= threshold, rest >= 2 * threshold / (1 + threshold)
-    offsets = np.append(0, np.cumsum(np.bincount(row[inside], minlength=len(texts)))).astype(np.int32)
-    shingle_lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[inside].view(np.int64)))
-    return pa.StructArray.from_arrays([pa.array(total), pa.array(np.bincount(row[own], minlength=len(texts)).astype(np.int32)), shingle_lists],
-                                      names=["weight", "own", "shingles"])
-
-
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
@@ -167,12 +147,18 @@ def _compared(idf: np.ndarray):
     return similarity
 
 
-def _prefixed(idf: np.ndarray, frequencies: np.ndarray, threshold: float):
-    @F.arrow_udf("struct<weight:double,own:int,shingles:array<bigint>>")
-    def prefix(texts: pa.Array) -> pa.Array:
-        parts = [prefixes(part, idf, frequencies, threshold) for part in slices(texts)]
-        return pa.concat_arrays(parts or [prefixes(pa.array([], pa.large_string()), idf, frequencies, threshold)])
-    return prefix
+def _weighted(idf: np.ndarray):
+    kind = pa.struct([("h", pa.int64()), ("w", pa.float32())])
+
+    @F.arrow_udf("array<struct<h:bigint,w:float>>")
+    def items(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(texts):
+            h, row, weight = weighted_sets(part, idf)
+            offsets = np.append(0, np.cumsum(np.bincount(row, minlength=len(part)))).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(weight)], fields=list(kind))))
+        return pa.concat_arrays(out or [pa.array([], pa.list_(kind))])
+    return items
 
 
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -181,52 +167,31 @@ def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return stored(whole.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "neardup-texts")
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts reach the threshold."""
+def _verifier(whole: DataFrame, idf: np.ndarray, threshold: float) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``linked`` to pairs (a, b): whether their whole texts reach the threshold."""
     similarity = _compared(idf)
-    found = (pairs.join(whole.select(F.col("text_key").alias("a"), F.col("text").alias("text_a")), "a")
-             .join(whole.select(F.col("text_key").alias("b"), F.col("text").alias("text_b")), "b")
-             .select("a", "b", similarity("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= threshold))
-    return stored(found.select("a", "b"), "neardup-links")
+    side = lambda name: whole.select(F.col("text_key").alias(name), F.col("text").alias(f"text_{name}"))
 
+    def verify(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", similarity("text_a", "text_b").alias("similarity"))
+        return found.select("a", "b", (F.col("similarity") >= threshold).alias("linked"))
+    return verify
 
-def unlinked_pairs(whole: DataFrame, idf: np.ndarray, frequencies: np.ndarray, threshold: float) -> DataFrame:
-    """All pairs (a, b) of ``whole`` (text_key, root, text) that may reach the threshold and have different roots; none is left out.
 
-    An exact prefix filter: passages that many texts share stand last in the order of the shingles, so such texts meet only if
-    they share something rarer, or are little besides the passage.
-    """
-    prefix = stored(whole.select("text_key", "root", _prefixed(idf, frequencies, threshold)("text").alias("x"))
-                    .select("text_key", "root", "x.*"), "neardup-prefixes")
-    spread = lambda shingles, name: prefix.select(F.explode(shingles).alias("shingle"), F.struct("text_key", "root", "weight").alias(name))
-    heavy, light = spread(F.col("shingles"), "m"), spread(F.slice("shingles", 1, F.col("own")), "l")
-    near = (F.col("l.root") != F.col("m.root")) & (F.col("l.weight") <= F.col("m.weight") * (1 + 1e-6)) & (F.col("l.weight") >= F.col("m.weight") * (threshold - 1e-6))
-    return (heavy.join(light, "shingle").where(near)
-            .select(F.least("l.text_key", "m.text_key").alias("a"), F.greatest("l.text_key", "m.text_key").alias("b")).distinct())
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node of the links; the root is the smallest node of its connected component.
+def further_links(whole: DataFrame, roots: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) that connect what is similar among ``whole`` (text_key, text) beyond ``roots`` (id, root); none is left out.
 
-    Each round gives every node the smallest root around it and then jumps from root to root, so a chain of n links takes about
-    log n rounds; the rounds stop when nothing changes. Every round's labels are written to the shared folder.
+    An exact search by :mod:`linking`: frequencies of the shingles are counted over just these texts, so passages that many of them share stand
+    last, and such texts meet only if they share something rarer, or are little besides the passage.
     """
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionAll(links.select(F.col(b).alias("u"), F.col(a).alias("v")))
-    edges = stored(both.distinct(), "neardup-edges")
-    labels = stored(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "neardup-labels")
-    while True:
-        around = (edges.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node"))
-                  .agg(F.min("root").alias("near")))
-        lower = labels.join(around, "node", "left").select("node", "root", F.least("root", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("root").alias("beyond"))
-        # A root hears of the smallest root that any node of its own has met.
-        hooks = lower.where("new < root").groupBy(F.col("root").alias("new")).agg(F.min("new").alias("hook"))
-        moved = (lower.join(jump, "new", "left").join(hooks, "new", "left")
-                 .select("node", F.least("new", "beyond", "hook").alias("new_root"), "root"))
-        moved = stored(moved, "neardup-labels")
-        labels = moved.select("node", F.col("new_root").alias("root"))
-        if moved.where("new_root <> root").isEmpty():
-            return labels
+    sets = stored(whole.join(roots.select(F.col("id").alias("text_key")), "text_key", "left_semi")
+                  .select(F.col("text_key").alias("id"), _weighted(idf)("text").alias("items")), "neardup-sets")
+    totals = sets.select("id", F.aggregate("items", F.lit(0.0), lambda a, x: a + x["w"]).alias("total"))
+    ranked = shared_items(sets.select("id", F.inline("items"))).join(totals, "id")
+    ranked = stored(ranked.select("id", "total", F.col("items.h").alias("h"), F.transform("items", lambda x: x["w"].cast("double")).alias("w")), "neardup-ranked")
+    links = find_links(ranked, threshold, _verifier(whole, idf, threshold), roots)
+    release(sets, ranked)
+    return links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -235,8 +200,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Equal texts meet in a key first, so a group of any size costs one row from there on. In every bucket of a band the members are first
     compared with two pivots, the members of smallest and largest hash under that band, which links large groups of near copies by two
     comparisons a member. Buckets whose members aren't of one class then are searched in full: their members go through an exact
-    prefix filter, and all pairs that may reach the threshold are compared. Links are verified over the whole texts, and classes
-    are their connected components.
+    prefix filter, and all pairs of different classes that may reach the threshold are compared. Links are verified over the whole texts,
+    and classes are their connected components.
     """
     frequencies, total = document_frequencies(docs)
     idf = idf_table(frequencies, total)
@@ -251,7 +216,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = (shared.select("text_key", F.explode("pivots").alias("pivot")).where("text_key <> pivot")
              .select(F.least("text_key", "pivot").alias("a"), F.greatest("text_key", "pivot").alias("b")).distinct())
     whole = _texts(docs, shared.select("text_key").distinct())
-    links = _verified(pairs, whole, idf, threshold)
+    links = stored(_verifier(whole, idf, threshold)(pairs), "neardup-links").where("linked").select("a", "b")
     roots = components(links)
     rooted = (shared.select("text_key", "band").join(roots.select(F.col("node").alias("text_key"), "root"), "text_key", "left")
               .select("text_key", "band", F.coalesce("root", "text_key").alias("root")))
@@ -259,8 +224,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
     unsettled = stored(rooted.join(mixed.select("band"), "band").select("text_key", "root").distinct(), "neardup-open")
     if not unsettled.isEmpty():
-        further = unlinked_pairs(whole.join(unsettled, "text_key"), idf, frequencies, threshold)
-        more = _verified(further, whole, idf, threshold)
+        more = further_links(whole, unsettled.select(F.col("text_key").alias("id"), "root"), idf, threshold)
         if not more.isEmpty():
             roots = components(links.unionAll(more))
     # Smallest ids per text first: a class is then one row for each different text.
@@ -275,11 +239,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id, then of the smallest text key. All columns stay; null texts stay."""
+    """``docs`` with one row of each class: that of the smallest id, then of the smallest text key, then of the smallest other columns as text.
+
+    All columns stay, whatever their names; null texts stay.
+    """
     found = near_duplicates(docs, threshold).where("text_key is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("kept")
-    kept = found.groupBy("class_key").agg(first).select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.text_key").alias("_kept_key"))
-    named = docs.where("text is not null").withColumn("_text_key", text_key(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_key") == F.col("_kept_key"))
-    once = named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    kept = found.groupBy("class_key").agg(first).select("kept.doc_id", "kept.text_key")
+    others = F.struct(*[F.col(f"row.`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])
+    rows = docs.where("text is not null").select("doc_id", text_key(F.col("text")).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_key"] == kept["text_key"])
+    once = rows.join(kept, same, "left_semi").groupBy("doc_id", "text_key").agg(F.min_by("row", others).alias("row")).select("row.*")
     return once.unionByName(docs.where("text is null"))

@@ -26,7 +26,7 @@ from echolens.session import release, stored
 WIDTH = 5
 PERCENT = 80
 #: One in so many of a text's shingles must be shared, beside the prefix that any partner needs.
-EXTRA = 20
+EXTRA = 10
 
 
 def distinct_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,17 +75,16 @@ def _sets():
     return sets
 
 
-def open_texts(rows: DataFrame) -> DataFrame:
-    """(text_key) of the texts that may have a partner, from rows (text_key, n, head).
+def open_texts(texts: DataFrame) -> DataFrame:
+    """(id) of the texts that may have a partner, from texts (id, n, head).
 
     Ordered by hash, the first k common elements of two sets of the threshold are among the first n - 80 % n + k of each, so where k grows with n, a text
     shares at least the k of its smallest possible partner.
     """
-    texts = rows.where("n > 0").groupBy("text_key").agg(F.first("n").alias("n"), F.first("head").alias("head"))
-    heads = texts.select("text_key", "n", F.explode("head").alias("h"))
+    heads = texts.select("id", F.explode("head").alias("h"))
     common = heads.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / EXTRA))
-    return heads.join(common, "h").groupBy("text_key").agg(F.count("*").alias("m"), F.first("n").alias("n")).where(F.col("m") >= needed).select("text_key")
+    return heads.join(common, "h").groupBy("id").agg(F.count("*").alias("m")).join(texts.select("id", "n"), "id").where(F.col("m") >= needed).select("id")
 
 
 def _verifier(sets: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -103,17 +102,20 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     heads = stored(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), _heads()("text").alias("x")).select("doc_id", "text_key", "x.*"), "join-heads")
     rows = stored(heads.select("doc_id", "text_key", "n"), "join-rows")
-    wanted = stored(open_texts(heads), "join-open")
-    release(heads)
-    texts = (docs.select(text_key(F.col("text")).alias("text_key"), "text").where("text_key is not null").join(wanted, "text_key", "left_semi")
-             .groupBy("text_key").agg(F.first("text").alias("text")))
     # A short number stands for a text from here on; written once, it is fixed.
-    whole = stored(texts.select(F.monotonically_increasing_id().alias("id"), "text_key", _sets()("text").alias("h")), "join-sets")
+    texts = heads.where("n > 0").groupBy("text_key").agg(F.first("n").alias("n"), F.first("head").alias("head")).withColumn("id", F.monotonically_increasing_id())
+    texts = stored(texts, "join-texts")
+    release(heads)
+    wanted = stored(open_texts(texts).join(texts.select("id", "text_key"), "id"), "join-open")
+    release(texts)
+    once = (docs.select(text_key(F.col("text")).alias("text_key"), "text").where("text_key is not null").join(wanted, "text_key", "left_semi")
+            .groupBy("text_key").agg(F.first("text").alias("text")))
+    whole = stored(once.join(wanted, "text_key").select("id", "text_key", _sets()("text").alias("h")), "join-sets")
     items = whole.select("id", F.explode("h").alias("h"))
     totals = whole.select("id", F.size("h").cast("double").alias("total"))
     sets = shared_items(items).join(totals, "id").select("id", "total", F.col("items.h").alias("h"), F.array().cast("array<double>").alias("w"))
     sets = stored(sets, "join-shared")
-    roots = components(find_links(sets, PERCENT, _verifier(sets))).join(whole.select(F.col("id").alias("node"), "text_key"), "node")
+    roots = components(find_links(sets, PERCENT / 100, _verifier(sets))).join(whole.select(F.col("id").alias("node"), "text_key"), "node")
     # Smallest ids per text first: a component is then one row for each different text.
     least = rows.where("n > 0").groupBy("text_key").agg(F.min("doc_id").alias("least"))
     named = least.join(roots.select("text_key", "root"), "text_key", "left")

@@ -292,6 +292,7 @@ def test_near_copies_within_a_shared_template_are_found(spark):
 
 
 def test_prefixes_meet_for_every_similar_pair():
+    """Weighted sets: the first common element of a similar pair is in both prefixes, and its bounds let the pair through."""
     rng = random.Random(9)
     words = [f"w{i}" for i in range(60)]
     base = [rng.choice(words) for _ in range(80)]
@@ -300,19 +301,47 @@ def test_prefixes_meet_for_every_similar_pair():
         ws = base[rng.randrange(12):len(base) - rng.randrange(12)]
         ws[rng.randrange(len(ws))] = rng.choice(words)
         texts.append(" ".join(ws))
-    texts += ["", "one", None]
-    idf, frequencies = neardup.idf_table(np.zeros(1 << neardup.IDF_BITS, np.int64), 60), np.zeros(1 << neardup.IDF_BITS, np.int64)
+    idf = neardup.idf_table(np.random.Generator(np.random.PCG64(9)).integers(0, 60, 1 << neardup.IDF_BITS), 60)
     column = pa.array(texts).cast(pa.large_string())
-    found = neardup.prefixes(column, idf, frequencies, 0.8).to_pylist()
+    h, row, weight = neardup.weighted_sets(column, idf)
+    seen = {v: (h == v).sum() for v in set(h.tolist())}
+    order = sorted(range(len(h)), key=lambda i: (row[i], seen[h[i]], h[i]))
+    h, row, weight = h[order], row[order], weight[order].astype(float)
     n = len(texts)
+    total = np.bincount(row, weight, n)
+    at, of, rest, words = linking.prefix_entries(h, weight, np.bincount(row, minlength=n), total, 0.8)
+    entries = [{} for _ in texts]
+    for i, r, left, s in zip(h[at].tolist(), of.tolist(), rest.tolist(), words.tolist()):
+        entries[r][i] = (left, [(w >> 16 * k & 65535) * total[r] / 65535 for w in s for k in range(4)])
     left, right = [i for i in range(n) for j in range(i)], [j for i in range(n) for j in range(i)]
     sims = neardup.similarities(column.take(left), column.take(right), idf)
     for i, j, s in zip(left, right, sims):
-        light, heavy = sorted((found[i], found[j]), key=lambda x: x["weight"])
-        assert s < 0.8 or set(light["shingles"][:light["own"]]) & set(heavy["shingles"])
+        if s >= 0.8:
+            common = set(h[row == i].tolist()) & set(h[row == j].tolist())
+            first = min(common, key=lambda v: (seen[v], v))
+            (rest_i, ranges_i), (rest_j, ranges_j) = entries[i][first], entries[j][first]
+            needed = 0.8 / 1.8 * (total[i] + total[j])
+            assert min(rest_i, rest_j) >= needed - 1e-6 and sum(map(min, ranges_i, ranges_j)) >= needed - 1e-6
     assert (sims >= 0.8).sum() > 50 and (sims < 0.8).sum() > 50
 
 
+def test_near_copies_of_hot_groups_and_templates_are_found_as_by_brute_force(spark):
+    """Every pair is compared by weighted similarity; a pair at the threshold may share no band, so a few rows are granted."""
+    rows = copies_and_templates(random.Random(16), 250, 150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    frequencies, total = neardup.document_frequencies(docs)
+    idf = neardup.idf_table(frequencies, total)
+    column, n = pa.array([t for _, t in rows]).cast(pa.large_string()), len(rows)
+    root = list(range(n))
+    for i in range(1, n):
+        near = neardup.similarities(column.take([i] * i), column.slice(0, i), idf) >= 0.8
+        for j in np.flatnonzero(near):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert sum(got[d] != root[d] for d in range(n)) <= 0.005 * n and len(set(root)) > 200 and max(map(root.count, set(root))) > 100
+
+
 def test_loose_personal_data_is_redacted_and_clean_numbers_are_not(spark):
     rng = random.Random(10)
     number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
