@@ -1,6 +1,7 @@
 """The product tables as partitioned Parquet folders under one root.
 
-Mentions and citations are append-only and partitioned by month and load. Answers are upserted and partitioned by their run (without
+Mentions and citations are append-only and partitioned by month and the folder of their load, see :mod:`ledger`; what was found in the trials of voted
+runs is kept likewise, by run. Answers are upserted and partitioned by their run (without
 its trial suffix), so an upsert only rewrites runs it brings new answers of, and a large run is a folder of many files. Prompts are a
 dimension and rewritten as a whole.
 """
@@ -14,10 +15,13 @@ from pyspark.sql import types as T
 from echolens.operators.answers import base_run
 from echolens.schemas import SLOT, TABLES
 from echolens.session import remove, scratch, stored
+from echolens.sources import ledger
 
 #: Upserted tables: key, and the value of the partition a row goes to.
 _UPSERTED = {"llm_responses": (SLOT, lambda: F.coalesce(base_run(), F.lit("none"))), "prompts": (["prompt_id"], lambda: F.lit("all"))}
 _PART, _MONTH, _LOAD, _DELETED = "part_key", "event_month", "load_id", "deleted"
+#: What was found in single trials, for votes over trials that come in one after the other.
+TRIALS = "vote_trials"
 
 
 def table_path(root: str, name: str) -> str:
@@ -38,8 +42,9 @@ def read_table(spark: SparkSession, root: str, name: str, since: str | None = No
     bounds the runs (without trial suffix) and prunes the folders of answers. Rows without a time are in no bounded range.
     """
     schema = TABLES[name]
-    place = {"prompts": T.StructField(_DELETED, T.BooleanType()), "llm_responses": T.StructField(_PART, T.StringType())}
-    rows = spark.read.schema(T.StructType([*schema.fields, place.get(name, T.StructField(_MONTH, T.StringType()))])).parquet(table_path(root, name))
+    text = lambda *names: [T.StructField(n, T.StringType()) for n in names]
+    place = {"prompts": [T.StructField(_DELETED, T.BooleanType())], "llm_responses": text(_PART)}
+    rows = spark.read.schema(T.StructType([*schema.fields, *place.get(name, text(_MONTH, _LOAD))])).parquet(table_path(root, name))
     if name == "prompts":
         rows = rows.filter(~F.coalesce(_DELETED, F.lit(False)))
     if runs is not None:
@@ -51,7 +56,7 @@ def read_table(spark: SparkSession, root: str, name: str, since: str | None = No
     if until is not None:
         rows = rows.filter(F.col("created_at") < F.date_add(F.lit(until).cast("date"), 1).cast("timestamp"))
         rows = rows.filter(F.col(_MONTH) <= until[:7]) if months else rows
-    return rows.select(*schema.fieldNames())
+    return (ledger.listed(rows, root, name, _LOAD) if months else rows).select(*schema.fieldNames())
 
 
 def latest_days(spark: SparkSession, root: str, name: str, days: int = 2) -> DataFrame:
@@ -84,26 +89,58 @@ def latest_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def clear_loads(spark: SparkSession, root: str, name: str, loads: list[str]) -> None:
-    """Remove what loads of these names have stored, in whatever month."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(root, name))
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for load in loads:
-        for found in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, f"{_MONTH}=*/{_LOAD}={load}")) or []:
-            files.delete(found.getPath(), True)
+    """Take out what loads of these names have stored, in whatever month."""
+    ledger.withdraw(spark, root, name, loads)
+
+
+def sweep_loads(spark: SparkSession, root: str, name: str, older_than: float = 86_400) -> int:
+    """Delete what replaced, withdrawn and broken-off loads have left, once it is ``older_than`` seconds old."""
+    return ledger.sweep(spark, root, name, table_path(root, name), _LOAD, older_than)
 
 
-def append_rows(df: DataFrame, root: str, name: str, load: str | Column | None = None) -> None:
+def append_rows(df: DataFrame, root: str, name: str, load: str | Column | None = None, loads: list[str] | None = None) -> None:
     """Append to a table partitioned by month and load.
 
-    Repeating a load under the same ``load`` name replaces it in every month, which makes replays safe even if rows are
-    stamped anew. A column names the load of each row. The rebalance hint merges small and splits very large months.
+    Repeating a load under the same ``load`` name replaces it in every month, which makes replays safe even if rows are stamped anew. Any text is a
+    name. A column names the load of each row (a null one counts as empty text); ``loads`` then lists the names, so that one without rows
+    replaces its load too, else they are those found. Each load comes into view at once, when all of its rows are written.
+    The rebalance hint merges small and splits very large months.
     """
-    name_of = load if isinstance(load, Column) else F.lit(load or uuid.uuid4().hex[:12])
-    if isinstance(load, str):
-        clear_loads(df.sparkSession, root, name, [load])
     month = F.coalesce(F.date_format("created_at", "yyyy-MM"), F.lit("none"))
-    rows = df.withColumn(_LOAD, name_of).select(*_columns(df, name), _LOAD).withColumn(_MONTH, month)
-    rows.hint("rebalance", F.col(_MONTH)).write.partitionBy(_MONTH, _LOAD).mode("append").parquet(table_path(root, name))
+    _append(df.select(*_columns(df, name), *_named(load)).withColumn(_MONTH, month), root, name, _MONTH, load, loads)
+
+
+def _named(load: str | Column | None) -> list[Column]:
+    return [F.coalesce(load, F.lit("")).alias("_load_name")] if isinstance(load, Column) else []
+
+
+def _append(rows: DataFrame, root: str, name: str, part: str, load: str | Column | None, loads: list[str] | None) -> None:
+    call = uuid.uuid4().hex[:12]
+    if isinstance(load, Column):
+        # The names of one call: the runs of a batch.
+        loads = loads if loads is not None else [r[0] for r in rows.select("_load_name").distinct().collect()]
+        folders = {n: f"{call}-{i}" for i, n in enumerate(loads)}
+        of_name = rows.sparkSession.createDataFrame(list(folders.items()), f"_load_name string, {_LOAD} string")
+        rows = rows.join(of_name, "_load_name").drop("_load_name")
+    else:
+        folders = {call if load is None else load: call}
+        rows = rows.withColumn(_LOAD, F.lit(call))
+    rows.hint("rebalance", F.col(part)).write.partitionBy(part, _LOAD).mode("append").parquet(table_path(root, name))
+    ledger.publish(rows.sparkSession, root, name, folders)
+
+
+def save_trials(parsed: DataFrame, root: str, load: str) -> None:
+    """Keep what was found in single trials, by run."""
+    _append(parsed.withColumn(_PART, F.coalesce(base_run(), F.lit("none"))), root, TRIALS, _PART, load, None)
+
+
+def read_trials(spark: SparkSession, root: str, kind: T.StructType, runs: list[str]) -> DataFrame:
+    """What was found in the trials of ``runs``, of the columns ``kind``."""
+    if ledger.entries(spark, root, TRIALS) is None:
+        return spark.createDataFrame([], kind)
+    text = [T.StructField(n, T.StringType()) for n in (_PART, _LOAD)]
+    rows = spark.read.schema(T.StructType([*kind.fields, *text])).parquet(table_path(root, TRIALS)).filter(F.col(_PART).isin(runs))
+    return ledger.listed(rows, root, TRIALS, _LOAD).select(*kind.fieldNames())
 
 
 def save_mentions(df: DataFrame, root: str, load: str | Column | None = None) -> None:

@@ -252,7 +252,7 @@ def run_stream(writer):
     return query
 
 
-def test_ingested_stream_equals_batch_and_survives_replay(spark, root, tmp_path):
+def test_ingested_stream_equals_batch_and_survives_replay(spark, root, tmp_path, monkeypatch):
     rows = spark.createDataFrame([(f"r{i % 4}", f"p{i}", "openai", "Asana and Jira https://g2.com/a", 3, datetime(2026, 1, 1)) for i in range(20)], ANSWER)
     known = prompts(spark, *[f"p{i}" for i in range(20)])
     early, late = rows.filter("run_id < 'r2'"), rows.filter("run_id >= 'r2'")
@@ -262,14 +262,111 @@ def test_ingested_stream_equals_batch_and_survives_replay(spark, root, tmp_path)
     assert tables.read_table(spark, root, "llm_responses").count() == 20
     assert tables.read_table(spark, root, "brand_mentions").count() == 40
     assert tables.read_table(spark, root, "citation_sources").count() == 20
-    # A batch that failed after its mentions were written is run again under the same id.
+    # A batch that failed after its mentions were written is run again.
     other = scratch(spark, "tables")
     tables.create_tables(spark, other)
-    from echolens.operators.analysis import analyze_responses
     full = tables.conform(early, "llm_responses")
-    tables.save_mentions(analyze_responses(full, known).mentions, other, load="stream-0")
-    jobs.ingest_batch(full, 0, other, known)
+    with monkeypatch.context() as m:
+        m.setattr(tables, "save_responses", lost)
+        with pytest.raises(RuntimeError):
+            jobs.ingest_batch(full, 0, other, known)
     assert tables.read_table(spark, other, "brand_mentions").count() == 20
+    jobs.ingest_batch(full.repartition(3), 0, other, known)
+    assert tables.read_table(spark, other, "brand_mentions").count() == 20
+
+
+def lost(*args, **kwargs):
+    raise RuntimeError("lost")
+
+
+def test_streams_and_fresh_checkpoints_leave_each_others_loads_alone(spark, root):
+    """Batches of equal number from two streams, or from a checkpoint that starts again, are different loads."""
+    known = prompts(spark, "p0", "p1")
+    for run in ("weekA", "weekB"):
+        rows = spark.createDataFrame([(run, f"p{i}", "openai", "Asana https://g2.com/a", 3, datetime(2026, 1, 1)) for i in range(2)], ANSWER)
+        jobs.ingest_batch(tables.conform(rows, "llm_responses"), 0, root, known)
+        jobs.ingest_batch(tables.conform(rows, "llm_responses"), 0, root, known)
+    mentions, cites, answers = stored_rows(spark, root)
+    assert [m[:2] for m in mentions] == [(r, p) for r in ("weekA", "weekB") for p in ("p0", "p1")] and (len(cites), answers) == (4, 4)
+
+
+NAMES = ["run-2024 01%", "week*", "week1", "a:b", "a/b", "{x}[y]", "", "é😀", "..", "event_month=2026-01"]
+
+
+def mention_rows(spark, run, n=3):
+    return spark.createDataFrame([(run, f"p{i}", "openai", "Asana", 1, "neutral", "s", datetime(2026, 1 + i, 28)) for i in range(n)], TABLES["brand_mentions"])
+
+
+def test_any_text_names_a_load(spark, root):
+    runs = lambda: sorted(r.run_id for r in tables.read_table(spark, root, "brand_mentions").collect())
+    for name in NAMES:
+        tables.save_mentions(mention_rows(spark, name), root, load=name)
+    assert runs() == sorted(NAMES * 3)
+    for name in NAMES[:4]:
+        tables.save_mentions(mention_rows(spark, name + "'", 2), root, load=name)
+    assert runs() == sorted([n + "'" for n in NAMES[:4] * 2] + NAMES[4:] * 3)
+    tables.clear_loads(spark, root, "brand_mentions", ["week*", "unknown", "a/b"])
+    assert runs() == sorted([n + "'" for n in NAMES[:4] * 2 if n != "week*"] + [n for n in NAMES[4:] * 3 if n != "a/b"])
+
+
+def test_named_rows_replace_their_own_loads_even_by_nothing(spark, root):
+    rows = mention_rows(spark, "r1").unionAll(mention_rows(spark, "r2 %")).unionAll(mention_rows(spark, "r:3"))
+    tables.append_rows(rows, root, "brand_mentions", F.col("run_id"))
+    tables.append_rows(mention_rows(spark, "r:3", 1), root, "brand_mentions", F.col("run_id"), ["r1", "r:3"])
+    assert sorted(r.run_id for r in tables.read_table(spark, root, "brand_mentions").collect()) == ["r2 %"] * 3 + ["r:3"]
+
+
+@pytest.mark.parametrize("broken", ["publish", "rename"])
+def test_a_killed_writer_leaves_the_old_load(spark, root, monkeypatch, broken):
+    from echolens.sources import ledger
+    tables.save_mentions(mention_rows(spark, "old"), root, load="l")
+    with monkeypatch.context() as m:
+        if broken == "publish":  # killed when all rows are written
+            m.setattr(ledger, "publish", lost)
+        else:                    # killed with the ledger's draft written
+            m.setattr(ledger, "entry_path", lost)
+        with pytest.raises(RuntimeError):
+            tables.save_mentions(mention_rows(spark, "new"), root, load="l")
+    read = lambda: {r.run_id for r in tables.read_table(spark, root, "brand_mentions").collect()}
+    assert read() == {"old"}
+    tables.save_mentions(mention_rows(spark, "newer"), root, load="l")
+    assert read() == {"newer"}
+    assert tables.sweep_loads(spark, root, "brand_mentions") == 0 and tables.sweep_loads(spark, root, "brand_mentions", older_than=0) == 6
+    assert read() == {"newer"} and tables.read_table(spark, root, "brand_mentions", since="2026-02-01").count() == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_votes_over_any_split_equal_the_vote_at_once_and_read_no_text_again(spark, root, monkeypatch):
+    texts = ["Asana, Jira https://g2.com/a", "Jira https://dev.to/b", "Asana and Trello Boards https://g2.com/a"]
+    rows = [(f"r{i % 2}-t{t}", f"p{i}", "openai", texts[(i + t) % 3], 3, datetime(2026, 1, 1 + t)) for i in range(4) for t in range(3)]
+    known = prompts(spark, *[f"p{i}" for i in range(4)])
+    whole = scratch(spark, "tables")
+    tables.create_tables(spark, whole)
+    jobs.ingest_batch(tables.conform(spark.createDataFrame(rows, ANSWER), "llm_responses"), 0, whole, known, 3)
+    parsed = []
+    parse = jobs.parse_answers
+    monkeypatch.setattr(jobs, "parse_answers", lambda answers, *rest: parsed.append(answers.count()) or parse(answers, *rest))
+    for batch in range(4):  # trials of a group come in different batches, and some come twice
+        part = [r for k, r in enumerate(rows) if k % 4 == batch or (batch and k % 4 == batch - 1)]
+        jobs.ingest_batch(tables.conform(spark.createDataFrame(part, ANSWER), "llm_responses"), 0, root, known, 3)
+    assert stored_rows(spark, root) == stored_rows(spark, whole) and sum(parsed) == len(rows)
+    # Answers stored without what was found in them, as by an older table, are parsed once.
+    older = scratch(spark, "tables")
+    tables.create_tables(spark, older)
+    tables.save_responses(spark.createDataFrame(rows[:6], ANSWER), older)
+    jobs.ingest_batch(tables.conform(spark.createDataFrame(rows[6:], ANSWER), "llm_responses"), 0, older, known, 3)
+    assert [m[1:] for m in stored_rows(spark, older)[0] if m[1] in ("p2", "p3")] == [m[1:] for m in stored_rows(spark, whole)[0] if m[1] in ("p2", "p3")]
+
+
+def test_slots_are_looked_up_in_the_runs_met_alone(spark, root):
+    tables.save_responses(spark.createDataFrame([answer(f"old{i}", "x") for i in range(5)], ANSWER), root)
+    new = tables.conform(spark.createDataFrame([answer("old1", "y"), answer("new", "z")], ANSWER), "llm_responses")
+    unseen = tables.unseen_slots(new, tables.read_table(spark, root, "llm_responses", runs=jobs._runs(new)))
+    assert [r.run_id for r in unseen.collect()] == ["new"]
+    assert "part_key" in partition_filters(tables.read_table(spark, root, "llm_responses", runs=["new"]).select("run_id"))
 
 
 @pytest.mark.parametrize("n_runs", [1, 2])
