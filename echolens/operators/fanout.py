@@ -9,28 +9,24 @@ from pyspark.sql import functions as F
 from echolens.fixed import KEYWORD_CLASSES, STOP_WORDS
 from echolens.functions.numbers import percent
 from echolens.functions.text import WORD
+from echolens.operators.calls import ask_all
 
 NO_BRANDS = "—"
 
 
-def collect_fanout(prompts: DataFrame, client: Callable[[], Callable[[str], tuple[list[str], str]]], partitions: int) -> DataFrame:
+def collect_fanout(prompts: DataFrame, client: Callable[[], Callable[[str], tuple[list[str], str]]], partitions: int,
+                   width: int = 1, limit: float | None = None, retries: int = 0) -> DataFrame:
     """Ask a user client for the search queries of each prompt (id, category, original, target_brands).
 
-    ``client()`` is called once per task and returns a function prompt → (queries, answer).
+    ``client()`` is called once per task and returns a function prompt → (queries, answer). ``width``, ``limit`` and ``retries`` as in
+    :func:`calls.ask_all`.
     """
     def ask(batches: Iterator) -> Iterator:
         call = client()
         for batch in batches:
-            queries, texts, errors = [], [], []
-            for prompt in batch["original"]:
-                try:
-                    found, text, error = *call(prompt), None
-                except Exception as failure:
-                    found, text, error = [], "", str(failure) or type(failure).__name__
-                queries.append(list(found))
-                texts.append(text or "")
-                errors.append(error)
-            yield batch.assign(fanout_queries=queries, n_queries=[len(q) for q in queries], response_text=texts, error=errors)
+            replies = ask_all(call, zip(batch["original"]), width, limit, retries)
+            queries, texts = [list(r.value[0]) if r.value else [] for r in replies], [(r.value[1] if r.value else "") or "" for r in replies]
+            yield batch.assign(fanout_queries=queries, n_queries=[len(q) for q in queries], response_text=texts, error=[r.error for r in replies])
 
     rows = prompts.select("id", "category", "original", "target_brands").repartition(partitions)
     return rows.mapInPandas(ask, "id string, category string, original string, target_brands array<string>, "
