@@ -19,8 +19,9 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 10     # per width
 EMBEDDING = 6
-#: Bounds of the training sample: texts per language, languages, characters of a text, windows taken from a text.
-TEXTS_PER_LANGUAGE, MOST_LANGUAGES, MOST_CHARS, WINDOWS_PER_TEXT = 300, 100, 20_000, 3
+#: Bounds of the training sample: texts per language, texts of all languages (which lowers the former, every language has one at least),
+#: characters read from the start of a text, windows taken from a text.
+TEXTS_PER_LANGUAGE, MOST_TEXTS, MOST_CHARS, WINDOWS_PER_TEXT = 300, 30_000, 20_000, 3
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UNKNOWN = "und"
 
@@ -114,27 +115,27 @@ def train(docs: DataFrame, keep: Column | None = None) -> Network | None:
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     if keep is not None:
         known = known.where(keep)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()  # a row per language
     if not counts:
         return None
     labels = sorted(r["lang"] for r in counts)
-    # A hash threshold per language gives about twice the wanted texts; the rest is cut below. The sort is over the sample alone.
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * TEXTS_PER_LANGUAGE / r["count"]))).otherwise(share)
+    number = {label: i for i, label in enumerate(labels)}
+    wanted = max(1, min(TEXTS_PER_LANGUAGE, MOST_TEXTS // len(labels)))
+    # A hash threshold per language gives about twice the wanted texts, and never none; the rest is cut below. The sort is over the sample alone.
+    shares = known.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * wanted + 20) / r["count"])) for r in counts], "lang string, share double")
     h = F.xxhash64("doc_id", "text")
     chance = F.pmod(h, F.lit(1 << 20)) / float(1 << 20)
-    sample = (known.where(F.length("text") <= MOST_CHARS).where(chance < share).select(h.alias("h"), "lang", "text")
-              .orderBy("h", "lang").limit(4 * TEXTS_PER_LANGUAGE * len(labels)).collect())
+    sample = (known.join(F.broadcast(shares), "lang").where(chance < F.col("share")).select(h.alias("h"), "lang", F.substring("text", 1, MOST_CHARS).alias("text"))
+              .orderBy("h", "lang").limit((4 * wanted + 40) * len(labels)).collect())
     taken, xs, ys = dict.fromkeys(labels, 0), [], []
     for r in sample:
-        if taken[r["lang"]] < TEXTS_PER_LANGUAGE:
+        if taken[r["lang"]] < wanted:
             taken[r["lang"]] += 1
             for part in slices(pa.array([r["text"]], pa.string())):
                 x, _ = windows_of(part)
                 x = x[np.linspace(0, len(x) - 1, min(len(x), WINDOWS_PER_TEXT)).astype(int)] if len(x) else x
                 xs.append(x)
-                ys.append(np.full(len(x), labels.index(r["lang"])))
+                ys.append(np.full(len(x), number[r["lang"]]))
     x, y = (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros((0, WINDOW), np.uint8), np.zeros(0, int))
     return Network(labels).fit(x, y) if len(y) else None
 

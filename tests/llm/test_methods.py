@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from echolens.llm import chat, codes, compression, decontaminate, langid, linking, merkle, mixing, neardup, pii, rules, secrets, shinglejoin, toxicity
+from echolens.llm import chat, codes, compression, decontaminate, langid, linking, merkle, mixing, neardup, pii, rules, samples, secrets, shinglejoin, toxicity
 from echolens.llm.exprs import find_spans, normal_tail, running_sums
 from echolens.llm.words import shingles, slices, split_words
 from tests.llm import brute, fixtures
@@ -396,3 +396,43 @@ def test_codes_stand_for_near_vectors(spark):
     for r in codes.compress(vectors).collect():
         back = np.round(codes.decoded(r.code, books) * 256).astype(int)
         assert ((back - np.array(of[r.vec_id])) ** 2).sum() == r.error
+
+
+CLASHING = ("size", "source_size", "target", "rate", "copies", "quota", "q_n", "q_size", "q_source", "_h", "_bucket", "_rank", "n", "s", "lam", "row", "id", "text_key", "class_id",
+            "_text_key", "kept", "least", "root", "c0", "a.b")
+
+
+def test_columns_of_any_name_come_back_with_their_values(spark):
+    """Mixing and deduplication carry whole rows; of rows equal in id and text the least one stays, in whatever order they come."""
+    schema = ", ".join(["doc_id long", "text string", "source string", *[f"`{c}` string" for c in CLASHING]])
+    rows = [(i, f"text number {i} " + "word " * (i % 5) + f"end {i}", "ab"[i % 2], *[f"{c}{i}" for c in CLASHING]) for i in range(40)]
+    docs = spark.createDataFrame(rows, schema)
+    out = mixing.mixture(docs)
+    assert out.columns == [*docs.columns, "copy"] and {tuple(r)[:-1] for r in out.collect()} <= set(rows)
+    named = mixing.mixture(docs.withColumn("copy", F.lit("mine")))
+    assert named.columns == [*docs.columns, "copy"] and {r["copy"] for r in named.collect()} == {"mine"}
+    mixed = mixing.mix(docs)
+    assert {r["a.b"] for r in mixed.collect()} == {r[-1] for r in rows} and mixed.where("copies is null").isEmpty()
+    twins = [(i, rows[i][1], "b", *[f"A{c}" for c in CLASHING]) for i in range(10)]
+    want = sorted([min(r, t, key=lambda x: x[2:]) for r, t in zip(rows[:10], twins)] + rows[10:])
+    for order in (1, -1):
+        kept = neardup.keep_one(spark.createDataFrame((rows + twins)[::order], schema).repartition(3))
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == want
+
+
+def test_every_language_is_learned(spark):
+    """150 languages, one of them in long texts alone: a text bound per language, no bound on languages."""
+    rng = random.Random(17)
+    letters = lambda k: [chr(0x4E00 + 40 * k + j) for j in range(12)]
+    text = lambda k, n: " ".join("".join(rng.choice(letters(k)) for _ in range(4)) for _ in range(n))
+    rows = [(1000 * k + i, text(k, 30 if k else 9000), f"l{k:03d}") for k in range(150) for i in range(8)]
+    network = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert network.labels == [f"l{k:03d}" for k in range(150)]
+
+
+def test_samples_are_filled_from_usable_texts(spark):
+    """Long and missing texts take nobody's place, and an id of very many rows is one text."""
+    docs = [(i, "x" * (50 if i % 10 == 0 else 5000)) for i in range(400)] + [(i, None) for i in range(400, 500)] + [(0, f"other {k}") for k in range(300)]
+    labels = [(i, i // 10 % 2) for i in range(600)]
+    found = samples.labelled_sample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), "quality", [0, 1], 15, 100)
+    assert [sum(y == label for _, y in found) for label in (0, 1)] == [15, 15]
