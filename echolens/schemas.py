@@ -18,7 +18,7 @@ BRAND_MENTIONS = _struct(run_id=S, prompt_id=S, provider=S, brand=S, position=I,
                          snippet=S, created_at=TS)
 CITATION_SOURCES = _struct(run_id=S, prompt_id=S, provider=S, url=S, domain=S, domain_type=S,
                            created_at=TS)
-#: ``target_brands`` stays JSON text at rest; ``sources.prompts.list_prompts`` decodes it.
+#: ``target_brands`` stays JSON text at rest; ``sources.tables.list_prompts`` decodes it.
 PROMPTS = _struct(prompt_id=S, prompt_text=S, category=S, target_brands=S, created_at=TS)
 FANOUT = _struct(id=S, category=S, original=S, target_brands=T.ArrayType(S),
                  fanout_queries=T.ArrayType(S), n_queries=I, response_text=S, error=S)
