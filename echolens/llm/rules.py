@@ -1,12 +1,15 @@
 """Quality rules as weak supervision, on DataFrame functions alone.
 
-Each rule votes good (1), bad (-1) or abstains (0). How often a rule votes how on good and on bad texts is estimated by
-expectation-maximisation over all documents: votes are counted by pattern first (at most 3**rules patterns, whatever the corpus is), and the
-iterations run over those counts inside one expression. The posterior probability of being good replaces the demand that every rule passes.
+Each rule votes good (1), bad (-1) or abstains (0). Texts are bad in different ways, and each way shows in one rule: a text is good or bad of one rule's
+kind, and in the other rules a bad text votes as good ones do, so silence about one fault is no proof against another. How a rule votes on its
+own kind of bad texts and on all others, and the share of each kind, are estimated by expectation-maximisation over all documents: votes are counted
+by pattern first (at most 3**rules patterns, whatever the corpus is), and the iterations run over those counts inside one expression. The
+posterior probability of being good replaces the demand that every rule passes.
 
-Texts are bad in different ways, and each way shows in one rule only, so rules about a fault vote bad or abstain: silence about one fault is no
-proof against another. Every rule is held to be better than chance: what a bad vote adds is at least a factor of e cubed against the
-text, a good vote adds at most a factor of e squared for it, and abstaining stays between them.
+A rule that is right and one that is wrong look alike in single votes. What decides between them is a prior, in pseudo-texts worth ``STRENGTH`` of all
+texts, so it weighs the same at every size: at most a share ``BAD_SHARE`` of texts is bad of a kind, of which its rule finds ``CATCH``; what a rule calls bad
+beyond that share, and ``FALSE_ALARM`` at least, is expected to fall on others. So a rule that fires on many texts is found to be poor, and a bad vote
+of it alone doesn't condemn a text; iterations start there.
 
 Defined results: a null text has no words; an empty table gives no rows; repeated ids are rows of their own.
 """
@@ -22,6 +25,8 @@ from echolens.session import stored
 WIDTH = 3
 ITERATIONS = 25
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words; percent of words in repeated windows
+#: The prior: weight against the texts, largest share of bad texts of a kind, their rule's bad votes among them, and least bad votes among others.
+STRENGTH, BAD_SHARE, CATCH, FALSE_ALARM = 0.05, 0.1, 0.9, 0.005
 
 
 def repeated_words(words: Column, width: int = WIDTH) -> Column:
@@ -91,52 +96,63 @@ def votes() -> list[Column]:
     ]
 
 
-def _held(x: Column, vote: Column) -> Column:
-    """What a vote (0 bad, 1 abstained, 2 good) adds to the log-odds, held to the bounds of a rule better than chance."""
-    within = lambda low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
-    return F.when(vote == 0, F.least(x, F.lit(-3.0))).when(vote == 1, within(-0.5, 1.5)).otherwise(within(0.0, 2.0))
+def estimate(patterns: DataFrame, iterations: int = ITERATIONS) -> list[list[float]]:
+    """What each rule's vote (bad, abstained, good) adds to the odds of a text being bad: the most probable ones under the prior.
 
-
-def estimate(patterns: DataFrame, iterations: int = ITERATIONS) -> tuple[float, list[list[float]]]:
-    """Log-odds of good before any vote, and what each rule's vote (bad, abstained, good) adds to it.
-
-    ``patterns`` has ``votes`` (array<int>) and ``n``. Counts start from one vote of each kind per class. At first a text is thought good if no rule calls it bad.
+    ``patterns`` has ``votes`` (array<int>) and ``n``. The odds are sums over the rules, one term for each kind of bad text.
     """
     number = patterns.agg(F.max(F.size("votes")).alias("m")).first()["m"]
     if not number:
-        return 0.0, []
+        return []
     table = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("rows"))  # at most 3**rules
-    zero = F.lit(0.0)
-
-    def fitted(rows: Column) -> Column:
-        """Parameters from rows with their posterior ``q``."""
-        good = F.aggregate(rows, F.lit(1.0), lambda a, r: a + r["n"] * r["q"])
-        bad = F.aggregate(rows, F.lit(1.0), lambda a, r: a + r["n"] * (1 - r["q"]))
-        count = lambda j, v, share: F.aggregate(rows, F.lit(1.0), lambda a, r: a + F.when(F.get(r["votes"], j) == v, r["n"] * share(r)).otherwise(0.0))
-        ratio = F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda j: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda v: F.log(
-            count(j, v, lambda r: r["q"]) / count(j, v, lambda r: 1 - r["q"]))))
-        return let(F.struct(good.alias("good"), bad.alias("bad")), lambda s: F.struct(
-            F.log(s["good"] / s["bad"]).alias("prior"),
-            F.transform(ratio, lambda xs: F.transform(xs, lambda x, v: _held(x - F.log((s["good"] + 2) / (s["bad"] + 2)), v))).alias("ratio")))
-
-    def posterior(rows: Column, p: Column) -> Column:
-        def q(r: Column) -> Column:
-            odds = F.aggregate(F.sequence(F.lit(0), F.lit(number - 1)), p["prior"], lambda a, j: a + F.get(F.get(p["ratio"], j), F.get(r["votes"], j) + 1))
-            return 1 / (1 + F.exp(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), -odds))))
-        return F.transform(rows, lambda r: F.struct(r["votes"].alias("votes"), r["n"].alias("n"), q(r).alias("q")))
-
-    first = F.transform("rows", lambda r: F.struct(r["votes"].alias("votes"), r["n"].alias("n"), F.when(F.array_contains(r["votes"], -1), 0.1).otherwise(0.9).alias("q")))
-    start = table.select(first.alias("rows"))
-    step = lambda acc, _: let(fitted(acc), lambda p: posterior(acc, p))
-    last = start.select(F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.col("rows"), step, fitted).alias("p")).first()["p"]
-    return last["prior"], [list(r) for r in last["ratio"]]
+    rules, kinds = F.sequence(F.lit(0), F.lit(number - 1)), F.array(F.lit(0), F.lit(1), F.lit(2))
+    term = lambda odds, votes, j: F.get(F.get(odds, j), F.get(votes, j) + 1)
+    spread = lambda bad, v: F.when(v == 0, bad).otherwise((1 - bad) / 2)  # votes expected where a share ``bad`` of them is bad
+
+    def expected(rows: Column) -> Column:
+        """For each rule the share of texts bad of its kind and the share of bad votes among others, as the rates at which rules fire make likely."""
+        total = F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["n"])
+        fired = lambda j: F.aggregate(rows, F.lit(0.0), lambda a, r: a + F.when(F.get(r["votes"], j) == -1, r["n"]).otherwise(0.0)) / total
+        of_rate = lambda rate: F.struct(F.least(rate, F.lit(BAD_SHARE)).alias("kind"), F.greatest(F.lit(FALSE_ALARM), rate - BAD_SHARE).alias("alarms"))
+        return F.transform(rules, lambda j: let(fired(j), of_rate))
+
+    def start(prior: Column) -> Column:
+        of_rule = lambda e: F.transform(kinds, lambda v: e["kind"] * spread(F.lit(CATCH), v) / ((1 - BAD_SHARE) * spread(e["alarms"], v)))
+        return F.transform(prior, of_rule)
+
+    def improved(rows: Column, prior: Column, odds: Column) -> Column:
+        """One iteration. ``good`` is a row's posterior; that of kind j is its term of the odds times ``good``."""
+        def posterior(r: Column) -> Column:
+            bad = F.aggregate(rules, F.lit(0.0), lambda a, j: a + term(odds, r["votes"], j))
+            return F.struct(r["votes"].alias("votes"), r["n"].alias("n"), (1 / (1 + bad)).alias("good"))
+
+        def fitted(known: Column) -> Column:
+            number_of = lambda share: F.aggregate(known, F.lit(0.0), lambda a, r: a + r["n"] * share(r))
+            whole, good = number_of(lambda r: F.lit(1.0)), number_of(lambda r: r["good"])
+
+            def rule(j: Column, e: Column, sums: Column) -> Column:
+                of_kind = lambda r: term(odds, r["votes"], j) * r["good"]
+
+                def vote(v: Column, kind: Column) -> Column:
+                    cast = lambda share: F.aggregate(known, F.lit(0.0), lambda a, r: a + F.when(F.get(r["votes"], j) == v - 1, r["n"] * share(r)).otherwise(0.0))
+                    pseudo = sums["whole"] * STRENGTH
+                    in_kind = cast(of_kind) + pseudo * e["kind"] * spread(F.lit(CATCH), v)  # share of the kind times its votes
+                    others = (cast(lambda r: 1 - of_kind(r)) + pseudo * spread(e["alarms"], v)) / (sums["whole"] - kind + pseudo)
+                    return in_kind / ((sums["good"] + pseudo * (1 - BAD_SHARE)) * others)
+                return let(number_of(of_kind), lambda kind: F.transform(kinds, lambda v: vote(v, kind)))
+            return let(F.struct(whole.alias("whole"), good.alias("good")), lambda sums: F.zip_with(rules, prior, lambda j, e: rule(j, e, sums)))
+        return let(F.transform(rows, posterior), fitted)
+
+    first = table.select("rows", expected(F.col("rows")).alias("prior"))
+    steps = F.sequence(F.lit(1), F.lit(iterations))
+    last = first.select(F.aggregate(steps, start(F.col("prior")), lambda odds, _: improved(F.col("rows"), F.col("prior"), odds)).alias("odds"))
+    return [list(r) for r in last.first()["odds"]]
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, votes, p_good) of every row; texts are read once."""
     rows = stored(measured(docs).withColumn("votes", F.array(*votes())), "rule-votes")
-    prior, ratio = estimate(rows.groupBy("votes").agg(F.count("*").alias("n")))
-    adds = [F.when(F.get("votes", F.lit(j)) == -1, r[0]).when(F.get("votes", F.lit(j)) == 1, r[2]).otherwise(r[1]) for j, r in enumerate(ratio)]
-    odds = reduce(lambda a, b: a + b, adds, F.lit(float(prior)))
-    p_good = 1 / (1 + F.exp(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), -odds))))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes", p_good.alias("p_good"))
+    odds = estimate(rows.groupBy("votes").agg(F.count("*").alias("n")))
+    adds = [F.when(F.get("votes", F.lit(j)) == -1, r[0]).when(F.get("votes", F.lit(j)) == 1, r[2]).otherwise(r[1]) for j, r in enumerate(odds)]
+    bad = reduce(lambda a, b: a + b, adds, F.lit(0.0))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes", (1 / (1 + bad)).alias("p_good"))
