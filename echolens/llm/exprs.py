@@ -57,8 +57,9 @@ def joined_spans(spans: Column) -> Column:
 
 def normal_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal variable, to about 1e-7 (Abramowitz and Stegun 26.2.17)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.exp(-x * x / 2) * 0.3989422804014327 * poly
-    return F.when(z >= 0, upper).otherwise(1 - upper)
+    def tail(z: Column) -> Column:
+        x = F.abs(z)
+        return let(1 / (1 + 0.2316419 * x), lambda t: let(
+            F.exp(-x * x / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))),
+            lambda upper: F.when(z >= 0, upper).otherwise(1 - upper)))
+    return let(z, tail)

@@ -1,9 +1,11 @@
 """What the contracts don't say: budgets, sampling, thresholds, offsets, and the trained models' own properties."""
 
+import base64
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from echolens.llm import chat, codes, compression, decontaminate, langid, linking, merkle, mixing, neardup, pii, rules, samples, secrets, shinglejoin, toxicity
@@ -219,6 +221,54 @@ def test_random_strings_are_told_from_ordinary_ones(spark):
     assert {s.kind for i in range(60) for s in got[i]} == {"random"} and {(s.start, s.end) for i in range(60) for s in got[i]} == {(4, 68)}
 
 
+def scanned(spark, rows):
+    """Random spans of each document."""
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    return {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in found}
+
+
+@pytest.mark.parametrize("planted", [0, 5, 50])
+def test_encoded_prose_is_not_taken_for_random(spark, planted):
+    """200 texts hold base64 of prose, none of it a secret; some keys stand among 800 plain texts."""
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = ["".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    encoded = lambda: base64.b64encode(prose(30)[:rng.randint(16, 60)].encode()).decode()
+    rows = [(i, f"{prose(60)} {encoded()} {prose(60)}") for i in range(200)] + [(1000 + i, prose(100)) for i in range(800)]
+    rows += [(5000 + i, f"see {''.join(rng.choice(alphabet) for _ in range(40))} {prose(50)}") for i in range(planted)]
+    got = scanned(spark, rows)
+    assert sum(len(v) for d, v in got.items() if d < 5000) <= 10
+    assert sum(v == [(4, 44)] for d, v in got.items() if d >= 5000) >= planted - max(1, planted // 10) * (planted > 0)
+
+
+def test_random_strings_spread_evenly_over_the_battery(spark):
+    """Random strings of each encoding and several lengths keep about the share 1 - t above t, ordinary ones next to nothing."""
+    rng = random.Random(8)
+    rows = [(e, "".join(rng.choice(secrets.ALPHABETS[e]) for _ in range(n))) for e in secrets.ALPHABETS for n in (24, 40, 120) for _ in range(100)]
+    p = spark.createDataFrame(rows, "e string, v string").select("e", secrets._battery(F.col("v"), F.col("e")).alias("p")).collect()
+    for e in secrets.ALPHABETS:
+        of = [r.p for r in p if r.e == e]
+        assert sum(x >= 0.02 for x in of) >= 0.94 * len(of) and 0.35 * len(of) <= sum(x >= 0.5 for x in of) <= 0.65 * len(of)
+    plain = spark.createDataFrame([("0123456789abcdef" * 4,), ("the quick brown fox jumps over it".encode().hex(),)], "v string")
+    assert all(r.p < 1e-4 for r in plain.select(secrets._battery(F.col("v"), F.lit("hex")).alias("p")).collect())
+
+
+def test_decoys_are_encodings_of_the_text_itself(spark):
+    text = "Ordinary prose, of words and some 12 numbers, that goes on for quite a while. " * 6
+    for n in range(12):
+        (row,) = spark.createDataFrame([(text + "x" * n,)], "t string").select(secrets.decoys(F.col("t")).alias("d")).collect()
+        by_kind = {d.kind: d.value for d in row.d}
+        assert 3 in by_kind and all(len(v) in secrets.DECOY_SIZES for v in by_kind.values())
+        assert 1 not in by_kind or bytes.fromhex(by_kind[1]).decode() in text + "x" * n
+        assert 2 not in by_kind or base64.b32decode(by_kind[2]).decode() in text + "x" * n
+        assert base64.b64decode(by_kind[3]).decode() in text + "x" * n
+    key = "Zk3" * 20
+    rows = spark.createDataFrame([(None,), ("",), (key,), (f"a short {key}",)], "t string").select(secrets.decoys(F.col("t")).alias("d")).collect()
+    assert [r.d for r in rows[:3]] == [[], [], []] and rows[3].d
+    assert all("Zk3" not in base64.b64decode(d.value).decode() for d in rows[3].d if d.kind == 3)
+
+
 def test_random_strings_after_an_equals_sign_are_found(spark):
     rng = random.Random(11)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -253,10 +303,23 @@ def test_bad_texts_of_several_kinds_are_told_from_good_ones(spark):
         kind = rng.choice([None] * 8 + [0, 1])
         fires = lambda k: -1 if rng.random() < (0.9 if kind == k else 0.002) else 0
         rows.append(([1 if rng.random() < (0.6 if kind is None else 0.4) else 0, fires(0), fires(1), -1 if rng.random() < 0.02 else 0],))
-    prior, ratio = rules.estimate(spark.createDataFrame(rows, "votes array<int>").groupBy("votes").agg(F.count("*").alias("n")))
-    odds = lambda *votes: prior + sum(r[v + 1] for r, v in zip(ratio, votes))
-    assert odds(0, 0, 0, 0) > 0 and odds(1, 0, 0, 0) > 0 and odds(1, -1, 0, 0) < 0 and odds(0, 0, -1, 0) < 0
-    assert all(-0.5 <= r[1] <= 1.5 and 0 <= r[2] <= 2 and r[0] <= -3 for r in ratio)
+    odds = vote_odds(spark.createDataFrame(rows, "votes array<int>").groupBy("votes").agg(F.count("*").alias("n")))
+    assert odds(0, 0, 0, 0) < 1 and odds(1, 0, 0, 0) < 1 and odds(1, -1, 0, 0) > 1 and odds(0, 0, -1, 0) > 1
+
+
+def vote_odds(patterns):
+    """The odds of being bad as a function of the votes."""
+    terms = rules.estimate(patterns)
+    return lambda *votes: sum(t[v + 1] for t, v in zip(terms, votes))
+
+
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_a_rule_that_fires_on_many_good_texts_is_found_poor(spark, scale):
+    """Two rules find a fault of 5 and 4 % of the texts, a third fires on 40 % of all texts; the number of texts changes nothing."""
+    rows = [((a, b, c), round(10_000 * p * q)) for (a, b), p in (((0, 0), 0.91), ((-1, 0), 0.05), ((0, -1), 0.04)) for c, q in ((0, 0.6), (-1, 0.4))]
+    odds = vote_odds(spark.createDataFrame([(list(v), n * scale) for v, n in rows], "votes array<int>, n long"))
+    assert odds(0, 0, 0) < 0.2 and odds(0, 0, -1) < 1 and odds(-1, 0, 0) > 1 and odds(0, -1, 0) > 1 and odds(-1, 0, -1) > 1
+    assert rules.estimate(spark.createDataFrame([], "votes array<int>, n long")) == []
 
 
 def test_redaction_replaces_merged_spans(spark):
