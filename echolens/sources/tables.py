@@ -1,9 +1,9 @@
 """The product tables as partitioned Parquet folders under one root.
 
 Mentions and citations are append-only and partitioned by month and the folder of their load, see :mod:`ledger`; what was found in the trials of voted
-runs is kept likewise, by run. Answers are upserted and partitioned by their run (without
-its trial suffix), so an upsert only rewrites runs it brings new answers of, and a large run is a folder of many files. Prompts are a
-dimension and rewritten as a whole.
+runs is kept likewise, by run. Answers are upserted and partitioned by their run (without its trial suffix): an upsert appends answers of new slots to
+the table and those of stored slots to a table of changes beside it, so it rewrites nothing, whatever the size of the run. Readers put both together;
+:func:`compact_responses` folds the changes in. Prompts are a dimension and rewritten as a whole.
 """
 
 import uuid
@@ -14,14 +14,21 @@ from pyspark.sql import types as T
 
 from echolens.operators.answers import base_run
 from echolens.schemas import SLOT, TABLES
-from echolens.session import remove, scratch, stored
+from echolens.session import release, remove, scratch, stored
 from echolens.sources import ledger
 
-#: Upserted tables: key, and the value of the partition a row goes to.
-_UPSERTED = {"llm_responses": (SLOT, lambda: F.coalesce(base_run(), F.lit("none"))), "prompts": (["prompt_id"], lambda: F.lit("all"))}
 _PART, _MONTH, _LOAD, _DELETED = "part_key", "event_month", "load_id", "deleted"
+#: Answers that replace stored ones of their slot, until they are folded in. ``_SEQUENCE`` counts the upserts, later ones win.
+CHANGES = "response_changes"
+_SEQUENCE = "sequence"
 #: What was found in single trials, for votes over trials that come in one after the other.
 TRIALS = "vote_trials"
+_NO_RUN = "none"
+
+
+def _run_part() -> Column:
+    """The partition of an answer: its run, and one for answers without."""
+    return F.coalesce(F.nullif(base_run(), F.lit("")), F.lit(_NO_RUN))
 
 
 def table_path(root: str, name: str) -> str:
@@ -48,7 +55,9 @@ def read_table(spark: SparkSession, root: str, name: str, since: str | None = No
     if name == "prompts":
         rows = rows.filter(~F.coalesce(_DELETED, F.lit(False)))
     if runs is not None:
-        rows = rows.filter(F.col(_PART).isin(runs)) if name == "llm_responses" else rows.filter(base_run().isin(runs))
+        rows = rows.filter(F.col(_PART).isin([run or _NO_RUN for run in runs])) if name == "llm_responses" else rows.filter(base_run().isin(runs))
+    if name == "llm_responses":
+        rows = _with_changes(rows, root, None if runs is None else {run or _NO_RUN for run in runs})
     months = name in ("brand_mentions", "citation_sources")
     if since is not None:
         rows = rows.filter(F.col("created_at") >= F.lit(since).cast("timestamp"))
@@ -151,39 +160,108 @@ def save_citations(df: DataFrame, root: str, load: str | Column | None = None) -
     append_rows(df, root, "citation_sources", load)
 
 
-def _upsert(incoming: DataFrame, root: str, name: str, order: list[str]) -> None:
-    """Add rows; the new row of a key replaces the old. ``incoming`` must not read from the table itself.
+def _change_loads(spark: SparkSession, root: str) -> dict[str, tuple[int, str, str]]:
+    """Loads of changes not folded in yet: (upsert, run, folder) by name. A handful a run, as compaction takes them away."""
+    known = ledger.entries(spark, root, CHANGES)
+    split = {row["load"]: (*row["load"].split(":", 2), row["folder"]) for row in (known.collect() if known is not None else [])}
+    return {name: (int(sequence), run, folder) for name, (sequence, _, run, folder) in split.items()}
+
+
+def _changes(spark: SparkSession, root: str, loads: list[tuple[int, str, str]]) -> DataFrame:
+    """The rows of these loads of changes; only their folders are read."""
+    place = [T.StructField(_SEQUENCE, T.LongType()), T.StructField(_PART, T.StringType()), T.StructField(_LOAD, T.StringType())]
+    rows = spark.read.schema(T.StructType([*TABLES["llm_responses"].fields, *place])).parquet(table_path(root, CHANGES))
+    return rows.filter(F.col(_PART).isin(sorted({run for _, run, _ in loads})) & F.col(_LOAD).isin([folder for _, _, folder in loads]))
+
+
+def _with_changes(rows: DataFrame, root: str, runs: set[str] | None) -> DataFrame:
+    """Stored answers as the changes of their slots have left them.
 
-    Partitions that hold nothing yet receive an append; the others are merged, from storage because a table can't be overwritten
-    while it is being read. The merged copy is removed afterwards.
+    Runs without changes pass as they are; of the others, the slots that changed leave by an anti join and the last change of each comes in.
     """
-    spark = incoming.sparkSession
-    keys, part = _UPSERTED[name]
-    path = table_path(root, name)
-    incoming = incoming.withColumn(_PART, part())
-    parts = incoming.select(_PART).distinct()
-    known = spark.read.schema(incoming.schema).parquet(path).join(parts, _PART, "left_semi")
-    met = known.select(_PART).distinct()
-    both = known.withColumn("_new", F.lit(0)).unionByName(incoming.join(met, _PART, "left_semi").withColumn("_new", F.lit(1)))
-    copy = scratch(spark, f"{name}-merged")
-    latest_rows(both, [*keys, _PART], ["_new", *order]).select(*incoming.columns).write.parquet(copy)
+    spark = rows.sparkSession
+    loads = [load for load in _change_loads(spark, root).values() if runs is None or load[1] in runs]
+    if not loads:
+        return rows
+    changes, changed = _changes(spark, root, loads), F.coalesce(F.col(_PART).isin(sorted({run for _, run, _ in loads})), F.lit(False))
+    last = latest_rows(changes.drop(_LOAD), [*SLOT, _PART], [_SEQUENCE]).select(*rows.columns)
+    kept = unseen_slots(rows.filter(changed), changes)
+    return rows.filter(~changed).unionByName(kept).unionByName(last)
+
+
+def _upsert_prompts(incoming: DataFrame, root: str, order: list[str]) -> None:
+    """Add rows; the new row of a prompt replaces the old. ``incoming`` must not read from the table itself.
+
+    The table is merged from storage, as it can't be overwritten while it is being read; the merged copy is removed afterwards.
+    """
+    spark, path, copy = incoming.sparkSession, table_path(root, "prompts"), scratch(incoming.sparkSession, "prompts-merged")
+    incoming = incoming.withColumn(_PART, F.lit("all"))
+    known = spark.read.schema(incoming.schema).parquet(path).withColumn("_new", F.lit(0))
+    both = known.unionByName(incoming.withColumn("_new", F.lit(1)))
+    latest_rows(both, ["prompt_id", _PART], ["_new", *order]).select(*incoming.columns).write.parquet(copy)
     merged = spark.read.schema(incoming.schema).parquet(copy)
-    added = latest_rows(incoming.join(met, _PART, "left_anti"), [*keys, _PART], order)
+    (merged.hint("rebalance", F.col(_PART)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(_PART).parquet(path))
+    remove(spark, copy)
+
+
+def _upsert_responses(rows: DataFrame, root: str, order: list[str]) -> None:
+    """Append answers of new slots, and write those of stored slots as changes.
+
+    Of the stored answers only the slots of the runs met are read. New slots come first: an upsert that breaks off before its changes are published and
+    is repeated finds them stored and writes them as changes to themselves.
+    """
+    spark, path = rows.sparkSession, table_path(root, "llm_responses")
+    rows = latest_rows(rows.withColumn(_PART, _run_part()), [*SLOT, _PART], order)
+    slots = spark.read.schema(T.StructType([*TABLES["llm_responses"].fields, T.StructField(_PART, T.StringType())])).parquet(path)
+    known = (slots.join(rows.select(_PART).distinct(), _PART, "left_semi")
+             .select(*[F.col(c).alias(f"known_{c}") for c in SLOT], F.lit(True).alias("known")).distinct())
+    same = [rows[c].eqNullSafe(known[f"known_{c}"]) for c in SLOT]
+    incoming = stored(rows.join(known, same[0] & same[1] & same[2], "left").select(*rows.columns, "known"), "answers-incoming")
+    added, replaced = (incoming.filter(c).drop("known") for c in (F.col("known").isNull(), F.col("known")))
     added.hint("rebalance", F.col(_PART)).write.mode("append").partitionBy(_PART).parquet(path)
-    if not merged.isEmpty():
+    if not replaced.isEmpty():
+        sequence = 1 + max((n for n, _, _ in _change_loads(spark, root).values()), default=0)
+        named = replaced.withColumns({_SEQUENCE: F.lit(sequence).cast("long"), "_load_name": F.concat(F.lit(f"{sequence}:{uuid.uuid4().hex}:"), _PART)})
+        _append(named, root, CHANGES, _PART, F.col("_load_name"), None)
+    release(incoming)
+
+
+def compact_responses(spark: SparkSession, root: str, share: float = 0.1) -> int:
+    """Fold the changes of runs into the answers table and say how many runs that were.
+
+    A run is rewritten once its changes come to ``share`` of its stored answers; 0 folds all. Changes leave the ledger after the run is written, so a
+    compaction that breaks off in between is made up for by the next; changes that come in meanwhile stay. No other writer may append
+    to these runs at the same time. ``sweep_loads`` of ``CHANGES`` deletes the folders.
+    """
+    loads = _change_loads(spark, root)
+    if not loads:
+        return 0
+    fields = T.StructType([*TABLES["llm_responses"].fields, T.StructField(_PART, T.StringType())])
+    answers, changes = spark.read.schema(fields).parquet(table_path(root, "llm_responses")), _changes(spark, root, list(loads.values()))
+    counts = [rows.groupBy(_PART).agg(F.count(F.lit(1)).alias(name)) for rows, name in
+              ((answers.filter(F.col(_PART).isin(sorted({run for _, run, _ in loads.values()}))), "n_stored"), (changes, "n_changed"))]
+    due = [row[0] for row in counts[1].join(counts[0], _PART).filter(F.col("n_changed") >= share * F.col("n_stored")).select(_PART).collect()]
+    if due:
+        merged = stored(_with_changes(answers.filter(F.col(_PART).isin(due)), root, set(due)), "answers-merged")
         (merged.hint("rebalance", F.col(_PART)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(_PART).parquet(path))
-    remove(spark, copy)
+         .partitionBy(_PART).parquet(table_path(root, "llm_responses")))
+        ledger.withdraw(spark, root, CHANGES, [name for name, (_, run, _) in loads.items() if run in due])
+        release(merged)
+    return len(due)
 
 
 def save_responses(df: DataFrame, root: str, mode: str = "upsert", order: list[str] | None = None) -> None:
-    """Store answers. ``upsert``: last one per slot wins, within the batch by ``order``; ``append``: keep all."""
+    """Store answers. ``upsert``: last one per slot wins, within the batch by ``order``; ``append``: keep all.
+
+    An upsert of a slot that ``append`` has stored several times replaces all of its answers.
+    """
     rows = conform(df, "llm_responses")
     if mode == "upsert":
         rest = [c for c in rows.columns if c not in SLOT and c != "created_at"]
-        _upsert(rows, root, "llm_responses", order or ["created_at", *rest])
+        _upsert_responses(rows, root, order or ["created_at", *rest])
     else:
-        (rows.withColumn(_PART, _UPSERTED["llm_responses"][1]()).hint("rebalance", F.col(_PART))
+        (rows.withColumn(_PART, _run_part()).hint("rebalance", F.col(_PART))
          .write.mode("append").partitionBy(_PART).parquet(table_path(root, "llm_responses")))
 
 
@@ -210,7 +288,7 @@ def upsert_prompts(df: DataFrame, root: str, at: Column | None = None) -> None:
     # Kept on storage first: the frame may itself come from the table.
     copy = scratch(df.sparkSession, "prompts-incoming")
     rows.withColumn(_DELETED, F.lit(False)).write.parquet(copy)
-    _upsert(df.sparkSession.read.parquet(copy), root, "prompts", ["created_at", "prompt_text", "category", "target_brands"])
+    _upsert_prompts(df.sparkSession.read.parquet(copy), root, ["created_at", "prompt_text", "category", "target_brands"])
     remove(df.sparkSession, copy)
 
 
@@ -254,5 +332,5 @@ def delete_prompts(ids: DataFrame, root: str) -> int:
     """Delete prompts by id and say how many existed. The rows stay as marked ones that no reader sees."""
     wanted = ids.select("prompt_id").distinct()
     gone = stored(read_table(ids.sparkSession, root, "prompts").join(wanted, "prompt_id", "left_semi"), "deleted-prompts")
-    _upsert(gone.withColumn(_DELETED, F.lit(True)), root, "prompts", ["created_at"])
+    _upsert_prompts(gone.withColumn(_DELETED, F.lit(True)), root, ["created_at"])
     return gone.count()

@@ -1,5 +1,7 @@
 import json
 from datetime import datetime
+from pathlib import Path
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,87 @@ def test_append_keeps_all_answers(spark, root):
     assert tables.read_table(spark, root, "llm_responses").count() == 2
 
 
+def answer_files(root, name="llm_responses"):
+    return {str(p): p.stat().st_mtime_ns for p in Path(tables.table_path(root, name)).rglob("*.parquet")}
+
+
+def texts(spark, root, **bounds):
+    rows = tables.read_table(spark, root, "llm_responses", **bounds).collect()
+    return sorted((r.run_id or "", r.prompt_id or "", r.response_text, r.created_at.day) for r in rows)
+
+
+def test_an_answer_sent_again_writes_one_small_file(spark, root):
+    tables.save_responses(spark.createDataFrame([answer("r1", f"t{i}", prompt=f"p{i}") for i in range(500)], ANSWER), root)
+    before = answer_files(root)
+    tables.save_responses(spark.createDataFrame([answer("r1", "again", 2, "p7")], ANSWER), root)
+    assert answer_files(root) == before  # nothing rewritten
+    assert len(answer_files(root, tables.CHANGES)) == 1
+    got = texts(spark, root)
+    assert len(got) == 500 and ("r1", "p7", "again", 2) in got
+
+
+def test_upserts_and_compactions_in_any_order_equal_a_plain_dictionary(spark, root):
+    random, expected = Random(5), {}
+    for step in range(6):
+        rows = [(random.choice(["a", "a-t0", "a-t1", "b:1", "c d/e%", "", None]), random.choice(["p", "q", None]), "openai", f"s{step}-{i}", i,
+                 datetime(2026, 1, 1 + random.randrange(28))) for i in range(12)]
+        for row in sorted(rows, key=lambda r: (r[5], r[4])):
+            expected[row[:3]] = row
+        tables.save_responses(spark.createDataFrame(rows, ANSWER), root, order=["created_at", "latency_ms"])
+        if step in (2, 4):
+            tables.compact_responses(spark, root, share=0 if step == 2 else 0.8)
+        assert texts(spark, root) == sorted((r[0] or "", r[1] or "", r[3], r[5].day) for r in expected.values())
+    for run in ("a", "b:1", "c d/e%"):
+        mine = sorted((r[0], r[1] or "", r[3], r[5].day) for r in expected.values() if r[0] and r[0].split("-t")[0] == run)
+        assert texts(spark, root, runs=[run]) == mine
+    late = sorted((r[0] or "", r[1] or "", r[3], r[5].day) for r in expected.values() if r[5].day >= 15)
+    assert texts(spark, root, since="2026-01-15") == late  # a change may have moved an answer into or out of the range
+
+
+def test_compaction_folds_what_is_large_and_reads_are_plain_again(spark, root):
+    rows = [answer(run, "old", prompt=f"p{i}") for run in ("few", "many") for i in range(20)]
+    tables.save_responses(spark.createDataFrame(rows, ANSWER), root)
+    sent = [answer("few", "new", 2, "p0"), *[answer("many", "new", 2, f"p{i}") for i in range(10)]]
+    tables.save_responses(spark.createDataFrame(sent, ANSWER), root)
+    seen = texts(spark, root)
+    assert [text for *_, text, _ in seen].count("new") == 11
+    kept = {p: t for p, t in answer_files(root).items() if "=few" in p}
+    assert tables.compact_responses(spark, root, share=0.3) == 1 and texts(spark, root) == seen
+    assert {p: t for p, t in answer_files(root).items() if "=few" in p} == kept
+    assert tables.compact_responses(spark, root, share=0) == 1 and texts(spark, root) == seen
+    assert tables.compact_responses(spark, root, share=0) == 0
+    plan = tables.read_table(spark, root, "llm_responses")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
+    assert tables.sweep_loads(spark, root, tables.CHANGES, older_than=0) == 2 and not answer_files(root, tables.CHANGES)
+
+
+def test_runs_without_changes_are_read_without_a_join(spark, root):
+    tables.save_responses(spark.createDataFrame([answer("a", "x"), answer("b", "x")], ANSWER), root)
+    tables.save_responses(spark.createDataFrame([answer("a", "y")], ANSWER), root)
+    plan = tables.read_table(spark, root, "llm_responses", runs=["b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and texts(spark, root, runs=["b"]) == [("b", "p", "x", 1)]
+
+
+@pytest.mark.parametrize("broken", ["publish", "withdraw"])
+def test_a_broken_off_upsert_or_compaction_is_made_up_for(spark, root, monkeypatch, broken):
+    old, new = ([answer("r", t, d, f"p{i}") for i in range(n)] for t, d, n in (("old", 1, 2), ("new", 2, 3)))
+    def lost(*_):
+        raise OSError("lost")
+    tables.save_responses(spark.createDataFrame(old, ANSWER), root)
+    with monkeypatch.context() as patch:
+        patch.setattr(tables.ledger, broken, lost)
+        with pytest.raises(OSError):
+            tables.save_responses(spark.createDataFrame(new, ANSWER), root)
+            tables.compact_responses(spark, root, share=0)
+    expected = [("r", f"p{i}", "new", 2) for i in range(3)]
+    if broken == "publish":
+        assert texts(spark, root) == [("r", "p0", "old", 1), ("r", "p1", "old", 1), expected[2]]
+        tables.save_responses(spark.createDataFrame(new, ANSWER), root)
+    assert texts(spark, root) == expected
+    tables.compact_responses(spark, root, share=0)
+    assert texts(spark, root) == expected
+
+
 def test_latest_rows_of_a_hot_key(spark):
     rows = spark.range(100_000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) AS k", "id AS at", "concat('v', id) AS v")
     got = tables.latest_rows(rows, ["k"], ["at"])
