@@ -3,6 +3,8 @@
 Facts are reduced before they meet another table: a category metric first aggregates to
 (prompt, brand) grain, so a prompt or brand holding a large part of all rows is folded by the
 map-side partial aggregate and no join ever sees it as more than a handful of rows.
+
+Visibility, trends and alerts take mentions either as rows or as their daily sums, see :func:`daily_sums` and ``tables.read_days``.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +35,24 @@ def _resum() -> list[Column]:
     return [F.sum(name).alias(name) for name in _SUMS]
 
 
+def are_daily(mentions: DataFrame) -> bool:
+    return {"day", *_SUMS} <= set(mentions.columns)
+
+
+def sums_of(mentions: DataFrame) -> list[Column]:
+    """The additive parts, from rows or from daily sums."""
+    return _resum() if are_daily(mentions) else _mention_sums()
+
+
+def day_of(mentions: DataFrame) -> Column:
+    return F.col("day") if are_daily(mentions) else F.to_date("created_at")
+
+
+def daily_sums(mentions: DataFrame, *extra: str) -> DataFrame:
+    """One row per day, prompt and brand (and ``extra`` columns) with the additive parts; sums may be summed again, so they merge in any order."""
+    return mentions.groupBy(*extra, day_of(mentions).alias("day"), "prompt_id", "brand").agg(*sums_of(mentions))
+
+
 def _measures(slots: Column) -> list[Column]:
     return [
         F.col("mentions"),
@@ -72,7 +92,7 @@ def visibility_summary(mentions: DataFrame, responses: DataFrame,
     """Per brand: mentions, average position, sentiment rates and share of all answer slots."""
     slots = distinct_slots(responses, slot).agg(F.count(F.lit(1)).alias("slots"))
     return (only_brands(mentions, brands or None)
-            .groupBy("brand").agg(*_mention_sums())
+            .groupBy("brand").agg(*sums_of(mentions))
             .select("brand", *_measures(slots.scalar()))
             .orderBy(F.desc("mentions"), "brand"))
 
@@ -85,7 +105,7 @@ def visibility_by_category(mentions: DataFrame, responses: DataFrame, prompts: D
     An empty brand list gives an empty result; ``None`` means no brand filter.
     """
     scope = only_category(prompts, category)
-    per_prompt = only_brands(mentions, brands).groupBy("prompt_id", "brand").agg(*_mention_sums())
+    per_prompt = only_brands(mentions, brands).groupBy("prompt_id", "brand").agg(*sums_of(mentions))
     per_brand = per_prompt.join(scope, "prompt_id").groupBy("category", "brand").agg(*_resum())
     return (per_brand.join(slots_by_category(responses, scope, slot=slot), "category", "left")
             .select("category", "brand", *_measures(F.col("slots")))
@@ -99,8 +119,8 @@ def only_brand(df: DataFrame, brand: str | None) -> DataFrame:
 def position_trend(mentions: DataFrame, brand: str | None = None) -> DataFrame:
     """Daily average position and mention count."""
     return (only_brand(mentions, brand)
-            .groupBy("brand", F.to_date("created_at").alias("date"))
-            .agg(F.avg("position").alias("avg_position"), F.count(F.lit(1)).alias("mention_count"))
+            .groupBy("brand", day_of(mentions).alias("date")).agg(*sums_of(mentions))
+            .select("brand", "date", F.try_divide("position_sum", "position_count").alias("avg_position"), F.col("mentions").alias("mention_count"))
             .orderBy("brand", "date"))
 
 
@@ -110,10 +130,9 @@ def sentiment_trend(mentions: DataFrame, brand: str | None = None, window: int =
 
     The rolling mean spans the last ``window`` days that have mentions; ``calendar=True`` spans calendar days.
     """
-    score = F.when(F.col("sentiment") == "positive", 1.0).when(F.col("sentiment") == "negative", -1.0).otherwise(0.0)
     daily = (only_brand(mentions, brand)
-             .groupBy("brand", F.to_date("created_at").alias("date"))
-             .agg(F.avg(score).alias("sentiment_score"), F.count(F.lit(1)).alias("mentions")))
+             .groupBy("brand", day_of(mentions).alias("date")).agg(*sums_of(mentions))
+             .select("brand", "date", ((F.col("positive") - F.col("negative")) / F.col("mentions")).alias("sentiment_score"), "mentions"))
     if calendar:
         frame = Window.partitionBy("brand").orderBy(F.unix_date("date")).rangeBetween(1 - window, 0)
     else:

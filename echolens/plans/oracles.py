@@ -405,6 +405,9 @@ def oracle_sql() -> dict[str, str]:
     sql["recommend"] = f"""SELECT brand AS target, unnest(range(1, 1 + least(5, count(*)))) AS rank, 'gbt' AS model_used, true AS ordered FROM {matrix} GROUP BY brand
  UNION ALL SELECT 'Nobody', unnest(range(1, 6)), 'rule_based', true"""
     sql["alert_stream"] = with_(STAR, VISIBILITY, ALERT_COMPAT.replace("75.5", "15")) + "SELECT category, brand, current, previous, reason FROM alerts WHERE triggered"
+    sql["stored_daily_sums"] = star + """SELECT CAST(created_at AS DATE) AS day, prompt_id, brand, count(*) AS mentions, CAST(sum(position) AS BIGINT) AS position_sum,
+ count(position) AS position_count, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'negative') AS negative FROM brand_mentions GROUP BY 1, 2, 3"""
+    sql["position_trend_from_sums"], sql["visibility_alerts_from_sums"] = sql["position_trend"], sql["visibility_alerts"]
     sql["compact_responses"] = sql["save_responses"]  # late answers are stored last, whatever is folded in
     for name, columns in _INTEGERS.items():
         casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)

@@ -98,6 +98,34 @@ def save_mentions(spark, sf):
     return tables.read_table(spark, root, "brand_mentions").select(*SLOT, "brand", "position", "sentiment", "created_at")
 
 
+def _days(spark, sf) -> DataFrame:
+    """Stored daily sums after a load per provider out of order, one of which first held other rows and one of which is taken out and loaded again."""
+    root, rows = scratch(spark, "tables"), a.star_mentions(spark, sf)
+    tables.create_tables(spark, root)
+    tables.save_mentions(rows.withColumn("brand", F.lit("replaced")), root, load="gemini")
+    tables.save_mentions(rows, root, load=F.coalesce("provider", F.lit("none")))
+    again = rows.filter(F.col("provider") == "openai")
+    tables.clear_loads(spark, root, "brand_mentions", ["openai"])
+    tables.save_mentions(again, root, load="openai")
+    return tables.read_days(spark, root)
+
+
+@query
+def stored_daily_sums(spark, sf):
+    return _days(spark, sf)
+
+
+@query
+def position_trend_from_sums(spark, sf):
+    return metrics.position_trend(_days(spark, sf))
+
+
+@query
+def visibility_alerts_from_sums(spark, sf):
+    _, responses, prompts = _star(spark, sf)
+    return alerts.visibility_alerts(_days(spark, sf), responses, prompts, threshold=75.5).drop("mentions")
+
+
 @query
 def save_citations(spark, sf):
     root = scratch(spark, "tables")

@@ -1,7 +1,7 @@
 """The product tables as partitioned Parquet folders under one root.
 
-Mentions and citations are append-only and partitioned by month and the folder of their load, see :mod:`ledger`; what was found in the trials of voted
-runs is kept likewise, by run. Answers are upserted and partitioned by their run (without its trial suffix): an upsert appends answers of new slots to
+Mentions and citations are append-only and partitioned by month and the folder of their load, see :mod:`ledger`, with the daily sums of each load of mentions beside
+them; what was found in the trials of voted runs is kept likewise, by run. Answers are upserted and partitioned by their run (without its trial suffix): an upsert appends answers of new slots to
 the table and those of stored slots to a table of changes beside it, so it rewrites nothing, whatever the size of the run. Readers put both together;
 :func:`compact_responses` folds the changes in. Prompts are a dimension and rewritten as a whole.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echolens.operators.answers import base_run
+from echolens.operators.metrics import daily_sums
 from echolens.schemas import SLOT, TABLES
 from echolens.session import release, remove, scratch, stored
 from echolens.sources import ledger
@@ -21,6 +22,10 @@ _PART, _MONTH, _LOAD, _DELETED = "part_key", "event_month", "load_id", "deleted"
 #: Answers that replace stored ones of their slot, until they are folded in. ``_SEQUENCE`` counts the upserts, later ones win.
 CHANGES = "response_changes"
 _SEQUENCE = "sequence"
+#: Sums per day, prompt and brand of each load of mentions, in a folder of the load's name; they count while the load is in the ledger.
+DAYS = "mention_days"
+_DAYS = T.StructType([T.StructField("day", T.DateType()), *[T.StructField(c, T.StringType()) for c in ("prompt_id", "brand")],
+                      *[T.StructField(c, T.LongType()) for c in ("mentions", "position_sum", "position_count", "positive", "negative")]])
 #: What was found in single trials, for votes over trials that come in one after the other.
 TRIALS = "vote_trials"
 _NO_RUN = "none"
@@ -37,7 +42,7 @@ def table_path(root: str, name: str) -> str:
 
 def create_tables(spark: SparkSession, root: str) -> None:
     """Create missing tables as empty folders; existing ones stay as they are."""
-    for name, schema in TABLES.items():
+    for name, schema in {**TABLES, DAYS: _DAYS}.items():
         spark.createDataFrame([], schema).write.mode("ignore").parquet(table_path(root, name))
 
 
@@ -103,7 +108,9 @@ def clear_loads(spark: SparkSession, root: str, name: str, loads: list[str]) ->
 
 
 def sweep_loads(spark: SparkSession, root: str, name: str, older_than: float = 86_400) -> int:
-    """Delete what replaced, withdrawn and broken-off loads have left, once it is ``older_than`` seconds old."""
+    """Delete what replaced, withdrawn and broken-off loads have left, once it is ``older_than`` seconds old; says how many folders of the table went."""
+    if name == "brand_mentions":
+        ledger.sweep(spark, root, name, table_path(root, DAYS), _LOAD, older_than)
     return ledger.sweep(spark, root, name, table_path(root, name), _LOAD, older_than)
 
 
@@ -135,9 +142,34 @@ def _append(rows: DataFrame, root: str, name: str, part: str, load: str | Column
         folders = {call if load is None else load: call}
         rows = rows.withColumn(_LOAD, F.lit(call))
     rows.hint("rebalance", F.col(part)).write.partitionBy(part, _LOAD).mode("append").parquet(table_path(root, name))
+    if name == "brand_mentions":
+        _write_days(rows.sparkSession, root, list(folders.values()))
     ledger.publish(rows.sparkSession, root, name, folders)
 
 
+def _write_days(spark: SparkSession, root: str, folders: list[str]) -> None:
+    """Sum loads of mentions that are written and not yet published, into folders of the same names, so that one rename brings both into view."""
+    place = [T.StructField(n, T.StringType()) for n in (_MONTH, _LOAD)]
+    rows = spark.read.schema(T.StructType([*TABLES["brand_mentions"].fields, *place])).parquet(table_path(root, "brand_mentions"))
+    sums = daily_sums(rows.filter(F.col(_LOAD).isin(folders)), _MONTH, _LOAD)
+    sums.hint("rebalance", F.col(_MONTH)).write.partitionBy(_MONTH, _LOAD).mode("append").parquet(table_path(root, DAYS))
+
+
+def read_days(spark: SparkSession, root: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Stored mentions as sums per day, prompt and brand, what ``metrics.daily_sums`` makes of all of them, without reading any.
+
+    A load that is replaced or withdrawn takes its sums with it, and a load of past days adds to them. ``since`` and ``until`` are days as text, both
+    included. Days are those of the time zone of the session that stored the mentions.
+    """
+    place = [T.StructField(n, T.StringType()) for n in (_MONTH, _LOAD)]
+    rows = spark.read.schema(T.StructType([*_DAYS.fields, *place])).parquet(table_path(root, DAYS))
+    if since is not None:
+        rows = rows.filter((F.col("day") >= F.lit(since).cast("date")) & F.col(_MONTH).between(since[:7], "9999-12"))
+    if until is not None:
+        rows = rows.filter((F.col("day") <= F.lit(until).cast("date")) & (F.col(_MONTH) <= until[:7]))
+    return daily_sums(ledger.listed(rows, root, "brand_mentions", _LOAD).select(*_DAYS.fieldNames()))
+
+
 def save_trials(parsed: DataFrame, root: str, load: str) -> None:
     """Keep what was found in single trials, by run."""
     _append(parsed.withColumn(_PART, F.coalesce(base_run(), F.lit("none"))), root, TRIALS, _PART, load, None)

@@ -523,3 +523,50 @@ def test_alerts_from_the_latest_months_equal_those_from_all(spark, root):
     assert recent.count() == 5  # March to May
     all_rows = [tables.read_table(spark, root, t) for t in ("brand_mentions", "llm_responses", "prompts")]
     assert visibility_alerts(*all_rows, recent=recent).collect() == visibility_alerts(*all_rows).collect()
+
+
+def test_daily_sums_equal_a_recount_after_any_order_of_loads(spark, root):
+    from echolens.operators import metrics
+    from echolens.operators.alerts import visibility_alerts
+    random = Random(3)
+    def load(name, n):
+        rows = [(f"r{random.randrange(9)}", random.choice(["p", "q"]), "openai", random.choice(["Asana", "Jira", None]), random.choice([1, 2, 7, None]),
+                 random.choice(["positive", "negative", "neutral", None]), "s", random.choice([None, *[datetime(2026, m, d, 23) for m in (1, 2) for d in (1, 2, 28)]])) for _ in range(n)]
+        tables.save_mentions(spark.createDataFrame(rows, TABLES["brand_mentions"]), root, load=name)
+    key = lambda df: sorted(map(str, df.collect()))
+    def compare():
+        for bounds in ({}, {"since": "2026-01-28", "until": "2026-02-01"}):
+            rows, days = tables.read_table(spark, root, "brand_mentions", **bounds), tables.read_days(spark, root, **bounds)
+            assert key(days) == key(metrics.daily_sums(rows).select(*days.columns)) and days.columns == metrics.daily_sums(rows).columns
+        return rows
+    compare()
+    for name, n in (("x", 40), ("y", 30), ("x", 25), (None, 10), ("y", 0)):
+        load(name, n)
+        compare()
+    tables.clear_loads(spark, root, "brand_mentions", ["x"])
+    load("late", 20)
+    compare()
+    tables.sweep_loads(spark, root, "brand_mentions", older_than=0)
+    compare()
+    tables.save_responses(spark.createDataFrame([answer(f"r{i}", "x", 1 + i, p) for i in range(12) for p in "pq"], ANSWER), root)
+    tables.upsert_prompts(prompts(spark, "p", "q"), root)
+    rows, days = tables.read_table(spark, root, "brand_mentions"), tables.read_days(spark, root)
+    answers, known = (tables.read_table(spark, root, t) for t in ("llm_responses", "prompts"))
+    for mode in ("compat", "slots"):
+        assert visibility_alerts(rows, answers, known, mode=mode).collect() == visibility_alerts(days, answers, known, mode=mode).collect()
+    assert metrics.visibility_summary(rows, answers).collect() == metrics.visibility_summary(days, answers).collect()
+    for trend in (metrics.position_trend, metrics.sentiment_trend):
+        assert trend(rows).collect() == trend(days).collect() and trend(rows, "Asana").collect() == trend(days, "Asana").collect()
+    assert all(f"/{tables.DAYS}/" in f or "/loads/" in f for f in days.inputFiles())
+
+
+def test_a_writer_lost_before_it_publishes_leaves_the_old_sums(spark, root, monkeypatch):
+    tables.save_mentions(mention_rows(spark, "old"), root, load="l")
+    before = sorted(tables.read_days(spark, root).collect())
+    def lost(*_):
+        raise OSError("lost")
+    with monkeypatch.context() as patch:
+        patch.setattr(tables.ledger, "publish", lost)
+        with pytest.raises(OSError):
+            tables.save_mentions(mention_rows(spark, "new").unionByName(mention_rows(spark, "more")), root, load="l")
+    assert sorted(tables.read_days(spark, root).collect()) == before
