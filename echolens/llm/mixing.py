@@ -117,13 +117,20 @@ def _fitted(cells: DataFrame, most: float) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``; columns of these names in ``docs`` are replaced."""
     added = ("size", "source_size", "target", "rate", "copies")
-    return _dealt(docs, weights, most).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+    return _dealt(docs, weights, most).select(*[F.col(_kept(i)).alias(c) for i, c in enumerate(docs.columns) if c not in added], *added)
+
+
+def _kept(i: int) -> str:
+    return f"_row{i}"
 
 
 def _dealt(docs: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
-    """What :func:`mix` adds, beside the whole document in the column ``row``, where its names can't meet those used here."""
-    own = ["doc_id", "source", "row"]
-    measured = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_count(F.col("text")).alias("size"))
+    """What :func:`mix` adds, beside all columns of the document by number, so that their names can't meet those used here.
+
+    They are columns of their own and not one struct, which would go through the shuffles whole where a caller reads a part of it.
+    """
+    own = ["doc_id", "source", *[_kept(i) for i in range(len(docs.columns))]]
+    measured = docs.select("doc_id", "source", *[F.col(f"`{c}`").alias(_kept(i)) for i, c in enumerate(docs.columns)], word_count(F.col("text")).alias("size"))
     cells = stored(measured.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
     totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     goals = targets(totals.select("source", "source_size"), weights, most).join(
@@ -161,4 +168,4 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """The mix itself: every document as often as it is taken, all of its columns as they are, numbered from 1 by ``copy`` unless ``docs`` has such a column."""
     mixed = _dealt(docs, weights, most).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return mixed.select("row.*", *([] if "copy" in docs.columns else ["copy"]))
+    return mixed.select(*[F.col(_kept(i)).alias(c) for i, c in enumerate(docs.columns)], *([] if "copy" in docs.columns else ["copy"]))

@@ -499,3 +499,14 @@ def test_samples_are_filled_from_usable_texts(spark):
     labels = [(i, i // 10 % 2) for i in range(600)]
     found = samples.labelled_sample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), "quality", [0, 1], 15, 100)
     assert [sum(y == label for _, y in found) for label in (0, 1)] == [15, 15]
+
+
+def test_mixing_shuffles_no_text_that_nobody_reads(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "word " * (i % 7)) for i in range(40)], "doc_id long, source string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = mixing.mix(docs).select("doc_id", "copies")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in text and "named_struct(" not in text and "AS _row2" not in text
