@@ -3,7 +3,9 @@
 import threading
 import time
 
-from echolens.operators import fanout, requests, sentiment
+from pyspark.sql import functions as F
+
+from echolens.operators import fanout, numbering, requests, sentiment
 from echolens.operators.calls import ask_all
 
 
@@ -95,3 +97,12 @@ def test_operators_ask_several_at_a_time(spark):
 
     records = {r.id: r for r in fanout.collect_fanout(asked, searcher, 1, width=5, retries=1).collect()}
     assert (records["5"].error, records["5"].n_queries) == ("gone", 0) and records["6"].fanout_queries == ["best 6", "more"]
+
+
+def test_slices_of_a_key_are_found_without_comparing_every_cut(spark):
+    """Numbers are right over many slices, and a row is compared with blocks of the cuts, not with all of them at once."""
+    rows = spark.range(3_000).select((F.col("id") * 7 % 3_000).alias("id"))
+    numbered = numbering.number_rows(rows, ["id"], slices=90)
+    assert numbered.filter("row_number <> id + 1").isEmpty() and numbered.count() == 3_000
+    text = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("filter(") > 2  # a list of cuts per block
