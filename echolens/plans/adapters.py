@@ -1,5 +1,7 @@
 """The product tables derived from the driver's star schema and documents."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +51,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Line items of one task, so that a task's memory stays the same whatever the size of the tables.
+TASK_ROWS = 500_000
+
+
+def _tasks(lines: DataFrame) -> int:
+    """Tasks for facts of these line items; their number comes from the files' footers."""
+    return max(lines.sparkSession.sparkContext.defaultParallelism, math.ceil(lines.count() / TASK_ROWS))
+
+
 def _provider(number: Column) -> Column:
     return lookup(number % 3, {0: "openai", 1: "anthropic"}, "gemini")
 
 
 def _order_slot() -> list[Column]:
     key = F.col("o_orderkey")
-    return [F.concat(F.lit("r"), (key % 50).cast("string")).alias("run_id"),
-            F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("prompt_id"), _provider(key).alias("provider")]
+    return [F.concat(F.lit("r"), (key % 50).cast("string")).alias("run_id"), _prompt(), _provider(key).alias("provider")]
+
+
+def _prompt() -> Column:
+    return F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("prompt_id")
+
+
+def _slot_numbers() -> list[Column]:
+    """The slot of an order with numbers for its run and provider, which are shorter to deal out and to group by."""
+    return [(F.col("o_orderkey") % 50).alias("run_no"), _prompt(), lookup(F.col("o_orderkey") % 3, {0: 0, 1: 1}, 2).alias("provider_no")]
+
+
+def _named_slot() -> list[Column]:
+    return [F.concat(F.lit("r"), F.col("run_no").cast("string")).alias("run_id"), F.col("prompt_id"), _provider(F.col("provider_no")).alias("provider")]
 
 
 @_adapter
@@ -85,30 +108,41 @@ def star_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.min("created_at").alias("created_at"), F.max("latency_ms").alias("latency_ms"), F.max("error").alias("error")))
 
 
+def _ordered_lines(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, int]:
+    """Line items with their order, and the number of tasks they are dealt to."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    tasks = _tasks(lines)
+    # Both sides of this join grow with the data, so it is a shuffle join at any scale that matters.
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderdate").repartition(tasks, "o_orderkey").hint("merge")
+    lines = lines.select("l_orderkey", *columns).repartition(tasks, "l_orderkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), tasks
+
+
 @_adapter
 def star_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, parts = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
-    # Both sides of this join grow with the data, so it is a shuffle join at any scale that matters.
-    orders = orders.select("o_orderkey", "o_custkey", "o_orderdate").hint("merge")
-    return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .select(*_order_slot(), F.col("p_brand").alias("brand"), "l_linenumber", "l_returnflag", "o_orderdate")
-            .groupBy("run_id", "prompt_id", "provider", "brand")
-            .agg(F.min("l_linenumber").alias("position"), lookup(F.min("l_returnflag"), {"A": "positive", "R": "negative"}, "neutral").alias("sentiment"),
-                 F.min("o_orderdate").cast("timestamp").alias("created_at")))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    lines, tasks = _ordered_lines(spark, sf_dir, "l_partkey", "l_linenumber", "l_returnflag")
+    return (lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+            .select(*_slot_numbers(), F.col("p_brand").alias("brand"), "l_linenumber", "l_returnflag", "o_orderdate").repartition(tasks, "prompt_id")
+            .groupBy("run_no", "prompt_id", "provider_no", "brand")
+            .agg(F.min("l_linenumber").alias("position"), F.min("l_returnflag").alias("flag"), F.min("o_orderdate").alias("day"))
+            .select(*_named_slot(), "brand", "position", lookup(F.col("flag"), {"A": "positive", "R": "negative"}, "neutral").alias("sentiment"),
+                    F.col("day").cast("timestamp").alias("created_at")))
 
 
 @_adapter
 def star_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").hint("merge")
-    domain = lookup(F.col("l_suppkey") % 14, dict(enumerate(_STAR_DOMAINS)))
-    return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(*_order_slot(), F.concat(F.lit("https://"), domain, F.lit("/"), F.col("l_partkey").cast("string")).alias("url"),
-                    domain.alias("domain"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
-            .groupBy("run_id", "prompt_id", "provider", "url", "domain").agg(F.min("created_at").alias("created_at"))
-            .withColumn("domain_type", classify_domain(F.col("domain"))))
+    lines, tasks = _ordered_lines(spark, sf_dir, "l_partkey", "l_suppkey")
+    number = F.col("l_suppkey") % 14
+    # Without a domain there is no URL, whatever the part.
+    number, part = F.when(number >= 0, number), F.when(number >= 0, F.col("l_partkey"))
+    domain = lookup(F.col("domain_no"), dict(enumerate(_STAR_DOMAINS)))
+    # Types are those of the known domains: a filter on the type would else run the patterns on every line item.
+    kind = lookup(F.col("domain_no"), {i: classify_domain(F.lit(d)) for i, d in enumerate(_STAR_DOMAINS)})
+    return (lines.select(*_slot_numbers(), part.alias("part"), number.alias("domain_no"), "o_orderdate").repartition(tasks, "prompt_id")
+            .groupBy("run_no", "prompt_id", "provider_no", "part", "domain_no").agg(F.min("o_orderdate").alias("day"))
+            .select(*_named_slot(), F.concat(F.lit("https://"), domain, F.lit("/"), F.col("part").cast("string")).alias("url"),
+                    domain.alias("domain"), F.col("day").cast("timestamp").alias("created_at"), kind.alias("domain_type")))
 
 
 @_adapter

@@ -93,3 +93,13 @@ def test_gap_of_many_targets_reads_the_facts_once(star, shuffled):
     text = plan(metrics.competitor_gap(star[0], [f"Brand#{i}" for i in range(125)]))
     initial = text.split("== Initial Plan ==")[-1]
     assert initial.count("FileScan") <= 2  # the total and the part inside share one exchange at run time
+
+
+def test_types_of_citations_run_no_pattern_on_line_items(spark):
+    """A filter on the type reaches the line items; it compares numbers there."""
+    assert "rlike" not in optimized(a.star_citations(spark, SF).filter(F.col("domain_type").isNotNull())).lower()
+
+
+def test_facts_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(a, "TASK_ROWS", 100, raising=False)
+    assert a.star_mentions(spark, SF).rdd.getNumPartitions() >= 60
