@@ -100,7 +100,8 @@ def save_mentions(spark, sf):
 
 def _days(spark, sf) -> DataFrame:
     """Stored daily sums after a load per provider out of order, one of which first held other rows and one of which is taken out and loaded again."""
-    root, rows = scratch(spark, "tables"), a.star_mentions(spark, sf)
+    # Stored: three loads and the search for their names read them.
+    root, rows = scratch(spark, "tables"), stored(a.star_mentions(spark, sf), "mentions")
     tables.create_tables(spark, root)
     tables.save_mentions(rows.withColumn("brand", F.lit("replaced")), root, load="gemini")
     tables.save_mentions(rows, root, load=F.coalesce("provider", F.lit("none")))
