@@ -76,8 +76,10 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, steps: int = 600, rate: flo
     Equal rows, most of all those without any associated word, are worked on once with their number as weight.
     """
     n_thresholds = len(GRADES)
-    rows, number = np.unique(np.column_stack([x, grade]), axis=0, return_counts=True)
-    x, grade, share = rows[:, :-1], rows[:, -1], (number / number.sum())[:, None]
+    # Grades join the rows in the type of the counts, and only the different rows become doubles: the driver holds this matrix.
+    rows, number = np.unique(np.column_stack([x, grade.astype(x.dtype)]), axis=0, return_counts=True)
+    x, grade, share = rows[:, :-1].astype(float), rows[:, -1].astype(float), (number / number.sum())[:, None]
+    del rows
     w, first, gaps = np.zeros(x.shape[1]), 0.0, np.zeros(n_thresholds - 1)
     params = [w, np.array([first]), gaps]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -106,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> Mod
     vocabulary = associated_words(texts, toxic)
     counts = np.concatenate([row_counts(part, vocabulary) for part in slices(pa.array(texts, pa.string()))])
     grade = np.where(toxic == 1, np.searchsorted(GRADES, np.maximum(counts.sum(1), 1), "right"), 0)
-    return Model(vocabulary, *fit_cumulative(np.log1p(counts), grade))
+    return Model(vocabulary, *fit_cumulative(np.log1p(counts, out=counts), grade))
 
 
 def severity(text: Column, model: Model | None) -> Column:

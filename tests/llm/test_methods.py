@@ -510,3 +510,18 @@ def test_mixing_shuffles_no_text_that_nobody_reads(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" in text and "struct(" not in text and "AS _row2" not in text
+
+
+def test_toxicity_training_holds_the_counts_about_once(spark):
+    """Before, the driver held the matrix of counts several times over as doubles."""
+    import tracemalloc
+    x = np.zeros((2000, 1000), np.float32)
+    x[np.arange(1000), np.arange(1000) % 40] = 1
+    tracemalloc.start()
+    try:
+        weights, thresholds = toxicity.fit_cumulative(x, np.where(x.sum(1) > 0, 1, 0), steps=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert weights.shape == (1000,) and weights.dtype == float and (np.diff(thresholds) > 0).all()
+    assert peak < 3 * x.nbytes
