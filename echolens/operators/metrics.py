@@ -161,11 +161,13 @@ def competitor_gap(mentions: DataFrame, targets: list[str] | str, prompts: DataF
     counted = F.explode(F.concat(F.array(F.lit(None).cast("string")), "held"))
     sums = (pairs.withColumn("held", held).select(*keys, "n", "p", "np", counted.alias("target"))
             .groupBy(*keys, "target").agg(*[F.sum(c).alias(c) for c in ("n", "p", "np")]))
-    wanted = F.explode(F.array(*[F.lit(t) for t in targets]))
-    total = sums.filter(F.col("target").isNull()).select(*keys, "n", "p", "np", wanted.alias("target"))
-    inside = sums.filter(F.col("target").isNotNull()).select(*keys, "target", *[F.col(c).alias(f"in_{c}") for c in ("n", "p", "np")])
-    less = lambda c: F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.col(f"in_{c}"), F.lit(0))
-    gaps = (total.filter(F.col("brand") != F.col("target")).join(inside, [*keys, "target"], "left")
+    # A row per brand with its total and a map of its parts by target: joined to each other, the two would each scan all mentions.
+    parts = F.struct("n", "p", "np")
+    inside = F.map_from_entries(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", parts.alias("parts")))))
+    total = sums.groupBy(*keys).agg(F.max(F.when(F.col("target").isNull(), parts)).alias("total"), inside.alias("inside"))
+    wanted = total.select(*keys, "total", "inside", F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
+    less = lambda c: F.coalesce(F.col("total")[c], F.lit(0)) - F.coalesce(F.try_element_at("inside", F.col("target"))[c], F.lit(0))
+    gaps = (wanted.filter(F.col("brand") != F.col("target"))
             .select(*keys, "target", less("n").alias("n"), less("p").alias("p"), less("np").alias("np")).filter(F.col("n") > 0))
     lead = [k for k in keys if k != "brand"]
     return (gaps

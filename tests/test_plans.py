@@ -103,3 +103,8 @@ def test_types_of_citations_run_no_pattern_on_line_items(spark):
 def test_facts_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
     monkeypatch.setattr(a, "TASK_ROWS", 100, raising=False)
     assert a.star_mentions(spark, SF).rdd.getNumPartitions() >= 60
+
+
+def test_gap_scans_the_mentions_once(star, shuffled):
+    text = plan(metrics.competitor_gap(star[0], ["Brand#1", "Brand#2"])).split("== Initial Plan ==")[-1]
+    assert text.count("FileScan") == 1
