@@ -1,24 +1,36 @@
 """Co-occurrence of cited source types and mentioned brands."""
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolens.fixed import DEFAULT_DOMAIN_WEIGHT, DOMAIN_WEIGHTS
 from echolens.functions.numbers import lookup
+from echolens.session import stored
 
 #: Citations and mentions meet on the question and the provider, whatever the run.
 _MEET = ["prompt_id", "provider"]
 
 
-def _brands_per_key(mentions: DataFrame) -> DataFrame:
-    """(prompt, provider, brand) sums: runs with the brand, sum and count of its positions."""
-    per_run = (mentions.dropna(subset=_MEET).groupBy(*_MEET, "brand", "run_id")
-               .agg(F.sum(F.col("position").cast("long")).alias("p"), F.count("position").alias("np")))
-    return (per_run.groupBy(*_MEET, "brand")
-            .agg(F.count("run_id").alias("runs"), F.sum("p").alias("p"), F.sum("np").alias("np")))
+class KeySums(NamedTuple):
+    """Citations and mentions summed per question and provider, those without either included."""
+    domains: DataFrame  # prompt_id, provider, domain_type, domain; cites: citations of a known type
+    brands: DataFrame   # prompt_id, provider, brand; n: mentions, runs: those with the brand, p and np: sum and count of its positions
+
+
+def key_sums(citations: DataFrame, mentions: DataFrame) -> KeySums:
+    """Sums that all features are made from. They are written out, so each fact is derived and read once however many features follow."""
+    domains = (citations.filter(F.col("domain_type").isNotNull())
+               .groupBy(*_MEET, "domain_type", "domain").agg(F.count(F.lit(1)).alias("cites")))
+    per_run = (mentions.groupBy(*_MEET, "brand", "run_id")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("position").cast("long")).alias("p"), F.count("position").alias("np")))
+    brands = (per_run.groupBy(*_MEET, "brand")
+              .agg(F.sum("n").alias("n"), F.count("run_id").alias("runs"), F.sum("p").alias("p"), F.sum("np").alias("np")))
+    return KeySums(stored(domains, "domain-sums"), stored(brands, "brand-sums"))
 
 
-def cooccurrence(citations: DataFrame, mentions: DataFrame) -> DataFrame:
+def cooccurrence(sums: KeySums) -> DataFrame:
     """Per (domain_type, brand): keys and run slots with both, and mean position over the fan-out.
 
     The plain join of the facts grows with the square of the runs per prompt. Both sides are summed to
@@ -26,46 +38,53 @@ def cooccurrence(citations: DataFrame, mentions: DataFrame) -> DataFrame:
     fan-out mean is recovered as Σ citations·position_sum / Σ citations·position_count. The products
     are doubles: exact up to 2^53 and free of overflow beyond.
     """
-    types = (citations.filter(F.col("domain_type").isNotNull()).dropna(subset=_MEET)
-             .groupBy(*_MEET, "domain_type").agg(F.count(F.lit(1)).cast("double").alias("cites")))
-    return (types.join(_brands_per_key(mentions), _MEET).groupBy("domain_type", "brand")
+    types = (sums.domains.dropna(subset=_MEET)
+             .groupBy(*_MEET, "domain_type").agg(F.sum("cites").cast("double").alias("cites")))
+    brands = sums.brands.dropna(subset=_MEET).select(*_MEET, "brand", "runs", "p", "np")
+    return (types.join(brands, _MEET).groupBy("domain_type", "brand")
             .agg(F.count(F.lit(1)).alias("keys"), F.sum("runs").alias("runs"),
                  F.try_divide(F.sum(F.col("cites") * F.col("p")), F.sum(F.col("cites") * F.col("np")))
                  .alias("avg_position_with_source")))
 
 
-def shared_domains(citations: DataFrame, mentions: DataFrame) -> DataFrame:
+def shared_domains(sums: KeySums) -> DataFrame:
     """Distinct domains of a type cited wherever the brand is mentioned.
 
     A key carries its brands as one list (no longer than its prompt's target list), so the join adds no rows
     and a key with very many domains can be split. Opened lists are deduplicated on the map side at once.
     """
-    lists = (mentions.dropna(subset=[*_MEET, "brand"]).select(*_MEET, "brand").distinct()
-             .groupBy(*_MEET).agg(F.collect_list("brand").alias("brands")))
-    domains = (citations.filter(F.col("domain_type").isNotNull()).dropna(subset=[*_MEET, "domain"])
-               .select(*_MEET, "domain_type", "domain").distinct())
+    lists = sums.brands.dropna(subset=[*_MEET, "brand"]).groupBy(*_MEET).agg(F.collect_list("brand").alias("brands"))
+    domains = sums.domains.dropna(subset=[*_MEET, "domain"]).select(*_MEET, "domain_type", "domain")
     return (domains.join(lists, _MEET).select("domain_type", "domain", F.explode("brands").alias("brand"))
             .groupBy("domain_type", "brand").agg(F.count_distinct("domain").alias("unique_domains")))
 
 
 def source_features(citations: DataFrame, mentions: DataFrame) -> DataFrame:
     """Per (domain_type, brand) co-occurrence with the type's citation volume; empty if either side is."""
-    known = citations.filter(F.col("domain_type").isNotNull())
+    return source_features_of(key_sums(citations, mentions))
+
+
+def source_features_of(sums: KeySums) -> DataFrame:
+    """As :func:`source_features`, from sums made once for several uses."""
+    known = sums.domains
     # Two distinct counts in one pass would copy every row per count.
-    volume = (known.groupBy("domain_type", "domain").agg(F.count(F.lit(1)).alias("n"))
+    volume = (known.groupBy("domain_type", "domain").agg(F.sum("cites").alias("n"))
               .groupBy("domain_type").agg(F.sum("n").alias("citation_count"), F.count("domain").alias("unique_domains")))
     spread = (known.select("domain_type", "prompt_id").distinct()
               .groupBy("domain_type").agg(F.count("prompt_id").alias("prompts_with_citations")))
-    pairs = cooccurrence(citations, mentions)
+    pairs = cooccurrence(sums)
     return (pairs.join(volume, "domain_type", "left").join(spread, "domain_type", "left")
             .select("domain_type", "brand", F.col("keys").alias("cooccurrence_count"), "avg_position_with_source",
                     "citation_count", "unique_domains", "prompts_with_citations"))
 
 
 def brand_totals(mentions: DataFrame) -> DataFrame:
-    per_prompt = (mentions.groupBy("brand", "prompt_id")
-                  .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("position").cast("long")).alias("p"),
-                       F.count("position").alias("np")))
+    return _totals(mentions.groupBy("brand", "prompt_id")
+                   .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("position").cast("long")).alias("p"),
+                        F.count("position").alias("np")))
+
+
+def _totals(per_prompt: DataFrame) -> DataFrame:
     return (per_prompt.groupBy("brand")
             .agg(F.sum("n").alias("total_mentions"), F.try_divide(F.sum("p"), F.sum("np")).alias("avg_position"),
                  F.count("prompt_id").alias("prompts_mentioned")))
@@ -86,14 +105,20 @@ def brand_features(mentions: DataFrame, targets: list[str]) -> DataFrame:
 
 def training_matrix(citations: DataFrame, mentions: DataFrame) -> DataFrame:
     """Model features, one row per (domain_type, brand); the type mean includes the brand itself."""
-    pairs = cooccurrence(citations, mentions).select(
+    return training_matrix_of(key_sums(citations, mentions))
+
+
+def training_matrix_of(sums: KeySums) -> DataFrame:
+    """As :func:`training_matrix`, from sums made once for several uses."""
+    pairs = cooccurrence(sums).select(
         "domain_type", "brand", F.col("runs").alias("cooccurrence"), "avg_position_with_source")
     # A window reads the co-occurrences once; at this point a type has one row per brand.
     mean = F.avg("cooccurrence").over(Window.partitionBy("domain_type"))
-    totals = brand_totals(mentions).select("brand", "total_mentions", F.col("avg_position").alias("brand_avg_position"),
+    per_prompt = sums.brands.groupBy("brand", "prompt_id").agg(*[F.sum(c).alias(c) for c in ("n", "p", "np")])
+    totals = _totals(per_prompt).select("brand", "total_mentions", F.col("avg_position").alias("brand_avg_position"),
                                            F.col("prompts_mentioned").alias("brand_prompt_count"))
     position = F.col("avg_position_with_source")
-    return (pairs.join(shared_domains(citations, mentions), ["domain_type", "brand"], "left")
+    return (pairs.join(shared_domains(sums), ["domain_type", "brand"], "left")
             .withColumn("competitor_avg_cooccurrence", mean).join(totals, "brand", "left")
             .select("domain_type", "brand", "cooccurrence", "avg_position_with_source",
                     F.coalesce("unique_domains", F.lit(0)).alias("unique_domains"),

@@ -554,19 +554,24 @@ def brand_features(spark, sf):
     return features.brand_features(a.star_mentions(spark, sf), [*COMPETITORS, "Nobody"])
 
 
-def _all_targets(spark, sf):
-    """Brands with mentions and one without."""
-    seen = metrics.list_tracked_brands(a.star_mentions(spark, sf)).select(F.col("brand").alias("target"))
+def _all_targets(spark, sf, mentions: DataFrame | None = None):
+    """Brands with mentions and one without; from ``mentions``, or sums of them, where those are at hand."""
+    seen = metrics.list_tracked_brands(a.star_mentions(spark, sf) if mentions is None else mentions).select(F.col("brand").alias("target"))
     return seen.unionByName(a.star_prompts(spark, sf).select(F.lit("Nobody").alias("target")).distinct())
 
 
-def _stored_features(spark, sf):
-    return stored(source_features(spark, sf), "features")
+def _sums(spark, sf) -> features.KeySums:
+    return features.key_sums(a.star_citations(spark, sf), a.star_mentions(spark, sf))
+
+
+def _features_and_targets(spark, sf, sums: features.KeySums | None = None) -> tuple[DataFrame, DataFrame]:
+    sums = sums or _sums(spark, sf)
+    return stored(features.source_features_of(sums), "features"), _all_targets(spark, sf, sums.brands)
 
 
 @query
 def opportunity_scores(spark, sf):
-    return scoring.opportunity_scores(_stored_features(spark, sf), _all_targets(spark, sf), COMPETITORS).drop("weight_rank")
+    return scoring.opportunity_scores(*_features_and_targets(spark, sf), COMPETITORS).drop("weight_rank")
 
 
 @query
@@ -577,7 +582,7 @@ def fallback_scores(spark, sf):
 @query
 def reason_action_text(spark, sf):
     """Reason and action of every rule score against all competitors at once and against none."""
-    alone = scoring.opportunity_scores(_stored_features(spark, sf), _all_targets(spark, sf), [])
+    alone = scoring.opportunity_scores(*_features_and_targets(spark, sf), [])
     return alone.select("target", "domain_type", "priority", "reason", "action")
 
 
@@ -647,14 +652,16 @@ def scale_per_brand(spark, sf):
 @query
 def recommend(spark, sf):
     """The ranks each target gets, the way they were found, and whether scores fall with the rank."""
-    ranked = model.recommend(_all_targets(spark, sf), _stored_features(spark, sf), COMPETITORS, _predicted(spark, sf))
+    found, targets = _features_and_targets(spark, sf)
+    ranked = model.recommend(targets, found, COMPETITORS, _predicted(spark, sf))
     before = F.lag("opportunity_score").over(Window.partitionBy("target").orderBy("rank"))
     return ranked.select("target", F.col("rank").cast("long").alias("rank"), "model_used", F.coalesce(before >= F.col("opportunity_score"), F.lit(True)).alias("ordered"))
 
 
 @query
 def recommend_by_rules(spark, sf):
-    ranked = model.recommend(_all_targets(spark, sf), _stored_features(spark, sf), COMPETITORS)
+    found, targets = _features_and_targets(spark, sf)
+    ranked = model.recommend(targets, found, COMPETITORS)
     return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 

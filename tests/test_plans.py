@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from echolens.operators import alerts, analysis, citations, entities, features, mentions, metrics
 from echolens.plans import adapters as a
+from echolens.plans import registry
 from echolens.session import stored
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +109,35 @@ def test_facts_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
 def test_gap_scans_the_mentions_once(star, shuffled):
     text = plan(metrics.competitor_gap(star[0], ["Brand#1", "Brand#2"])).split("== Initial Plan ==")[-1]
     assert text.count("FileScan") == 1
+
+
+def test_features_read_sums_in_place_of_facts(star):
+    said, _, _, cites = star
+    for found in (features.source_features(cites, said), features.training_matrix(cites, said)):
+        assert not {*said.inputFiles(), *cites.inputFiles()} & set(found.inputFiles())
+
+
+def test_facts_are_summed_without_a_sort(spark):
+    """Texts as measures would have all rows sorted."""
+    assert "SortAggregate" not in plan(a.star_mentions(spark, SF)) + plan(a.star_responses(spark, SF))
+
+
+def test_least_flag_is_that_of_the_texts(spark, tmp_path):
+    """Flags of any text: the least of a slot says the sentiment."""
+    import os
+    for name in os.listdir(SF):
+        os.symlink(f"{SF}/{name}", tmp_path / name)
+    flags = F.element_at(F.array(*[F.lit(x) for x in ("0", "A", "AB", "N", "R", "RR", "z")], F.lit(None)), (F.xxhash64("l_orderkey", "l_linenumber") % 8 + 8).cast("int") % 8 + 1)
+    os.remove(tmp_path / "lineitem.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_returnflag", flags).write.parquet(str(tmp_path / "lineitem.parquet"))
+    sf = str(tmp_path)
+    lines = a.table(spark, sf, "lineitem").join(a.table(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey")).join(a.table(spark, sf, "part"), F.expr("l_partkey = p_partkey"))
+    least = lines.groupBy((F.col("o_orderkey") % 50).alias("r"), "o_custkey", (F.col("o_orderkey") % 3).alias("p"), "p_brand").agg(F.min("l_returnflag").alias("f"))
+    want = {r[0]: r[1] for r in least.groupBy(F.when(F.col("f") == "A", "positive").when(F.col("f") == "R", "negative").otherwise("neutral")).count().collect()}
+    assert {r[0]: r[1] for r in a.star_mentions(spark, sf).groupBy("sentiment").count().collect()} == want
+
+
+def test_recommendations_derive_the_mentions_once(spark, monkeypatch):
+    derived, calls = a.star_mentions, []
+    monkeypatch.setattr(a, "star_mentions", lambda *args: calls.append(args) or derived(*args))
+    assert registry.recommend_by_rules(spark, SF).count() and len(calls) == 1
