@@ -591,18 +591,12 @@ def training_matrix(spark, sf):
     return features.training_matrix(a.star_citations(spark, sf), a.star_mentions(spark, sf))
 
 
-_trained: dict[tuple[str, str], tuple[model.Trained, str]] = {}
-
-
-def _model(spark, sf) -> tuple[model.Trained, str]:
-    """The model of a data set, trained once per application and saved with its matrix."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _trained:
-        path, matrix = scratch(spark, "model"), stored(training_matrix(spark, sf), "matrix")
-        trained = model.train_model(matrix)
-        model.save_model(trained.model, matrix, path)
-        _trained[key] = trained, path
-    return _trained[key]
+def _model(spark, sf, sums: features.KeySums | None = None) -> tuple[model.Trained, str]:
+    """The model of a data set, saved with its matrix. Every query trains its own, so none lives on what another has left."""
+    path, matrix = scratch(spark, "model"), stored(features.training_matrix_of(sums or _sums(spark, sf)), "matrix")
+    trained = model.train_model(matrix)
+    model.save_model(trained.model, matrix, path)
+    return trained, path
 
 
 @query
@@ -638,8 +632,8 @@ def predict_opportunities(spark, sf):
                                         F.max("opportunity_score").over(of_brand).alias("high"))
 
 
-def _predicted(spark, sf):
-    return model.predict_opportunities(*model.load_model(spark, _model(spark, sf)[1]))
+def _predicted(spark, sf, sums: features.KeySums | None = None):
+    return model.predict_opportunities(*model.load_model(spark, _model(spark, sf, sums)[1]))
 
 
 @query
@@ -652,8 +646,9 @@ def scale_per_brand(spark, sf):
 @query
 def recommend(spark, sf):
     """The ranks each target gets, the way they were found, and whether scores fall with the rank."""
-    found, targets = _features_and_targets(spark, sf)
-    ranked = model.recommend(targets, found, COMPETITORS, _predicted(spark, sf))
+    sums = _sums(spark, sf)
+    found, targets = _features_and_targets(spark, sf, sums)
+    ranked = model.recommend(targets, found, COMPETITORS, _predicted(spark, sf, sums))
     before = F.lag("opportunity_score").over(Window.partitionBy("target").orderBy("rank"))
     return ranked.select("target", F.col("rank").cast("long").alias("rank"), "model_used", F.coalesce(before >= F.col("opportunity_score"), F.lit(True)).alias("ordered"))
 
@@ -831,4 +826,5 @@ def alert_stream(spark, sf):
     tables.upsert_prompts(prompts, root)
     stream = spark.readStream.schema(TABLES["llm_responses"]).option("recursiveFileLookup", True).parquet(tables.table_path(root, "llm_responses"))
     _run(jobs.alert_stream(stream, root, out, f"{root}/_checkpoint"))
-    return spark.read.parquet(out).select("category", "brand", "current", "previous", "reason")
+    # With a schema, as a stream that raises no alert writes no file to tell it from.
+    return spark.read.schema("category string, brand string, current double, previous double, reason string").parquet(out).select("category", "brand", "current", "previous", "reason")

@@ -141,3 +141,12 @@ def test_recommendations_derive_the_mentions_once(spark, monkeypatch):
     derived, calls = a.star_mentions, []
     monkeypatch.setattr(a, "star_mentions", lambda *args: calls.append(args) or derived(*args))
     assert registry.recommend_by_rules(spark, SF).count() and len(calls) == 1
+
+
+def test_model_queries_train_anew_on_facts_derived_once(spark, monkeypatch):
+    train, derived, trained, calls = registry.model.train_model, a.star_mentions, [], []
+    monkeypatch.setattr(registry.model, "train_model", lambda matrix: trained.append(matrix) or train(matrix, trees=2))
+    monkeypatch.setattr(a, "star_mentions", lambda *args: calls.append(args) or derived(*args))
+    for _ in range(2):
+        assert registry.recommend(spark, SF).count()
+    assert len(trained) == 2 and len(calls) == 2
