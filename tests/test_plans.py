@@ -90,6 +90,12 @@ def test_patterns_stand_once_in_the_plan(spark):
     assert optimized(mentions.detect_brands(texts, lists)).count("split(") == 1
 
 
+@pytest.mark.parametrize("found", [mentions.detect_brands, mentions.with_found_brands, analysis.parse_answers])
+def test_a_text_is_folded_once_and_not_per_brand(spark, found):
+    text = optimized(found(a.text_responses(spark, SF).select("run_id", "prompt_id", "provider", "response_text", "error"), a.text_prompts(spark, SF)))
+    assert text.count("lambdafunction(Contains(") == 1 and "lambdafunction(Contains(upper(" not in text
+
+
 def test_gap_of_many_targets_reads_the_facts_once(star, shuffled):
     text = plan(metrics.competitor_gap(star[0], [f"Brand#{i}" for i in range(125)]))
     initial = text.split("== Initial Plan ==")[-1]

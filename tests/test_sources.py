@@ -444,6 +444,18 @@ def test_votes_over_any_split_equal_the_vote_at_once_and_read_no_text_again(spar
     assert [m[1:] for m in stored_rows(spark, older)[0] if m[1] in ("p2", "p3")] == [m[1:] for m in stored_rows(spark, whole)[0] if m[1] in ("p2", "p3")]
 
 
+def test_the_latest_trials_are_looked_for_once_a_batch(spark, root, monkeypatch):
+    """The vote, the times and the citations of a batch read them from storage, and no copy is left behind."""
+    from echolens.session import shared_root
+    kept = lambda: set(Path(shared_root(spark).removeprefix("file:")).glob("trials-*"))
+    before, read, vote = kept(), [], jobs.vote_parsed
+    monkeypatch.setattr(jobs, "vote_parsed", lambda trials, *args, **judging: read.append(trials._jdf.queryExecution().analyzed().toString()) or vote(trials, *args, **judging))
+    rows = [answer(f"r-t{i}", "Asana https://g2.com/a") for i in range(2)]
+    jobs.ingest_batch(tables.conform(spark.createDataFrame(rows, ANSWER), "llm_responses"), 0, root, prompts(spark, "p"), 2)
+    assert len(read) == 1 and "max_by" not in read[0] and kept() == before
+    assert [len(found) for found in stored_rows(spark, root)[:2]] == [1, 1]
+
+
 def test_slots_are_looked_up_in_the_runs_met_alone(spark, root):
     tables.save_responses(spark.createDataFrame([answer(f"old{i}", "x") for i in range(5)], ANSWER), root)
     new = tables.conform(spark.createDataFrame([answer("old1", "y"), answer("new", "z")], ANSWER), "llm_responses")
