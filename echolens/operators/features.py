@@ -1,5 +1,6 @@
 """Co-occurrence of cited source types and mentioned brands."""
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -11,12 +12,15 @@ from echolens.session import stored
 
 #: Citations and mentions meet on the question and the provider, whatever the run.
 _MEET = ["prompt_id", "provider"]
+#: Sums of one task, so that a task's memory stays the same whatever their number.
+TASK_ROWS = 250_000
 
 
 class KeySums(NamedTuple):
     """Citations and mentions summed per question and provider, those without either included."""
     domains: DataFrame  # prompt_id, provider, domain_type, domain; cites: citations of a known type
     brands: DataFrame   # prompt_id, provider, brand; n: mentions, runs: those with the brand, p and np: sum and count of its positions
+    tasks: int = 1      # that the rows of either are dealt to
 
 
 def key_sums(citations: DataFrame, mentions: DataFrame) -> KeySums:
@@ -27,7 +31,15 @@ def key_sums(citations: DataFrame, mentions: DataFrame) -> KeySums:
                .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("position").cast("long")).alias("p"), F.count("position").alias("np")))
     brands = (per_run.groupBy(*_MEET, "brand")
               .agg(F.sum("n").alias("n"), F.count("run_id").alias("runs"), F.sum("p").alias("p"), F.sum("np").alias("np")))
-    return KeySums(stored(domains, "domain-sums"), stored(brands, "brand-sums"))
+    domains, brands = stored(domains, "domain-sums"), stored(brands, "brand-sums")
+    rows = max(domains.count(), brands.count())  # from the files' footers
+    return KeySums(domains, brands, max(domains.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS)))
+
+
+def _dealt(rows: DataFrame, sums: KeySums, *keys: str) -> DataFrame:
+    """Rows of sums dealt out by some of the keys they are then grouped by. Scans read more rows a task as the sums grow, and grouping
+    there first would keep nearly all of them, as few sums share a key."""
+    return rows.repartition(sums.tasks, *keys)
 
 
 def cooccurrence(sums: KeySums) -> DataFrame:
@@ -38,9 +50,9 @@ def cooccurrence(sums: KeySums) -> DataFrame:
     fan-out mean is recovered as Σ citations·position_sum / Σ citations·position_count. The products
     are doubles: exact up to 2^53 and free of overflow beyond.
     """
-    types = (sums.domains.dropna(subset=_MEET)
+    types = (_dealt(sums.domains.dropna(subset=_MEET), sums, *_MEET)
              .groupBy(*_MEET, "domain_type").agg(F.sum("cites").cast("double").alias("cites")))
-    brands = sums.brands.dropna(subset=_MEET).select(*_MEET, "brand", "runs", "p", "np")
+    brands = _dealt(sums.brands.dropna(subset=_MEET).select(*_MEET, "brand", "runs", "p", "np"), sums, *_MEET)
     return (types.join(brands, _MEET).groupBy("domain_type", "brand")
             .agg(F.count(F.lit(1)).alias("keys"), F.sum("runs").alias("runs"),
                  F.try_divide(F.sum(F.col("cites") * F.col("p")), F.sum(F.col("cites") * F.col("np")))
@@ -53,7 +65,7 @@ def shared_domains(sums: KeySums) -> DataFrame:
     A key carries its brands as one list (no longer than its prompt's target list), so the join adds no rows
     and a key with very many domains can be split. Opened lists are deduplicated on the map side at once.
     """
-    lists = sums.brands.dropna(subset=[*_MEET, "brand"]).groupBy(*_MEET).agg(F.collect_list("brand").alias("brands"))
+    lists = _dealt(sums.brands.dropna(subset=[*_MEET, "brand"]).select(*_MEET, "brand"), sums, *_MEET).groupBy(*_MEET).agg(F.collect_list("brand").alias("brands"))
     domains = sums.domains.dropna(subset=[*_MEET, "domain"]).select(*_MEET, "domain_type", "domain")
     return (domains.join(lists, _MEET).select("domain_type", "domain", F.explode("brands").alias("brand"))
             .groupBy("domain_type", "brand").agg(F.count_distinct("domain").alias("unique_domains")))
@@ -70,7 +82,7 @@ def source_features_of(sums: KeySums) -> DataFrame:
     # Two distinct counts in one pass would copy every row per count.
     volume = (known.groupBy("domain_type", "domain").agg(F.sum("cites").alias("n"))
               .groupBy("domain_type").agg(F.sum("n").alias("citation_count"), F.count("domain").alias("unique_domains")))
-    spread = (known.select("domain_type", "prompt_id").distinct()
+    spread = (_dealt(known.select("domain_type", "prompt_id"), sums, "prompt_id").distinct()
               .groupBy("domain_type").agg(F.count("prompt_id").alias("prompts_with_citations")))
     pairs = cooccurrence(sums)
     return (pairs.join(volume, "domain_type", "left").join(spread, "domain_type", "left")
@@ -114,7 +126,7 @@ def training_matrix_of(sums: KeySums) -> DataFrame:
         "domain_type", "brand", F.col("runs").alias("cooccurrence"), "avg_position_with_source")
     # A window reads the co-occurrences once; at this point a type has one row per brand.
     mean = F.avg("cooccurrence").over(Window.partitionBy("domain_type"))
-    per_prompt = sums.brands.groupBy("brand", "prompt_id").agg(*[F.sum(c).alias(c) for c in ("n", "p", "np")])
+    per_prompt = _dealt(sums.brands.select("brand", "prompt_id", "n", "p", "np"), sums, "prompt_id").groupBy("brand", "prompt_id").agg(*[F.sum(c).alias(c) for c in ("n", "p", "np")])
     totals = _totals(per_prompt).select("brand", "total_mentions", F.col("avg_position").alias("brand_avg_position"),
                                            F.col("prompts_mentioned").alias("brand_prompt_count"))
     position = F.col("avg_position_with_source")

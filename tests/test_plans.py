@@ -123,6 +123,14 @@ def test_features_read_sums_in_place_of_facts(star):
         assert not {*said.inputFiles(), *cites.inputFiles()} & set(found.inputFiles())
 
 
+def test_sums_are_dealt_to_more_tasks_as_they_grow(star, shuffled, monkeypatch):
+    monkeypatch.setattr(features, "TASK_ROWS", 100)
+    sums = features.key_sums(star[3], star[0])
+    assert sums.tasks == -(-max(sums.domains.count(), sums.brands.count()) // 100) > 8
+    for df, dealt in ((features.cooccurrence(sums), 2), (features.source_features_of(sums), 3), (features.training_matrix_of(sums), 4)):
+        assert len(re.findall(rf"hashpartitioning\(prompt_id#\d+(?:, provider#\d+)?, {sums.tasks}\), REPARTITION_BY_NUM", plan(df))) == dealt
+
+
 def test_facts_are_summed_without_a_sort(spark):
     """Texts as measures would have all rows sorted."""
     assert "SortAggregate" not in plan(a.star_mentions(spark, SF)) + plan(a.star_responses(spark, SF))
