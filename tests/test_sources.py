@@ -524,6 +524,23 @@ def test_alert_stream_follows_the_tables(spark, root, tmp_path):
     assert (row.brand, row.current, row.reason) == ("Asana", 10.0, "below threshold")
 
 
+def test_alerts_of_a_batch_broadcast_no_prompts_and_sum_days_once(spark, root, tmp_path, monkeypatch):
+    tables.upsert_prompts(prompts(spark, *[f"p{i}" for i in range(5)]), root)
+    rows = [(*answer("r", "Asana", day, f"p{day}"), "Asana", 1, "positive") for day in range(1, 5)]
+    said = spark.createDataFrame(rows, f"{ANSWER}, brand string, position int, sentiment string")
+    for load in range(2):
+        tables.save_mentions(said.drop("response_text", "latency_ms"), root, load=f"load{load}")
+    tables.save_responses(spark.createDataFrame([row[:6] for row in rows], ANSWER), root)
+    seen, alerts = [], jobs.visibility_alerts
+    monkeypatch.setattr(jobs, "visibility_alerts", lambda *given: seen.append((given, alerts(*given))) or seen[-1][1])
+    jobs.alert_batch(tables.read_table(spark, root, "llm_responses"), 0, root, str(tmp_path / "out"))
+    (days, responses, scope), found = seen[0]
+    assert "Aggregate" not in days._jdf.queryExecution().optimizedPlan().toString() and days.count() == 8
+    # Answers, mentions, slots and the previous day each meet the prompts; only those of the batch may be few enough to broadcast.
+    assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin [prompt_id") >= 4
+    assert found.collect() == alerts(tables.read_days(spark, root), responses, tables.read_table(spark, root, "prompts")).collect()
+
+
 def test_alerts_from_the_latest_months_equal_those_from_all(spark, root):
     from echolens.operators.alerts import visibility_alerts
     days = [datetime(2026, 1, 5), datetime(2026, 3, 30), datetime(2026, 5, 1), datetime(2026, 5, 1)]
