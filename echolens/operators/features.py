@@ -52,8 +52,9 @@ def cooccurrence(sums: KeySums) -> DataFrame:
     """
     types = (_dealt(sums.domains.dropna(subset=_MEET), sums, *_MEET)
              .groupBy(*_MEET, "domain_type").agg(F.sum("cites").cast("double").alias("cites")))
+    # A task's brands fit a hash table, so neither side is sorted.
     brands = _dealt(sums.brands.dropna(subset=_MEET).select(*_MEET, "brand", "runs", "p", "np"), sums, *_MEET)
-    return (types.join(brands, _MEET).groupBy("domain_type", "brand")
+    return (types.join(brands.hint("shuffle_hash"), _MEET).groupBy("domain_type", "brand")
             .agg(F.count(F.lit(1)).alias("keys"), F.sum("runs").alias("runs"),
                  F.try_divide(F.sum(F.col("cites") * F.col("p")), F.sum(F.col("cites") * F.col("np")))
                  .alias("avg_position_with_source")))
@@ -62,12 +63,11 @@ def cooccurrence(sums: KeySums) -> DataFrame:
 def shared_domains(sums: KeySums) -> DataFrame:
     """Distinct domains of a type cited wherever the brand is mentioned.
 
-    A key carries its brands as one list (no longer than its prompt's target list), so the join adds no rows
-    and a key with very many domains can be split. Opened lists are deduplicated on the map side at once.
+    The pairs of a key are deduplicated on the map side as the join makes them. Collecting a key's brands first would sort them all.
     """
-    lists = _dealt(sums.brands.dropna(subset=[*_MEET, "brand"]).select(*_MEET, "brand"), sums, *_MEET).groupBy(*_MEET).agg(F.collect_list("brand").alias("brands"))
+    brands = _dealt(sums.brands.dropna(subset=[*_MEET, "brand"]).select(*_MEET, "brand"), sums, *_MEET)
     domains = sums.domains.dropna(subset=[*_MEET, "domain"]).select(*_MEET, "domain_type", "domain")
-    return (domains.join(lists, _MEET).select("domain_type", "domain", F.explode("brands").alias("brand"))
+    return (domains.join(brands.hint("shuffle_hash"), _MEET)
             .groupBy("domain_type", "brand").agg(F.count_distinct("domain").alias("unique_domains")))
 
 

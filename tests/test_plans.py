@@ -131,6 +131,13 @@ def test_sums_are_dealt_to_more_tasks_as_they_grow(star, shuffled, monkeypatch):
         assert len(re.findall(rf"hashpartitioning\(prompt_id#\d+(?:, provider#\d+)?, {sums.tasks}\), REPARTITION_BY_NUM", plan(df))) == dealt
 
 
+def test_sums_meet_in_hash_tables_without_a_sort(star, shuffled):
+    """Neither side of a join on questions is sorted, nor are brands collected into lists, which sorts them beyond a few keys."""
+    text = plan(features.training_matrix_of(features.key_sums(star[3], star[0])))
+    assert len(re.findall(r"ShuffledHashJoin \[prompt_id", text)) == 2
+    assert "SortMergeJoin [prompt_id" not in text and "collect_list" not in text
+
+
 def test_facts_are_summed_without_a_sort(spark):
     """Texts as measures would have all rows sorted."""
     assert "SortAggregate" not in plan(a.star_mentions(spark, SF)) + plan(a.star_responses(spark, SF))
