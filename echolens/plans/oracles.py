@@ -321,7 +321,8 @@ def oracle_sql() -> dict[str, str]:
  CASE priority WHEN 'HIGH' THEN 'red' WHEN 'MEDIUM' THEN 'amber' ELSE 'green' END AS color FROM scores""",
         "fallback_scores": with_(STAR, GRID) + f"""SELECT target, domain_type, round(weight * 100, 1) AS opportunity_score, {_band('round(weight * 100, 1)', 70, 40)} AS priority,
  {q(REASON_FALLBACK)} AS reason, {case('domain_type', ACTIONS, q(DEFAULT_ACTION))} AS action FROM targets CROSS JOIN weights""",
-        "reason_action_text": with_(STAR, COOC, GRID, scores([])) + "SELECT target, domain_type, priority, reason, action FROM scores",
+        "reason_action_text": with_(STAR, COOC, GRID, scores(r.COMPETITORS), scores([], "alone")) + """SELECT target, domain_type, priority, reason, action FROM scores
+ UNION ALL SELECT target, domain_type, priority, reason, action FROM alone""",
         "recommend_by_rules": with_(STAR, COOC, GRID, scores(r.COMPETITORS)) + """SELECT target, row_number() OVER (PARTITION BY target ORDER BY opportunity_score DESC, weight_rank) AS rank,
  domain_type, opportunity_score, priority, reason, action, 'rule_based' AS model_used FROM scores QUALIFY rank <= 5""",
         "training_matrix": with_(STAR, COOC, TOTALS, MATRIX) + "SELECT * FROM matrix",

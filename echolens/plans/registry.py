@@ -582,8 +582,9 @@ def fallback_scores(spark, sf):
 @query
 def reason_action_text(spark, sf):
     """Reason and action of every rule score against all competitors at once and against none."""
-    alone = scoring.opportunity_scores(*_features_and_targets(spark, sf), [])
-    return alone.select("target", "domain_type", "priority", "reason", "action")
+    known, targets = _features_and_targets(spark, sf)
+    against, alone = (scoring.opportunity_scores(known, targets, rivals) for rivals in (COMPETITORS, []))
+    return against.unionByName(alone).select("target", "domain_type", "priority", "reason", "action")
 
 
 @query

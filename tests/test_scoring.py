@@ -2,7 +2,7 @@ import pytest
 
 from echolens.fixed import DOMAIN_WEIGHTS
 from echolens.operators import alerts, features, model, scoring
-from echolens.plans import adapters
+from echolens.plans import adapters, registry
 
 FEATURES = "domain_type string, brand string, cooccurrence_count bigint, avg_position_with_source double, citation_count bigint, unique_domains bigint"
 
@@ -38,6 +38,13 @@ def test_fallback_without_features(spark):
     assert all(r.action for r in got.values())
 
 
+def test_reasons_are_given_against_all_competitors_and_against_none(spark):
+    rows = registry.reason_action_text(spark, "/root/testdata/sf0.001").collect()
+    gaps = [r for r in rows if r.reason.startswith("Competitors appear")]
+    keys = [(r.target, r.domain_type) for r in rows]
+    assert gaps and len(gaps) < len(rows) and all(keys.count(k) == 2 for k in keys)
+
+
 @pytest.fixture(scope="module")
 def demo(spark):
     sf = "/root/testdata/sf0.001"
