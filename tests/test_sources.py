@@ -490,6 +490,66 @@ def test_ingest_leaves_no_copies_behind(spark, root):
     assert kept() == before
 
 
+def left(spark, pattern):
+    from echolens.session import shared_root
+    return set(Path(shared_root(spark).removeprefix("file:")).glob(pattern))
+
+
+@pytest.mark.parametrize("n_runs", [1, 2])
+def test_new_answers_are_compared_once_and_leave_no_copies(spark, root, monkeypatch, n_runs):
+    """The upsert of answers that are known to be new looks at their slots; what was found in them goes with the batch."""
+    compared, latest, before = [], tables.latest_rows, left(spark, "parsed-*") | left(spark, "voted-*") | left(spark, "answers-*")
+    monkeypatch.setattr(tables, "latest_rows", lambda rows, *args: compared.append("response_text" in rows.columns) or latest(rows, *args))
+    rows = [answer(f"r-t{i}", "Asana https://g2.com/a") for i in range(2)]
+    jobs.ingest_batch(tables.conform(spark.createDataFrame(rows, ANSWER), "llm_responses"), 0, root, prompts(spark, "p"), n_runs)
+    assert sum(compared) == 1 and left(spark, "parsed-*") | left(spark, "voted-*") | left(spark, "answers-*") == before
+    # Stored slots among new ones: those alone leave the batch.
+    rows.append(answer("r-t2", "Jira"))
+    jobs.ingest_batch(tables.conform(spark.createDataFrame(rows, ANSWER), "llm_responses"), 1, root, prompts(spark, "p"), n_runs)
+    assert sorted(r.run_id for r in tables.read_table(spark, root, "llm_responses").collect()) == ["r-t0", "r-t1", "r-t2"]
+
+
+def test_kept_answers_are_upserted_like_any(spark, root):
+    """With slots that come twice, are stored or null, whether or not the rows are known to be on storage."""
+    other = scratch(spark, "tables")
+    tables.create_tables(spark, other)
+    loads = [[answer("r1", "a"), answer(None, "b")], [answer("r2", "c", 1), answer("r2", "d", 2)], [answer("r1", "e"), answer("r3", "f"), answer(None, "g")]]
+    for load in loads:
+        for place, kept in ((root, True), (other, False)):
+            tables.save_responses(spark.createDataFrame(load, ANSWER), place, kept=kept)
+    read = lambda place: sorted((r.run_id or "", r.response_text) for r in tables.read_table(spark, place, "llm_responses").collect())
+    assert read(root) == read(other) == [("", "g"), ("r1", "e"), ("r2", "d"), ("r3", "f")]
+
+
+def test_the_text_that_orders_is_shuffled_once(spark):
+    rows = spark.createDataFrame([answer("r", "x"), answer("r", "y")], ANSWER)
+    newest = tables.latest_rows(rows, ["run_id", "prompt_id", "provider"], ["created_at", "response_text"])
+    assert [r.response_text for r in newest.collect()] == ["y"] and newest.columns == rows.columns
+    assert "max_by" not in plan_of(newest)  # which holds the value and what orders it apart
+
+
+def test_a_batch_run_leaves_no_texts_behind(spark, root):
+    tables.upsert_prompts(prompts(spark, "a"), root)
+    before = left(spark, "batch-*/answers")
+    done = run_batch(spark, root, "base", answering(), n_runs=2)
+    assert left(spark, "batch-*/answers") == before and done.mentions.count() and done.citations.count() and done.discovered.count()
+
+
+def test_raw_files_hold_so_many_answers_at_most(spark, monkeypatch):
+    from echolens.plans import registry
+    written = []
+
+    def count(rows, path):
+        written.append(rows.rdd.getNumPartitions())
+        raise RuntimeError("counted")
+
+    monkeypatch.setattr(registry, "FILE_ROWS", 10, raising=False)
+    monkeypatch.setattr(registry.raw_runs, "write_raw_run", count)
+    with pytest.raises(RuntimeError):
+        registry.ingest_runs(spark, "/root/testdata/sf0.001")
+    assert written == [24]
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     from types import SimpleNamespace
 
