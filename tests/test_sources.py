@@ -535,6 +535,20 @@ def test_a_batch_run_leaves_no_texts_behind(spark, root):
     assert left(spark, "batch-*/answers") == before and done.mentions.count() and done.citations.count() and done.discovered.count()
 
 
+def test_terms_of_stored_prompts_are_not_broadcast_by_the_size_of_their_files(spark, root, monkeypatch):
+    from echolens.plans import batch
+    tables.upsert_prompts(prompts(spark, "a"), root)
+    plans, analyse = [], batch.analyze_responses
+    monkeypatch.setattr(batch, "analyze_responses", lambda rows, known: plans.append(plan_of(batch_parse(rows, known))) or analyse(rows, known))
+    run_batch(spark, root, "base", answering())
+    assert len(plans) == 1 and "SortMergeJoin [prompt_id" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def batch_parse(rows, known):
+    from echolens.operators.analysis import parse_answers
+    return parse_answers(rows.drop("created_at"), known)
+
+
 def test_raw_files_hold_so_many_answers_at_most(spark, monkeypatch):
     from echolens.plans import registry
     written = []
